@@ -1,0 +1,52 @@
+"""Link extraction with a full HTML tokenizer, for pages that need it.
+
+The pattern extractor is the default and runs in the JVM.  This one hands
+bodies to the tokenizer of the standard library inside Python workers and knows
+every character reference and raw-text rule.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+from capweave.functions.markup import CSS_URL, LINK_ATTRIBUTES
+
+_CSS_URL = re.compile(CSS_URL)
+
+
+class _Collector(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.links: list[tuple[str, str]] = []
+        self._style: list[str] | None = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "style":
+            self._style = []
+        name = LINK_ATTRIBUTES.get(tag)
+        value = next((v for n, v in attrs if n == name), None) if name else None
+        if value:
+            self.links.append((tag, value))
+
+    def handle_data(self, data):
+        if self._style is not None:
+            self._style.append(data)
+
+    def handle_endtag(self, tag):
+        if tag == "style":
+            self.end_style()
+
+    def end_style(self):
+        if self._style is not None:
+            self.links += [("style", m) for m in _CSS_URL.findall("".join(self._style))]
+            self._style = None
+
+
+def collect_links(text: str) -> Iterator[tuple[str, str]]:
+    parser = _Collector()
+    parser.feed(text)
+    parser.close()
+    parser.end_style()
+    return iter(parser.links)
