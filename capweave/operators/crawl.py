@@ -56,19 +56,18 @@ def reach(
         "src_surt", "surt", (F.col("cost").cast("long") * _HOP + 1).alias("step")
     )
     start = seeds.select("surt").distinct()
+    # The extraction behind the edges runs once; the rounds read this table.
+    slim = materialize(slim, "edges")
+    heavy = heavy_keys(slim, "src_surt", heavy_rows)
     if stored is not None:
         closed = stored.select("surt").distinct().join(start, "surt", "left_anti")
         closed = closed.withColumnRenamed("surt", "src_surt")
         slim = skew_join(slim, closed, "src_surt", "surt", "left_anti", heavy_rows)
-    heavy = heavy_keys(slim, "src_surt", heavy_rows)
     spark = edges.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Laid out once by the join key; every round then moves the frontier only.
     table = (
         slim.withColumn("salt", salt_of(F.col("src_surt"), heavy, F.col("surt")))
-        .groupBy("src_surt", "salt", "surt")
-        .agg(F.min("step").alias("step"))
-        .transform(lambda df: materialize(df, "edges"))
         .repartition(parts, "src_surt", "salt")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
@@ -92,12 +91,11 @@ def reach(
                 .groupBy("surt")
                 .agg(F.min("dist").alias("dist"))
             )
-            for known in (merged, *recent):
-                known = known.select(F.col("surt").alias("_surt"), F.col("dist").alias("_dist"))
-                found = found.join(
-                    known, (F.col("surt") == F.col("_surt")) & (F.col("_dist") <= F.col("dist")), "left_anti"
-                )
-            frontier, count = _written(found, "reach")
+            known = _union([merged, *recent]).select(
+                F.col("surt").alias("_surt"), F.col("dist").alias("_dist")
+            )
+            nearer = (F.col("surt") == F.col("_surt")) & (F.col("_dist") <= F.col("dist"))
+            frontier, count = _written(found.join(known, nearer, "left_anti"), "reach")
             recent.append(frontier)
             if len(recent) == _MERGE_EVERY:
                 merged, recent = materialize(_least([merged, *recent]), "reach"), []
@@ -112,11 +110,15 @@ def reach(
     )
 
 
-def _least(tables: list[DataFrame]) -> DataFrame:
+def _union(tables: list[DataFrame]) -> DataFrame:
     union = tables[0]
     for more in tables[1:]:
         union = union.unionByName(more)
-    return union.groupBy("surt").agg(F.min("dist").alias("dist"))
+    return union
+
+
+def _least(tables: list[DataFrame]) -> DataFrame:
+    return _union(tables).groupBy("surt").agg(F.min("dist").alias("dist"))
 
 
 def discovery_tree(edges: DataFrame, reached: DataFrame, seeds: DataFrame) -> DataFrame:
