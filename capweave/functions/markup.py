@@ -24,13 +24,21 @@ _NAMED_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "
 # recurses per repeat, and possessive so that it never backtracks; tags beyond
 # it fall to the plain form after it.
 _ATTRS = r"""[\s/][^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+){0,200}+>"""
-_OPEN_SCRIPT = rf"<script(?:{_ATTRS}|[\s/][^>]*>|>)"
-_OPEN_STYLE = rf"<style(?:{_ATTRS}|[\s/][^>]*>|>)"
+_OPEN_SCRIPT = rf"script(?:{_ATTRS}|[\s/][^>]*>|>)"
+_OPEN_STYLE = rf"style(?:{_ATTRS}|[\s/][^>]*>|>)"
+# Every branch starts behind the same "<", which the engine finds quickly.
 TOKEN = (
-    r"(?is)<!--.*?(?:-->|\z)"
+    r"(?is)<(?:!--.*?(?:-->|\z)"
     rf"|{_OPEN_SCRIPT}.*?(?:</script\s*>|\z)"
     rf"|{_OPEN_STYLE}.*?(?:</style\s*>|\z)"
-    rf"|<(?:a|link|img)(?:{_ATTRS}|[\s/][^>]*>)"
+    rf"|(?:a|link|img)(?:{_ATTRS}|[\s/][^>]*>))"
+)
+# The usual spelling of a tag: plain attributes in double quotes, no reference
+# in the value.  Anything else goes through ATTRIBUTE.
+_UP_TO = r"""(?:(?!{0}[\s=])[a-z-]++(?:="[^"]*+")?+\s++){{0,20}}+{0}"""
+_PLAIN_TAG = (
+    rf"(?i)^<(?:(?:a|link)\s++{_UP_TO.format('href')}|(?:img|script)\s++{_UP_TO.format('src')})"
+    r"""="([^"&]++)\""""
 )
 ATTRIBUTE = r"""[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
 _ENTITY = (
@@ -111,14 +119,18 @@ def html_links(html: Column) -> Column:
 
     def of_token(token: Column) -> Column:
         kind = F.lower(F.regexp_extract(token, "(?i)^<([a-z]*)", 1))
-        tag = F.when(kind == "script", F.regexp_extract(token, f"(?is)^{_OPEN_SCRIPT}", 0)).otherwise(token)
+        tag = F.when(kind == "script", F.regexp_extract(token, f"(?is)^<{_OPEN_SCRIPT}", 0)).otherwise(token)
         named = _lookup_attribute(kind)
-        target = attribute(
-            tag, lambda a: F.lower(F.regexp_extract(a, r"^([^=\s]+)\s*=", 1)) == named
+        plain = F.regexp_extract(token, _PLAIN_TAG, 1)
+        target = bind(
+            plain,
+            lambda p: F.when(p != "", p).otherwise(
+                attribute(tag, lambda a: F.lower(F.regexp_extract(a, r"^([^=\s]+)\s*=", 1)) == named)
+            ),
         )
-        style = F.regexp_replace(token, f"(?is)^{_OPEN_STYLE}|</style\\s*>$", "")
+        style = F.regexp_replace(token, f"(?is)^<{_OPEN_STYLE}|</style\\s*>$", "")
         return (
-            F.when(kind == "", F.array().cast(LINK_TYPE))
+            F.when((kind == "") | token.startswith("<script>"), F.array().cast(LINK_TYPE))
             .when(kind == "style", css_url_links(style, "style"))
             .otherwise(
                 F.transform(
