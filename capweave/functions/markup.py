@@ -116,27 +116,28 @@ def css_url_links(text: Column, kind: str = "css") -> Column:
 
 def html_links(html: Column) -> Column:
     """Links of a page in document order, of the kinds a, link, img, script, style."""
+    none = F.array().cast(LINK_TYPE)
 
-    def of_token(token: Column) -> Column:
-        kind = F.lower(F.regexp_extract(token, "(?i)^<([a-z]*)", 1))
+    def link(kind: Column, raw: Column) -> Column:
+        return F.struct(kind.alias("kind"), raw.alias("raw"))
+
+    def unusual(token: Column, kind: Column) -> Column:
         tag = F.when(kind == "script", F.regexp_extract(token, f"(?is)^<{_OPEN_SCRIPT}", 0)).otherwise(token)
         named = _lookup_attribute(kind)
-        plain = F.regexp_extract(token, _PLAIN_TAG, 1)
-        target = bind(
-            plain,
-            lambda p: F.when(p != "", p).otherwise(
-                attribute(tag, lambda a: F.lower(F.regexp_extract(a, r"^([^=\s]+)\s*=", 1)) == named)
-            ),
-        )
+        target = attribute(tag, lambda a: F.lower(F.regexp_extract(a, r"^([^=\s]+)\s*=", 1)) == named)
         style = F.regexp_replace(token, f"(?is)^<{_OPEN_STYLE}|</style\\s*>$", "")
         return (
-            F.when((kind == "") | token.startswith("<script>"), F.array().cast(LINK_TYPE))
+            F.when(kind == "", none)
             .when(kind == "style", css_url_links(style, "style"))
-            .otherwise(
-                F.transform(
-                    F.filter(F.array(target), lambda v: v != ""),
-                    lambda v: F.struct(kind.alias("kind"), v.alias("raw")),
-                )
+            .otherwise(F.transform(F.filter(F.array(target), lambda v: v != ""), lambda v: link(kind, v)))
+        )
+
+    def of_token(token: Column) -> Column:
+        kind = F.lower(F.regexp_extract(token, "(?i)^<([a-z]*)", 1))
+        return F.when(token.startswith("<script>") | token.startswith("<!--"), none).otherwise(
+            bind(
+                F.regexp_extract(token, _PLAIN_TAG, 1),
+                lambda plain: F.when(plain != "", F.array(link(kind, plain))).otherwise(unusual(token, kind)),
             )
         )
 

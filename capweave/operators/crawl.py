@@ -16,7 +16,9 @@ from capweave.operators.scratch import materialize
 from capweave.operators.skew import HEAVY_ROWS, all_salts, heavy_keys, salt_of, skew_join
 
 _HOP = 1 << 32
-_MERGE_EVERY = 8  # rounds between merges of the seen table
+_MERGE_EVERY = 8  # written rounds between merges of the seen table
+_SMALL_FRONTIER = 20_000  # rows up to which several rounds go into one job
+_STRIDES = 8
 
 
 class RoundLimit(RuntimeError):
@@ -65,32 +67,54 @@ def reach(
         slim = skew_join(slim, closed, "src_surt", "surt", "left_anti", heavy_rows)
     spark = edges.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["src_surt", "salt"] if heavy else ["src_surt"]
     # Laid out once by the join key; every round then moves the frontier only.
     table = (
         slim.withColumn("salt", salt_of(F.col("src_surt"), heavy, F.col("surt")))
-        .repartition(parts, "src_surt", "salt")
+        .select(*keys, "surt", "step")
+        .repartition(parts, *keys)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    limit = (max_hops + 1) * _HOP
+
+    def sources(state: DataFrame) -> DataFrame:
+        moved = state.select(F.col("surt").alias("src_surt"), "dist")
+        return moved.withColumn("salt", F.explode(all_salts(F.col("src_surt"), heavy))) if heavy else moved
+
+    def step(state: DataFrame) -> DataFrame:
+        """Keys one link away."""
+        onward = table.join(sources(state), keys).select(
+            "surt", (F.col("dist") + F.col("step")).alias("dist")
+        )
+        return _nearest(onward.filter(F.col("dist") < limit))
+
+    def stride(state: DataFrame) -> DataFrame:
+        """The state together with the keys one link away, as one join, so that
+        strides can be chained into one job."""
+        both = sources(state).hint("shuffle_hash").join(table, keys, "left").select(
+            F.explode(
+                F.array(
+                    F.struct(F.col("src_surt").alias("surt"), F.col("dist").alias("dist")),
+                    F.struct(F.col("surt"), (F.col("dist") + F.col("step")).alias("dist")),
+                )
+            ).alias("_to")
+        ).select("_to.*")
+        return _nearest(both.filter(F.col("surt").isNotNull() & (F.col("dist") < limit)))
+
     try:
         frontier, count = _written(start.withColumn("dist", F.lit(0).cast("long")), "reach")
         merged, recent = frontier, []
         rounds = 0
         while count:
-            if rounds == max_rounds:
+            if rounds >= max_rounds:
                 raise RoundLimit(f"not settled after {max_rounds} rounds")
-            rounds += 1
-            sources = frontier.select(
-                F.col("surt").alias("src_surt"),
-                "dist",
-                F.explode(all_salts(F.col("surt"), heavy)).alias("salt"),
-            )
-            found = (
-                table.join(sources, ["src_surt", "salt"])
-                .select("surt", (F.col("dist") + F.col("step")).alias("dist"))
-                .filter(F.col("dist") < (max_hops + 1) * _HOP)
-                .groupBy("surt")
-                .agg(F.min("dist").alias("dist"))
-            )
+            if count > _SMALL_FRONTIER:
+                rounds, found = rounds + 1, step(frontier)
+            else:
+                # A long tail of small rounds would be all job overhead.
+                rounds, found = rounds + _STRIDES, frontier
+                for _ in range(_STRIDES):
+                    found = stride(found)
             known = _union([merged, *recent]).select(
                 F.col("surt").alias("_surt"), F.col("dist").alias("_dist")
             )
@@ -117,8 +141,12 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return union
 
 
+def _nearest(found: DataFrame) -> DataFrame:
+    return found.groupBy("surt").agg(F.min("dist").alias("dist"))
+
+
 def _least(tables: list[DataFrame]) -> DataFrame:
-    return _union(tables).groupBy("surt").agg(F.min("dist").alias("dist"))
+    return _nearest(_union(tables))
 
 
 def discovery_tree(edges: DataFrame, reached: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from capweave.operators import extract as X
 from capweave.operators.html_exact import collect_links
 from capweave.operators.ordering import ordered, with_rank
 from capweave.operators.rules import Rule, dispatch, filter_by_rule
-from capweave.operators.scratch import scratch_path
+from capweave.operators.scratch import materialize, scratch_path
 from capweave.plans.export import export_package
 from capweave.plans.session import ship_package
 from capweave.sources import sample_site as S
@@ -430,7 +430,7 @@ def crawl_resume(spark, sf_dir):
 
 @query
 def discovery_tree(spark, sf_dir):
-    edges, start = _edges(spark, sf_dir), _seeds(spark, sf_dir)
+    edges, start = materialize(_edges(spark, sf_dir), "links"), _seeds(spark, sf_dir)
     tree = crawl.discovery_tree(edges, crawl.reach(edges, start, MAX_HOPS), start)
     return tree.select("surt", "parent_surt", "discovered_in", "hops", "steps")
 
@@ -439,8 +439,11 @@ def discovery_tree(spark, sf_dir):
 
 
 def _index(spark, sf_dir) -> DataFrame:
-    """Index rows of all captures; lengths are those before compression."""
-    return A.records(S.captures(spark, sf_dir)).drop("record")
+    """Index rows of all captures; lengths are those before compression.
+
+    Written down, since sorting samples its input and would hash the bodies twice.
+    """
+    return materialize(A.records(S.captures(spark, sf_dir)).drop("record"), "index")
 
 
 @query
