@@ -26,6 +26,7 @@ from capweave.functions.http import (
     warc_record,
 )
 from capweave.operators.ordering import ordered, part_bases, with_rank, with_running_start
+from capweave.operators.scratch import materialize
 
 # Sizes, levels and names of the package format.
 WARC_THRESHOLD = 1_000_000_000
@@ -38,6 +39,7 @@ EXTRA_PAGES = ("extra-pages", "crawled pages")
 
 ORDER = ("surt", "fetched_at", "capture_id")
 BLOCKS_PER_INDEX_FILE = 10_000
+_SORTABLE_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
@@ -154,6 +156,56 @@ def place_by_rotation(
     return placed.withColumn("filename", file_name(number)).drop("file_no")
 
 
+# Parts beyond this number are found by a join instead of a search in the plan.
+MAX_SEARCHED_PARTS = 5_000
+
+
+def order_text() -> Column:
+    """The global order as one string that sorts like ORDER; no key holds the
+    separator."""
+    return F.concat_ws("\0", F.col("surt"), F.date_format("fetched_at", _SORTABLE_TIME), F.col("capture_id"))
+
+
+def locate(packed: DataFrame, placed: DataFrame) -> DataFrame:
+    """Add its archive file to each packed record.
+
+    A file holds a contiguous range of the global order, so its name follows
+    from where the record sorts between the first records of the files.  The
+    wide rows are not shuffled for that: the first keys of the parts are a short
+    list in the plan, and the files of a part come from a table with one row per
+    part.  With too many parts for a list the names are joined on the record id.
+    """
+    first = placed.filter(F.col("offset") == 0).select(
+        "part", F.struct(order_text().alias("key"), F.col("filename")).alias("file")
+    )
+    files = materialize(first.groupBy("part").agg(F.array_sort(F.collect_list("file")).alias("files")), "files")
+    starts = (
+        files.select("part", F.col("files")[0]["key"].alias("key"))
+        .orderBy("part")
+        .limit(MAX_SEARCHED_PARTS + 1)
+        .collect()
+    )
+    if len(starts) > MAX_SEARCHED_PARTS:
+        return packed.join(placed.select("capture_id", "filename"), "capture_id")
+    # Strings that the optimizer folds into array literals.
+    keys = F.split(F.lit("\n".join(r["key"] for r in starts)), "\n")
+    parts = F.split(F.lit(",".join(str(r["part"]) for r in starts)), ",").cast("array<int>")
+
+    def last_not_after(sorted_keys: Column, key: Column) -> Column:
+        return F.size(F.filter(sorted_keys, lambda k: k <= key))
+
+    return (
+        packed.withColumn("_key", order_text())
+        .withColumn("part", F.element_at(parts, last_not_after(keys, F.col("_key"))))
+        .join(files, "part")
+        .withColumn(
+            "filename",
+            F.element_at("files", last_not_after(F.col("files")["key"], F.col("_key")))["filename"],
+        )
+        .drop("_key", "part", "files")
+    )
+
+
 def file_sizes(placed: DataFrame, size: str = "length") -> DataFrame:
     return placed.groupBy("filename").agg(F.sum(size).alias("bytes"), F.count("*").alias("records"))
 

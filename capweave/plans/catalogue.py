@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from capweave.operators.ordering import ordered, with_rank
 from capweave.operators.rules import Rule, dispatch, filter_by_rule
 from capweave.operators.scratch import materialize, scratch_path
 from capweave.plans.export import export_package
+from capweave.plans.replay import replay
 from capweave.plans.session import ship_package
 from capweave.sources import sample_site as S
 from capweave.sources.config import parse_config
@@ -84,6 +86,11 @@ def _config():
     return parse_config(CONFIG)
 
 
+def _replay_config():
+    """No size limit and the two plain rules."""
+    return replace(_config(), max_body_length=None, rules=HTML_RULES)
+
+
 def _extractors() -> X.Extractors:
     known = X.Extractors()
     known.add("patterns", X.pattern_extractor(PATTERNS))
@@ -435,6 +442,13 @@ def discovery_tree(spark, sf_dir):
     return tree.select("surt", "parent_surt", "discovered_in", "hops", "steps")
 
 
+@query
+def archive_replay(spark, sf_dir):
+    raw = S.read_pages(spark, sf_dir).filter(F.col("page_id") % SEED_EVERY == 0)
+    done = replay(S.site_captures(spark, sf_dir), raw.select(F.col("url").alias("raw_url")), _replay_config())
+    return done.archived.select("surt", "hops", "discovered_in", "capture_id")
+
+
 # Export
 
 

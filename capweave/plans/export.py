@@ -27,6 +27,15 @@ def _bytes(text: Column) -> Column:
     return F.encode(F.concat(text, F.lit("\n")), "UTF-8")
 
 
+def _file_rows(df: DataFrame, folder: str, name: Column, seq: Column, payload: Column) -> DataFrame:
+    """Rows for the file sink; ``seq`` is a number within the file."""
+    return df.select(
+        F.concat(F.lit(f"{folder}/"), name).alias("name"),
+        F.lpad(seq.cast("string"), 20, "0").alias("seq"),
+        payload.alias("payload"),
+    )
+
+
 def export_package(
     captures: DataFrame,
     entry_points: DataFrame,
@@ -41,91 +50,67 @@ def export_package(
     """
     # Offsets and bytes must come from one run, so records are written down first.
     packed = materialize(A.pack(captures), "packed")
-    index = packed.drop("record_gz")
-    placed = A.place_by_rotation(index, "length", threshold)
-
-    write_files(
-        packed.select("capture_id", "record_gz")
-        .join(placed.select("capture_id", "filename", "offset"), "capture_id")
-        .select(
-            F.concat(F.lit("archive/"), "filename").alias("name"),
-            F.col("offset").alias("seq"),
-            F.col("record_gz").alias("payload"),
-        ),
-        root,
-    )
-    _write_index(placed, root)
-    _write_pages(placed, entry_points, root)
+    placed = A.place_by_rotation(packed.drop("record_gz"), "length", threshold)
+    rows = _archive_rows(packed, placed)
+    for more in (*_index_rows(placed), *_page_rows(placed, entry_points)):
+        rows = rows.unionByName(more)
+    write_files(rows, root, files=placed.filter(F.col("offset") == 0).count() + 4)
     entries = listing(captures.sparkSession, root)
-    _write_manifest(entries, root)
+    write_files(_manifest_rows(entries), root)
     return entries
 
 
-def _write_index(placed: DataFrame, root: str) -> None:
+def _archive_rows(packed: DataFrame, placed: DataFrame) -> DataFrame:
+    return A.locate(packed.select(*A.ORDER, "record_gz"), placed).select(
+        F.concat(F.lit("archive/"), "filename").alias("name"),
+        A.order_text().alias("seq"),
+        F.col("record_gz").alias("payload"),
+    )
+
+
+def _index_rows(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = placed.withColumn("line", A.cdx_line(F.col("filename"), F.col("offset"), F.col("length")))
     blocks = materialize(A.compressed_blocks(A.cdx_blocks(lines)), "blocks")
-    several = blocks.filter(F.col("shard") > 0).limit(1).count() > 0
-    located = A.with_block_offsets(blocks.drop("payload")).withColumn(
-        "filename", _sharded("index", ".cdx.gz", F.col("shard"), several)
-    )
-    write_files(
-        blocks.select(
-            F.concat(F.lit("indexes/"), _sharded("index", ".cdx.gz", F.col("shard"), several)).alias("name"),
-            F.col("block").alias("seq"),
-            "payload",
-        ),
-        root,
-    )
-    write_files(
-        located.select(
-            F.concat(F.lit("indexes/"), _sharded("index", ".idx", F.col("shard"), several)).alias("name"),
-            F.col("block").alias("seq"),
-            _bytes(A.index_line()).alias("payload"),
+    several = (blocks.agg(F.max("shard")).first()[0] or 0) > 0
+    name = _sharded("index", ".cdx.gz", F.col("shard"), several)
+    located = A.with_block_offsets(blocks.drop("payload")).withColumn("filename", name)
+    return (
+        _file_rows(blocks, "indexes", name, F.col("block"), F.col("payload")),
+        _file_rows(
+            located, "indexes", _sharded("index", ".idx", F.col("shard"), several), F.col("block"), _bytes(A.index_line())
         ),
-        root,
     )
 
 
-def _write_pages(placed: DataFrame, entry_points: DataFrame, root: str) -> None:
+def _page_rows(placed: DataFrame, entry_points: DataFrame) -> list[DataFrame]:
+    made = []
     spark = placed.sparkSession
     for main, rows in zip((True, False), A.split_pages(placed, entry_points)):
-        stem = "pages" if main else "extraPages"
-        rows = rows.select("part", "place", A.page_line().alias("line"))
         parts = [r[0] for r in rows.select("part").distinct().orderBy("part").collect()] or [0]
-        several = len(parts) > 1
-        name = F.concat(F.lit("pages/"), _sharded(stem, ".jsonl", F.col("part"), several))
-        heads = spark.createDataFrame([(p,) for p in parts], "part int").select(
-            name.alias("name"), F.lit(-1).cast("long").alias("seq"), _bytes(A.page_header(main)).alias("payload")
-        )
-        write_files(
-            heads.unionByName(
-                rows.select(name.alias("name"), F.col("place").alias("seq"), _bytes(F.col("line")).alias("payload"))
-            ),
-            root,
-        )
-
-
-def _write_manifest(entries: DataFrame, root: str) -> None:
-    """``datapackage.json``: one line per file between a fixed head and tail, so
+        name = _sharded("pages" if main else "extraPages", ".jsonl", F.col("part"), len(parts) > 1)
+        heads = spark.createDataFrame([(p,) for p in parts], "part int")
+        made.append(_file_rows(heads, "pages", name, F.lit(0), _bytes(A.page_header(main))))
+        made.append(_file_rows(rows, "pages", name, F.col("place") + 1, _bytes(A.page_line())))
+    return made
+
+
+def _manifest_rows(entries: DataFrame) -> DataFrame:
+    """``datapackage.json``: one row per file between a fixed head and tail, so
     the list is written by a task and not gathered on the driver."""
     created = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
     head = (
         f'{{"profile":"{PROFILE}","wacz_version":"{PACKAGE_VERSION}",'
         f'"software":"{SOFTWARE}","created":"{created}","resources":['
     )
-    spark = entries.sparkSession
     ranked = ordered(entries, ["path"], 1)
     body = ranked.select(
-        (F.col("place") + 1).alias("seq"),
+        F.col("place").alias("seq"),
         F.concat(
             F.when(F.col("place") == 0, F.lit("")).otherwise(F.lit(",")),
             F.to_json(F.struct("name", "path", "hash", "bytes")),
         ).alias("text"),
     )
-    ends = spark.createDataFrame([(0, head), (1 << 62, "]}")], "seq long, text string")
-    write_files(
-        body.unionByName(ends).select(
-            F.lit("datapackage.json").alias("name"), "seq", _bytes(F.col("text")).alias("payload")
-        ),
-        root,
+    ends = entries.sparkSession.createDataFrame([(-1, head), (1 << 62, "]}")], "seq long, text string")
+    return body.unionByName(ends).select(
+        F.lit("datapackage.json").alias("name"), "seq", _bytes(F.col("text")).alias("payload")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tomllib
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from capweave.operators.rules import Rule
@@ -27,9 +28,14 @@ class CrawlConfig:
         return json.dumps(tomllib.loads(self.text))
 
 
-def parse_config(text: str) -> CrawlConfig:
-    """Rules come in the order of their names.  A script names its extractor
-    with ``extractor``, or by its own name."""
+def parse_config(text: str, extractors: Mapping[str, str] | None = None) -> CrawlConfig:
+    """Rules come in the order of their names.
+
+    A script names its extractor with ``extractor``.  Files without that entry
+    are read through ``extractors``, which maps script names to extractors; a
+    script in neither is taken to be named like its extractor.
+    """
+    extractors = extractors or {}
     data = tomllib.loads(text)
     limiter = data.get("ratelimiter", {})
     rules = []
@@ -38,7 +44,7 @@ def parse_config(text: str) -> CrawlConfig:
         rules.append(
             Rule(
                 name=name,
-                extractor=script.get("extractor", name),
+                extractor=script.get("extractor") or extractors.get(name, name),
                 url_pattern=wanted.get("url_pattern"),
                 mime_types=tuple(wanted.get("mime_types", ())),
             )
@@ -52,6 +58,6 @@ def parse_config(text: str) -> CrawlConfig:
     )
 
 
-def read_config(path: str) -> CrawlConfig:
+def read_config(path: str, extractors: Mapping[str, str] | None = None) -> CrawlConfig:
     with open(path, encoding="utf-8") as source:
-        return parse_config(source.read())
+        return parse_config(source.read(), extractors)

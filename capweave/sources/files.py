@@ -1,8 +1,8 @@
 """Sink that joins byte payloads into named files.
 
-Used for every file of an export package.  Rows carry (name, seq, payload);
-the rows of one name must reach one task in order, which :func:`write_files`
-arranges.  A task writes files under a name of its own attempt and reports
+Used for every file of an export package.  Rows carry a name, a value to sort
+by and a payload; the rows of one name must reach one task in order, which
+:func:`write_files` arranges.  A task writes files under a name of its own attempt and reports
 their digests; the commit renames them and writes one listing.  A failed or
 repeated attempt therefore leaves no trace in the package.
 """
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-SCHEMA = "name string, seq bigint, payload binary"
+SCHEMA = "name string, payload binary"
 LISTING = "_files"
 LISTING_SCHEMA = "name string, path string, hash string, bytes bigint"
 _FORMAT = "capweave_files"
@@ -93,13 +93,17 @@ class FilesDataSource(DataSource):
         return _FilesWriter(self.options["path"])
 
 
-def write_files(rows: DataFrame, root: str) -> None:
-    """Write (name, seq, payload) rows as files under ``root``."""
+def write_files(rows: DataFrame, root: str, files: int = 1) -> None:
+    """Write (name, seq, payload) rows as files under ``root``.
+
+    ``files`` is about the number of distinct names; a task gets few of them.
+    """
     rows.sparkSession.dataSource.register(FilesDataSource)
     (
         rows.select("name", "seq", "payload")
-        .repartition("name")
+        .repartition(max(files, 1), "name")
         .sortWithinPartitions("name", "seq")
+        .select("name", "payload")
         .write.format(_FORMAT)
         .option("path", root)
         .mode("append")

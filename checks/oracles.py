@@ -409,20 +409,20 @@ define("crawl_edge", ["resolved"], f"""
 SELECT src_surt, src_url, surt, min(cross_host::BIGINT * {HOP} + 1) AS step FROM resolved GROUP BY ALL""")
 
 
-def _reach(edges: str) -> str:
+def _reach(name: str, edges: str) -> str:
     return f"""!(surt, dist) USING KEY (surt) AS (
   SELECT DISTINCT surt, 0::BIGINT FROM seed
   UNION
-  SELECT e.surt, min(r.dist + e.step) FROM reached r JOIN {edges} e ON e.src_surt = r.surt
-    LEFT JOIN recurring.reached k ON k.surt = e.surt
+  SELECT e.surt, min(r.dist + e.step) FROM {name} r JOIN {edges} e ON e.src_surt = r.surt
+    LEFT JOIN recurring.{name} k ON k.surt = e.surt
   WHERE r.dist + e.step < {(C.MAX_HOPS + 1) * HOP} AND (k.dist IS NULL OR r.dist + e.step < k.dist)
   GROUP BY e.surt)"""
 
 
-define("reached", ["crawl_edge", "seed"], _reach("crawl_edge"))
+define("reached", ["crawl_edge", "seed"], _reach("reached", "crawl_edge"))
 ORACLES["crawl_reach"] = with_("reached", recursive=True) + f"""
 SELECT surt, (dist // {HOP})::INTEGER AS hops FROM reached"""
-ORACLES["discovery_tree"] = with_("reached", recursive=True) + f"""
+define("tree", ["reached"], f"""
 SELECT surt, coalesce(best.s, surt) AS parent_surt, coalesce(best.u, url) AS discovered_in,
   (dist // {HOP})::INTEGER AS hops, (dist % {HOP})::INTEGER AS steps
 FROM reached LEFT JOIN (
@@ -430,15 +430,17 @@ FROM reached LEFT JOIN (
   FROM crawl_edge e JOIN reached a ON a.surt = e.src_surt JOIN reached b ON b.surt = e.surt
   WHERE a.dist + e.step = b.dist GROUP BY e.surt
 ) ON target = surt
-LEFT JOIN (SELECT surt AS seed_surt, min(url) AS url FROM seed GROUP BY 1) ON seed_surt = surt"""
-_full_reach = CTES["reached"]
+LEFT JOIN (SELECT surt AS seed_surt, min(url) AS url FROM seed GROUP BY 1) ON seed_surt = surt""")
+ORACLES["discovery_tree"] = with_("tree", recursive=True) + """
+SELECT surt, parent_surt, discovered_in, hops, steps FROM tree"""
+ORACLES["archive_replay"] = with_("tree", recursive=True) + """
+SELECT surt, hops, discovered_in, capture_id FROM tree JOIN docs USING (surt)"""
 define("open_edge", ["crawl_edge", "seed"], """
 SELECT * FROM crawl_edge WHERE md5(src_surt) >= '8' OR src_surt IN (SELECT surt FROM seed)
   OR src_surt NOT IN (SELECT surt FROM docs)""")
-define("reached", ["open_edge", "seed"], _reach("open_edge"))
-ORACLES["crawl_resume"] = with_("reached", recursive=True) + f"""
-SELECT surt, (dist // {HOP})::INTEGER AS hops FROM reached"""
-define("reached", ["crawl_edge", "seed"], _full_reach)
+define("reached_open", ["open_edge", "seed"], _reach("reached_open", "open_edge"))
+ORACLES["crawl_resume"] = with_("reached_open", recursive=True) + f"""
+SELECT surt, (dist // {HOP})::INTEGER AS hops FROM reached_open"""
 ORACLES["host_edges"] = with_("resolved") + f"""
 SELECT {host('src_url')} AS src_host, {host('url')} AS dst_host, count(*) AS links FROM resolved GROUP BY ALL"""
 
