@@ -27,6 +27,7 @@ from capweave.functions.http import (
 )
 from capweave.operators.ordering import ordered, part_bases, with_rank, with_running_start
 from capweave.operators.scratch import materialize
+from capweave.operators.skew import key_join
 
 # Sizes, levels and names of the package format.
 WARC_THRESHOLD = 1_000_000_000
@@ -305,5 +306,6 @@ def page_header(main: bool) -> Column:
 
 def split_pages(captures: DataFrame, entry_points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(main, extra): captures whose key is an entry point, and all others."""
-    keys = entry_points.select(F.col("entry_point").alias("surt")).distinct()
-    return captures.join(keys, "surt", "left_semi"), captures.join(keys, "surt", "left_anti")
+    keys = entry_points.select(F.col("entry_point").alias("surt"))
+    main, extra = (key_join(captures, keys, "surt", "capture_id", how) for how in ("left_semi", "left_anti"))
+    return main, extra

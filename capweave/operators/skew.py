@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is heavy above HEAVY_ROWS rows; at most MAX_HEAVY are looked at, the
-# heaviest first, so the list that goes into the plan stays bounded.  Keys
-# beyond the list hold less than 1/MAX_HEAVY of the rows each and join plainly.
+# A key is heavy above HEAVY_ROWS rows and gets one salt per HEAVY_ROWS.  At most
+# MAX_HEAVY keys are looked at, the heaviest first, so the list that goes into the
+# plan stays bounded; keys beyond it hold less than 1/MAX_HEAVY of the rows each
+# and join plainly.
 HEAVY_ROWS = 1_000_000
 MAX_HEAVY = 64
-SALTS = 64
+MAX_SALTS = 4_096
 
+# Key lists up to this many rows are broadcast, longer ones are joined by shuffle.
+MAX_BROADCAST_KEYS = 100_000
 
-def heavy_keys(df: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS) -> list:
+Heavy = dict[str, int]  # key -> number of salts
+
+
+def heavy_keys(df: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS) -> Heavy:
     """The keys with more than ``heavy_rows`` rows, from a scan of the key alone."""
     top = (
         df.filter(F.col(key).isNotNull())
@@ -23,22 +29,26 @@ def heavy_keys(df: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS) -> list:
         .orderBy(F.desc("count"), key)
         .limit(MAX_HEAVY)
     )
-    return [row[0] for row in top.collect()]
+    return {row[0]: min(MAX_SALTS, row[1] // max(heavy_rows, 1) + 1) for row in top.collect()}
+
+
+def _salts(key: Column, heavy: Heavy) -> Column:
+    pairs = [F.lit(x) for pair in heavy.items() for x in pair]
+    return F.try_element_at(F.create_map(*pairs), key)
 
 
-def salt_of(key: Column, heavy: list, spread: Column, salts: int = SALTS) -> Column:
+def salt_of(key: Column, heavy: Heavy, spread: Column) -> Column:
     """Salt of a row on the large side: spread for heavy keys, 0 for others."""
     if not heavy:
         return F.lit(0)
-    return F.when(key.isin(heavy), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
+    return F.coalesce(F.pmod(F.xxhash64(spread), _salts(key, heavy)).cast("int"), F.lit(0))
 
 
-def all_salts(key: Column, heavy: list, salts: int = SALTS) -> Column:
+def all_salts(key: Column, heavy: Heavy) -> Column:
     """Salts a row on the small side must be copied to; one for ordinary keys."""
     if not heavy:
         return F.array(F.lit(0))
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    return F.when(key.isin(heavy), every).otherwise(F.array(F.lit(0)))
+    return F.sequence(F.lit(0), F.coalesce(_salts(key, heavy), F.lit(1)) - 1)
 
 
 def skew_join(
@@ -48,7 +58,6 @@ def skew_join(
     spread: str,
     how: str = "left",
     heavy_rows: int = HEAVY_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join of a large ``left`` with a ``right`` that has few rows per key.
 
@@ -59,6 +68,18 @@ def skew_join(
     heavy = heavy_keys(left, key, heavy_rows)
     if not heavy:
         return left.join(right, key, how)
-    salted = left.withColumn("_salt", salt_of(F.col(key), heavy, F.col(spread), salts))
-    copied = right.withColumn("_salt", F.explode(all_salts(F.col(key), heavy, salts)))
+    salted = left.withColumn("_salt", salt_of(F.col(key), heavy, F.col(spread)))
+    copied = right.withColumn("_salt", F.explode(all_salts(F.col(key), heavy)))
     return salted.join(copied, [key, "_salt"], how).drop("_salt")
+
+
+def key_join(left: DataFrame, keys: DataFrame, key: str, spread: str, how: str) -> DataFrame:
+    """Semi or anti join with a list of keys that is short as a rule.
+
+    Its length is checked: a short list is broadcast, which no hot key can
+    unbalance, and a long one goes through :func:`skew_join`.
+    """
+    keys = keys.select(key).distinct()
+    if keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
+        return left.join(F.broadcast(keys), key, how)
+    return skew_join(left, keys, key, spread, how)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from capweave.functions.urls import normalize_url, surt
 from capweave.operators.ordering import ordered, with_rank
-from capweave.operators.skew import HEAVY_ROWS, skew_join
+from capweave.operators.skew import HEAVY_ROWS, key_join, skew_join
 
 METADATA_COLUMNS = (
     "capture_id",
@@ -91,7 +91,7 @@ def seed_urls(raw: DataFrame, column: str = "raw_url") -> DataFrame:
 
 def invalidate(captures: DataFrame, seeds: DataFrame) -> DataFrame:
     """Captures whose key is not a seed; seeds are always fetched anew."""
-    return captures.join(seeds.select("surt").distinct(), "surt", "left_anti")
+    return key_join(captures, seeds, "surt", "capture_id", "left_anti")
 
 
 def crawl_info(seeds: DataFrame, config_json: str) -> DataFrame:

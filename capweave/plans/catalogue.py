@@ -23,6 +23,7 @@ from capweave.plans.export import export_package
 from capweave.plans.replay import replay
 from capweave.plans.session import ship_package
 from capweave.sources import sample_site as S
+from capweave.sources import store_files
 from capweave.sources.config import parse_config
 from capweave.streaming import jobs
 
@@ -172,6 +173,16 @@ def no_clobber_append(spark, sf_dir):
     return store.append_new(old, new).select("surt", "capture_id", "status")
 
 
+@query
+def stored_captures(spark, sf_dir):
+    captures = S.captures(spark, sf_dir)
+    root = scratch_path(spark, "store")
+    store_files.write_store(captures.filter("hops = 0"), root)
+    store_files.append_store(captures.filter("hops > 0"), root)
+    found = store.attach_bodies(store_files.read_index(spark, root), store_files.read_bodies(spark, root))
+    return found.select("surt", "capture_id", "status", F.octet_length("body").cast("long").alias("body_bytes"))
+
+
 @query
 def seed_invalidate(spark, sf_dir):
     kept = store.invalidate(store.scan_metadata(S.captures(spark, sf_dir)), _seeds(spark, sf_dir))

@@ -261,6 +261,9 @@ SELECT surt, capture_id, status FROM (
   SELECT * FROM captures WHERE hops >= 2
   QUALIFY row_number() OVER (PARTITION BY surt ORDER BY fetched_at DESC, capture_id DESC) = 1)
 WHERE surt NOT IN (SELECT surt FROM captures WHERE hops < 2)"""
+ORACLES["stored_captures"] = with_("captures") + """
+SELECT surt, capture_id, status, strlen(body)::BIGINT AS body_bytes FROM captures
+QUALIFY row_number() OVER (PARTITION BY surt ORDER BY hops > 0, fetched_at DESC, capture_id DESC) = 1"""
 ORACLES["seed_invalidate"] = with_("captures", "seed") + """
 SELECT capture_id, surt FROM captures WHERE surt NOT IN (SELECT surt FROM seed)"""
 ORACLES["entry_points"] = with_("seed") + f"""

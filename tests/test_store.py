@@ -1,11 +1,14 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from capweave.operators import store
+from capweave.operators import skew, store
 from capweave.operators.ordering import ordered, with_rank, with_running_start
 from capweave.operators.skew import heavy_keys, skew_join
+from capweave.operators.scratch import scratch_path
 from capweave.plans.session import ship_package
+from capweave.sources import store_files
 
 SCHEMA = "capture_id string, surt string, fetched_at timestamp_ntz, body binary, body_digest string"
 
@@ -67,14 +70,43 @@ def test_skew_join_equals_plain_join(spark):
         F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k")
     )
     right = spark.createDataFrame([("hot", 1), ("1", 2), ("2", 3)], "k string, v int")
-    assert heavy_keys(left, "k", 100) == ["hot"]
+    assert heavy_keys(left, "k", 100) == {"hot": 4}
     for how in ("inner", "left", "left_semi", "left_anti"):
-        salted = skew_join(left, right, "k", "n", how, heavy_rows=100, salts=7)
+        salted = skew_join(left, right, "k", "n", how, heavy_rows=100)
         assert sorted(map(tuple, salted.select("n").collect())) == sorted(
             map(tuple, left.join(right, "k", how).select("n").collect())
         )
 
 
+@pytest.mark.parametrize("limit", [0, 100])
+def test_key_join_with_short_and_long_lists(spark, monkeypatch, limit):
+    monkeypatch.setattr(skew, "MAX_BROADCAST_KEYS", limit)
+    left = spark.createDataFrame([(i, "hot" if i % 2 else str(i)) for i in range(50)], "n int, k string")
+    keys = spark.createDataFrame([("hot",), ("hot",), ("4",)], "k string")
+    kept = sorted(r["n"] for r in skew.key_join(left, keys, "k", "n", "left_semi").collect())
+    rest = sorted(r["n"] for r in skew.key_join(left, keys, "k", "n", "left_anti").collect())
+    assert kept == sorted([4, *range(1, 50, 2)]) and rest == sorted(set(range(50)) - set(kept))
+
+
+def test_written_store_keeps_or_clears(spark):
+    root = scratch_path(spark, "store")
+    base = {c: F.lit(None).cast("string") for c in store.METADATA_COLUMNS if c not in ("capture_id", "surt", "fetched_at")}
+    old = captures(spark, [("1", "a", 1, b"x"), ("2", "b", 1, b"y")]).withColumns(base)
+    new = captures(spark, [("3", "b", 5, b"z"), ("4", "c", 1, b"x"), ("5", "d", 1, b"w")]).withColumns(base)
+
+    def held():
+        rows = store.attach_bodies(store_files.read_index(spark, root), store_files.read_bodies(spark, root))
+        return sorted((r["surt"], r["capture_id"], bytes(r["body"])) for r in rows.collect())
+
+    store_files.write_store(old, root)
+    assert held() == [("a", "1", b"x"), ("b", "2", b"y")]
+    store_files.append_store(new, root)
+    assert held() == [("a", "1", b"x"), ("b", "2", b"y"), ("c", "4", b"x"), ("d", "5", b"w")]
+    assert store_files.read_bodies(spark, root).count() == 3
+    store_files.write_store(new, root)
+    assert [r[:2] for r in held()] == [("b", "3"), ("c", "4"), ("d", "5")]
+
+
 def test_rank_and_running_total_over_parts(spark):
     ship_package(spark)
     rows = [("hot" if i % 3 else f"k{i:04}", i, i % 17) for i in range(3000)]
