@@ -32,7 +32,7 @@ CATALOGUE: dict[str, Query] = {}
 
 # Parameters shared with the SQL twins of the queries.
 MAX_HOPS = 1
-SEED_EVERY = 20
+SEED_MARK = "utm_source=feed"  # pages announced in a feed are the seeds
 BODY_LIMIT = 4000
 FILE_THRESHOLD = 1_000_000
 RATE = ("minute", 1)
@@ -99,8 +99,12 @@ def _extractors() -> X.Extractors:
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = S.read_pages(spark, sf_dir).filter(F.col("page_id") % SEED_EVERY == 0)
-    return store.seed_urls(raw.select(F.col("url").alias("raw_url")))
+    return store.seed_urls(_raw_seeds(spark, sf_dir))
+
+
+def _raw_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    announced = S.read_pages(spark, sf_dir).filter(F.contains("url", F.lit(SEED_MARK)))
+    return announced.select(F.col("url").alias("raw_url"))
 
 
 def _entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,7 +446,7 @@ def crawl_reach(spark, sf_dir):
 
 @query
 def crawl_resume(spark, sf_dir):
-    stored = _site(spark, sf_dir).filter(F.md5("surt") < "8")
+    stored = _site(spark, sf_dir).filter(F.col("url").startswith("https:"))
     return crawl.reach(_edges(spark, sf_dir), _seeds(spark, sf_dir), MAX_HOPS, stored=stored).select("surt", "hops")
 
 
@@ -455,8 +459,7 @@ def discovery_tree(spark, sf_dir):
 
 @query
 def archive_replay(spark, sf_dir):
-    raw = S.read_pages(spark, sf_dir).filter(F.col("page_id") % SEED_EVERY == 0)
-    done = replay(S.site_captures(spark, sf_dir), raw.select(F.col("url").alias("raw_url")), _replay_config())
+    done = replay(S.site_captures(spark, sf_dir), _raw_seeds(spark, sf_dir), _replay_config())
     return done.archived.select("surt", "hops", "discovered_in", "capture_id")
 
 

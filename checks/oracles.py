@@ -230,7 +230,7 @@ RFC_TIME = "strftime(fetched_at, '%Y-%m-%dT%H:%M:%S.%fZ')"
 define(
     "seed",
     [],
-    f"SELECT DISTINCT {surt('url')} AS surt, url FROM pages WHERE page_id % {C.SEED_EVERY} = 0",
+    f"SELECT DISTINCT {surt('url')} AS surt, url FROM pages WHERE contains(url, {q(C.SEED_MARK)})",
 )
 
 # Store
@@ -439,8 +439,8 @@ SELECT surt, parent_surt, discovered_in, hops, steps FROM tree"""
 ORACLES["archive_replay"] = with_("tree", recursive=True) + """
 SELECT surt, hops, discovered_in, capture_id FROM tree JOIN docs USING (surt)"""
 define("open_edge", ["crawl_edge", "seed"], """
-SELECT * FROM crawl_edge WHERE md5(src_surt) >= '8' OR src_surt IN (SELECT surt FROM seed)
-  OR src_surt NOT IN (SELECT surt FROM docs)""")
+SELECT * FROM crawl_edge WHERE src_surt IN (SELECT surt FROM seed)
+  OR src_surt NOT IN (SELECT surt FROM docs WHERE starts_with(url, 'https:'))""")
 define("reached_open", ["open_edge", "seed"], _reach("reached_open", "open_edge"))
 ORACLES["crawl_resume"] = with_("reached_open", recursive=True) + f"""
 SELECT surt, (dist // {HOP})::INTEGER AS hops FROM reached_open"""
