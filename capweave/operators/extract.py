@@ -21,6 +21,7 @@ from capweave.functions.markup import (
 )
 from capweave.functions.urls import hop_cost, resolve_url, surt
 from capweave.operators.rules import Rule, dispatch, rule_matches
+from capweave.operators.scratch import materialize
 from capweave.operators.skew import HEAVY_ROWS, skew_join
 
 SOURCE_COLUMNS = ("capture_id", "surt", "url", "hops")
@@ -142,7 +143,9 @@ def subresources(
     nulls: they are what an extractor would see as a failed read.  The hop
     limit plays no part here.
     """
-    wanted = links.filter(F.col("kind").isin(list(kinds)))
+    # Finding hot targets scans the links once more, so the extraction behind
+    # them is written down first.
+    wanted = materialize(links.filter(F.col("kind").isin(list(kinds))), "subresources")
     targets = captures.select(
         "surt",
         F.col("capture_id").alias("target_id"),

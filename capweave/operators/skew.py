@@ -63,7 +63,8 @@ def skew_join(
 
     Rows of heavy keys on the left are spread by ``spread``, a column that
     differs between them, and the matching right rows are copied to each salt.
-    Whether a side is broadcast is left to the size checks of the planner.
+    The key of ``left`` is scanned twice, so ``left`` should be a table rather
+    than the end of a long computation.  Whether a side is broadcast is left to the size checks of the planner.
     """
     heavy = heavy_keys(left, key, heavy_rows)
     if not heavy:

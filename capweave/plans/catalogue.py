@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from capweave.functions import http as H
 from capweave.functions import markup as M
-from capweave.functions.common import text_of
-from capweave.functions.urls import host_of, surt
+from capweave.functions.urls import surt
 from capweave.operators import archive as A
 from capweave.operators import audit, crawl, store
 from capweave.operators import extract as X

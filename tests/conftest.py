@@ -1,5 +1,3 @@
-import tempfile
-
 import pytest
 from pyspark.sql import SparkSession
 
@@ -14,7 +12,6 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -58,6 +58,26 @@ def test_rotation_by_parts_is_contiguous(spark):
         assert end - spans[-1][1] <= 5000
 
 
+@pytest.mark.parametrize("searched", [0, 5000])
+def test_records_find_their_files(spark, monkeypatch, searched):
+    ship_package(spark)
+    monkeypatch.setattr(A, "MAX_SEARCHED_PARTS", searched)
+    rows = [(f"{i:05}", "hot" if i % 3 else f"k{i % 7}", (i * 37) % 101 + 1) for i in range(1500)]
+    packed = spark.createDataFrame(rows, "capture_id string, surt string, length long").select(
+        "capture_id", "surt", F.timestamp_seconds(F.col("length")).cast("timestamp_ntz").alias("fetched_at"), "length"
+    )
+    placed = A.place_by_rotation(packed, "length", 3000, parts=4)
+    want = {r["capture_id"]: r["filename"] for r in placed.collect()}
+    located = A.locate(packed, placed)
+    assert {r["capture_id"]: r["filename"] for r in located.collect()} == want and len(want) == 1500
+    if searched:
+        # The wide side stays where it is: only the small table of files travels.
+        text = located._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+        )
+        assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+
+
 @pytest.fixture(scope="module")
 def package(spark, sf_dir):
     ship_package(spark)
