@@ -4,7 +4,7 @@ A document is its sequence of lines that hold a word.  A *gram* is the shortest
 run of lines from a given one on with at least ``GRAM_WORDS`` words.  Of the
 grams that start within ``WINDOW_WORDS`` words the one with the least hash is
 selected, so two documents that share a run of ``GRAM_WORDS + WINDOW_WORDS``
-words share a selected gram wherever the run lies, and a gram of fewer than
+words share a selected gram wherever the run lies, and a run of fewer than
 ``GRAM_WORDS`` words never matches (Schleimer, Wilkerson and Aiken, 2003, with
 words for the length of lines).  Every occurrence of a selected gram after the
 first, by document id and place, is matched with the first; the match is extended
@@ -35,13 +35,15 @@ WINDOW_WORDS = 25
 def _lines(docs: DataFrame) -> DataFrame:
     """A row for each distinct document: key, and its lines' hashes, words and word offsets in order."""
     split = F.split(text_of(), "\n", -1)
-    one = docs.select(id_key().alias("_ld_id"), F.md5(text_of()).alias("_ld_text"), split.alias("_l"))
+    one = docs.select(id_key().alias("_ld_id"), F.xxhash64(text_of()).alias("_ld_text"), split.alias("_l"))
     marked = one.select(
         "_ld_id",
         "_ld_text",
-        F.posexplode(F.transform("_l", lambda x: F.struct(F.md5(x).alias("h"), n_words(x).alias("w")))),
+        F.posexplode(F.transform("_l", lambda x: F.struct(F.unhex(F.md5(x)).alias("h"), n_words(x).cast("int").alias("w")))),
     ).filter("col.w > 0")
-    return marked.select("_ld_id", "_ld_text", "pos", F.col("col.h").alias("h"), F.col("col.w").alias("w"))
+    lines = marked.select("_ld_id", "_ld_text", "pos", F.col("col.h").alias("h"), F.col("col.w").alias("w"))
+    # Laid out as the windows need it; repeated rows of a document fall together without moving texts.
+    return lines.repartition("_ld_id", "_ld_text").dropDuplicates(["_ld_id", "_ld_text", "pos"])
 
 
 def _grams(lines: DataFrame) -> DataFrame:
@@ -51,7 +53,7 @@ def _grams(lines: DataFrame) -> DataFrame:
     numbered = lines.withColumn("c", offset).withColumn("n", F.row_number().over(by_doc))
     by_words = Window.partitionBy("_ld_id", "_ld_text").orderBy("c")
     run = by_words.rangeBetween(0, GRAM_WORDS - 1)
-    run_hash = F.md5(F.array_join(F.collect_list("h").over(run), ","))
+    run_hash = F.unhex(F.md5(F.array_join(F.transform(F.collect_list("h").over(run), F.hex), ",")))
     grams = numbered.withColumn("_long", F.sum("w").over(run) >= GRAM_WORDS).withColumn(
         "g", F.when(F.col("_long"), run_hash)
     )
@@ -62,8 +64,7 @@ def _grams(lines: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(_ld_id, _ld_text, gone): the places of the lines to delete, for documents that lose any."""
-    lines = materialize(_lines(docs.dropDuplicates(["doc_id", "text"])), "lines")
-    grams = materialize(_grams(lines), "grams")
+    grams = materialize(_grams(_lines(docs)), "grams")
     key = ["_ld_id", "_ld_text"]
     picked = grams.filter("pick IS NOT NULL").select(*key, "pick.g", "pick.n").distinct()
     first = picked.groupBy("g").agg(F.count("*").alias("often"), F.min(F.struct(*key, "n")).alias("at"))
@@ -110,7 +111,7 @@ def _extended() -> Column:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with later repeated runs of lines cut from the text; adds ``_ld_gone``, the places cut (null if none)."""
     gone = removed_lines(docs)
-    keyed = docs.withColumn("_ld_id", id_key()).withColumn("_ld_text", F.md5(text_of()))
+    keyed = docs.withColumn("_ld_id", id_key()).withColumn("_ld_text", F.xxhash64(text_of()))
     joined = keyed.join(gone.withColumnRenamed("gone", "_ld_gone"), ["_ld_id", "_ld_text"], "left")
     split = F.split(text_of(), "\n", -1)
     kept = F.filter(split, lambda x, i: ~F.array_contains("_ld_gone", i))
@@ -127,7 +128,7 @@ n AS (
   SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) - w AS c, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n
   FROM w WHERE w > 0),
 g AS (
-  SELECT *, CASE WHEN sum(w) OVER r >= {GRAM_WORDS} THEN md5(array_to_string(list(h) OVER r, ',')) END AS g FROM n
+  SELECT *, CASE WHEN sum(w) OVER r >= {GRAM_WORDS} THEN md5(array_to_string(list(upper(h)) OVER r, ',')) END AS g FROM n
   WINDOW r AS (PARTITION BY doc_id ORDER BY c RANGE BETWEEN CURRENT ROW AND {GRAM_WORDS - 1} FOLLOWING)),
 p AS (
   SELECT doc_id, min(CASE WHEN g IS NOT NULL THEN {{'g': g, 'n': n}} END) OVER (

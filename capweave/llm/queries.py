@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capweave.llm import line_dedup, mixing
+from capweave.llm import bpe, line_dedup, mixing, near_dup, toxicity
 from capweave.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,3 +35,31 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query("op10_near_duplicates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = near_dup.id_of
+    return found.select(key(F.col("key")).alias("doc_id"), key(F.col("class")).alias("class_id"), F.col("links").alias("n_links"))
+
+
+def _digests(encoded: DataFrame) -> DataFrame:
+    done = bpe.decode(encoded)
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        bpe.ids_sha256("ids").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@_query("op2_byte_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digests(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@_query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return toxicity.toxicity(docs.select("doc_id", "text"), labels.select("doc_id", "toxic")).select("doc_id", "held_out", "score", "predicted")

@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from capweave.llm import line_dedup, mixing
+from capweave.llm import bpe, line_dedup, mixing, near_dup, toxicity
 from capweave.llm.tables import materialize, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out the documents that the classifier calls toxic."""
+    judged = toxicity.toxicity(docs.select(*COLUMNS), read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return judged.filter("predicted = 0").select(*COLUMNS)
+
+
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes passages that an earlier document or line already has."""
-    return line_dedup.dedup_lines(docs.select(*COLUMNS)).select(*COLUMNS)
+    """Deletes passages that an earlier document or line already has; ``n_chars`` follows the text."""
+    cut = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    n_chars = F.when(F.col("_ld_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
+    return cut.withColumn("n_chars", n_chars).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each class of near copies."""
+    return near_dup.survivors(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +34,26 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs.select(*COLUMNS))
 
 
-STAGES = [("line dedup", cut_repeated_lines), ("mixing", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, checked by decoding them."""
+    done = bpe.decode(bpe.encode(docs.select(*COLUMNS)))
+    return done.select(
+        "doc_id",
+        "lang",
+        "source",
+        "ids",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", cut_repeated_lines),
+    ("near-dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("byte-level BPE", encode),
+]
 
 #: No SQL: the classifier, the sampled signatures and the merges have no form in SQL.
 ORACLE_SQL = None
