@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capweave.llm import bpe, line_dedup, mixing, near_dup, toxicity
+from capweave.llm import ann, bpe, line_dedup, mixing, near_dup, pii, quality, toxicity, url_filter
 from capweave.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +63,30 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     return toxicity.toxicity(docs.select("doc_id", "text"), labels.select("doc_id", "toxic")).select("doc_id", "held_out", "score", "predicted")
+
+
+@_query("op9_quality_rules", quality.SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.verdicts(quality.ledger(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return judged.select("doc_id", *quality.MEASURES[:5], "base_failed", "kept")
+
+
+@_query("op8_personal_data")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = found.select("*", *[pii.how_many(kind).alias(f"n_{kind}") for kind in pii.KINDS])
+    counts = [f"n_{kind}" for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.named_spans(False), 256).alias("base_sha256"), pii.named_spans(True).alias("spans")
+    )
+
+
+@_query("op6_url_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query("op1_nearest_neighbours")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
