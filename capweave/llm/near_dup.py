@@ -9,9 +9,10 @@ rarely for the threshold are set aside, and the rest are verified on their whole
 texts.  Classes are the connected components of the verified links.
 
 Large buckets are never paired off in full.  In a bucket of more than
-``PAIRED`` documents all are verified against one pivot, a different one in each
-band; those that are not linked to it go on to narrower buckets, of two bands,
-then three and so on, until every bucket is small enough to be paired in full.
+``PAIRED`` documents all are verified against one pivot, the document that shares
+its buckets with most others; those that are not linked to it go on to narrower
+buckets, of two bands, then three and so on, until every bucket is small enough
+to be paired in full.
 
 Document frequencies are counted over all documents in ``BUCKETS`` hash buckets, less the mean
 load of a bucket, so the table that is broadcast has a fixed size.  The factor lies
@@ -40,13 +41,13 @@ from capweave.llm.words import Words, chunks, mixed, shingles
 
 SIMILARITY = 0.8
 BANDS = 12
-ROWS = 3
+ROWS = 4
 BUCKETS = 1 << 18
 DAMPING = 0.25
 PAIRED = 24
 #: Least share of samples in which a pair must agree to be verified: four and a half
 #: standard deviations below the threshold.
-AGREEMENT = 18
+AGREEMENT = 26
 
 _SAMPLES = BANDS * ROWS
 _TABLE = 1 << 14
@@ -67,7 +68,7 @@ _SALT = mixed(np.arange(1, _SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32
 def sample(key: np.ndarray, log_weight: np.ndarray, head: np.ndarray) -> np.ndarray:
     """One row of 64-bit samples for each document; ``head`` holds the place of its first shingle."""
     out = np.empty((len(head), _SAMPLES), dtype=np.uint64)
-    size = np.diff(np.append(head, len(key)))
+    place = np.arange(len(key), dtype=np.uint64)
     seed = key.astype(np.uint64)
     for k in range(_SAMPLES):
         bits = (seed ^ _SALT[k]) * np.uint64(0xBF58476D1CE4E5B9)
@@ -78,9 +79,10 @@ def sample(key: np.ndarray, log_weight: np.ndarray, head: np.ndarray) -> np.ndar
         beta = ((bits >> np.uint64(12)).astype(np.uint32) >> np.uint32(8)).astype(np.float32) * np.float32(2.0**-24)
         t = np.floor(log_weight / r + beta)
         log_a = log_c - r * (t - beta + 1)
-        low = np.minimum.reduceat(log_a, head)
-        hit = np.flatnonzero(log_a == np.repeat(low, size))
-        first = hit[np.searchsorted(hit, head)]
+        # The least value of each document with its place: positive floats sort like their bits, and
+        # equal values go to the lesser shingle.
+        packed = (log_a + np.float32(256)).view(np.uint32).astype(np.uint64) << np.uint64(32) | place
+        first = (np.minimum.reduceat(packed, head) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         out[:, k] = mixed(seed[first] * np.uint64(31) + t[first].astype(np.int64).astype(np.uint64))
     return out
 
@@ -217,9 +219,14 @@ def links(signed: DataFrame, texts: DataFrame, idf) -> DataFrame:
     member = member.withColumn("bucket", F.xxhash64("band", "bucket"))
     found = seen = needed = None
     while True:
-        pivot = F.min(F.struct(F.xxhash64("rep", "bucket").alias("o"), "rep", "sig"))
-        sizes = member.groupBy("bucket").agg(F.count("*").alias("n"), pivot.alias("p")).filter("n > 1")
-        sizes = materialize(sizes, "buckets")
+        # The pivot is the document that shares its buckets with most others: in a group of copies of one
+        # text, with changes of their own, that is the one with the fewest changes.
+        sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        shared = member.join(sizes, "bucket")
+        crowd = shared.filter(F.col("n") > PAIRED).groupBy("rep").agg(F.sum("n").alias("crowd"))
+        central = F.max(F.struct("crowd", F.xxhash64("rep").alias("o"), "rep", "sig"))
+        pivots = shared.filter(F.col("n") > PAIRED).join(crowd, "rep").groupBy("bucket").agg(central.alias("p"))
+        sizes = materialize(sizes.join(pivots, "bucket", "left"), "buckets")
         inside = member.join(sizes, "bucket").select(*member.columns, "n", F.col("p.rep").alias("pivot"), F.col("p.sig").alias("ps"))
         inside = materialize(inside, "members")
         small = inside.filter(F.col("n") <= PAIRED)
