@@ -35,16 +35,16 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
 from capweave.llm.tables import materialize, ship_package, text_of
 from capweave.llm.words import mixed
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-COMMON = 1 << 20
+COMMON = 1 << 19
 #: Longer words are left to the texts that hold them, so that the table is bounded in bytes.
 LONGEST = 64
-CHUNK_CHARS = 3 << 20
+CHUNK_CHARS = 1 << 20
 _NONE = (1 << 31) - 1
 _SHIFT = 20  # bits of a token id in a pair
 
@@ -103,7 +103,10 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fold(word: Column, path: str = RANKS) -> Column:
-    """Ids of a word given as its bytes: a fold of ranked merges."""
+    """Ids of a word given as a string with a character for each byte: a fold of ranked merges.
+
+    The state is the ids so far and the rank of each adjacent pair, so a step looks up two pairs only.
+    """
     p, q, keys, ranks = _pair_table(path)
     single = read_ranks(path)
     # Strings that the optimizer folds into array literals.
@@ -112,40 +115,46 @@ def fold(word: Column, path: str = RANKS) -> Column:
         F.split(F.lit(ranks), ",").cast("array<int>").alias("ranks"),
         F.split(F.lit(",".join(str(single[bytes([i])]) for i in range(256))), ",").cast("array<int>").alias("single"),
     )
-    # A byte as a number: its two hexadecimal digits.
-    digits = F.hex(word)
-    byte = lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    none = F.array().cast("array<int>")
 
     def merged(t: Column) -> Column:
         def rank(a: Column, b: Column) -> Column:
-            key = F.shiftleft(a.cast("bigint"), _SHIFT).bitwiseOR(b.cast("bigint"))
-            return _let(key, slot)
+            return _let(F.shiftleft(a.cast("bigint"), _SHIFT).bitwiseOR(b.cast("bigint")), slot)
 
         def slot(key: Column) -> Column:
             one, two = (key % F.lit(p)).cast("int"), (key % F.lit(q)).cast("int")
             return (
-                F.when(F.get(t.keys, one) == key, F.get(t.ranks, one))
-                .when(F.get(t.keys, two) == key, F.get(t.ranks, two))
+                F.when(F.get(t["keys"], one) == key, F.get(t["ranks"], one))
+                .when(F.get(t["keys"], two) == key, F.get(t["ranks"], two))
                 .otherwise(F.lit(_NONE))
             )
 
-        def step(ids: Column, _: Column) -> Column:
-            pairs = F.transform(
-                F.sequence(F.lit(0), F.size(ids) - 2),
-                lambda i: F.struct(rank(F.get(ids, i), F.get(ids, i + 1)).alias("r"), i.alias("i")),
-            )
+        def step(state: Column, _: Column) -> Column:
+            ids, pairs = state["ids"], state["pairs"]
 
             def join(best: Column) -> Column:
-                joined = F.concat(F.slice(ids, F.lit(1), best.i), F.array(best.r), F.slice(ids, best.i + 3, F.size(ids)))
-                return F.when(best.r == _NONE, ids).otherwise(joined)
+                return F.when(best == _NONE, state).otherwise(_let((F.array_position(pairs, best) - 1).cast("int"), lambda i: joined(best, i)))
+
+            def joined(best: Column, i: Column) -> Column:
+                left = F.when(i > 0, F.array(rank(F.get(ids, i - 1), best))).otherwise(none)
+                right = F.when(i + 2 < F.size(ids), F.array(rank(best, F.get(ids, i + 2)))).otherwise(none)
+                before, behind = F.slice(pairs, F.lit(1), F.greatest(i - 1, F.lit(0))), F.slice(pairs, i + 3, F.size(pairs))
+                return F.struct(
+                    F.concat(F.slice(ids, F.lit(1), i), F.array(best), F.slice(ids, i + 3, F.size(ids))).alias("ids"),
+                    F.concat(before, left, right, behind).alias("pairs"),
+                )
 
-            return F.when(F.size(ids) < 2, ids).otherwise(_let(F.array_min(pairs), join))
+            return _let(F.coalesce(F.array_min(pairs), F.lit(_NONE)), join)
 
-        n = F.octet_length(word)
-        start = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(t.single, byte(i)))
-        return F.when(n < 2, start).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), start, step))
+        def begin(ids: Column) -> Column:
+            pairs = F.transform(F.slice(ids, F.lit(2), n), lambda x, i: rank(F.get(ids, i), x))
+            return F.aggregate(F.sequence(F.lit(2), n), F.struct(ids.alias("ids"), pairs.alias("pairs")), step)["ids"]
 
-    return F.when(F.octet_length(word) > 0, _let(literal, merged)).otherwise(F.array().cast("array<int>"))
+        start = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(t["single"], F.ascii(F.substring(word, i, F.lit(1)))))
+        return F.when(n < 2, start).otherwise(_let(start, begin))
+
+    n = F.length(word)
+    return F.when(n > 0, _let(literal, merged)).otherwise(none)
 
 
 # Words of whole columns.
@@ -208,15 +217,14 @@ def word_starts(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def text_words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(texts before, texts, code points, starts and ends of words, places of texts in the words) by pieces of a column."""
-    strings = texts.cast(pa.large_string()).fill_null("").to_pylist()
+    texts = texts.cast(pa.large_string()).fill_null("")
+    n = len(texts)
+    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))]) if n else np.zeros(1)
     at = 0
-    while at < len(strings):
-        to, size = at, 0
-        while to < len(strings) and (to == at or size + len(strings[to]) <= CHUNK_CHARS):
-            size += len(strings[to])
-            to += 1
-        some = strings[at:to]
-        points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    while at < n:
+        to = min(n, max(at + 1, int(np.searchsorted(sizes, sizes[at] + CHUNK_CHARS, side="right")) - 1))
+        some = texts.slice(at, to - at).to_pylist()
+        points = np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32)
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int64)
         start = word_starts(points, bounds) if len(points) else np.zeros(0, dtype=np.int64)
         yield at, to - at, points, start, np.append(start[1:], len(points)).astype(np.int64)[: len(start)], np.searchsorted(start, bounds)
@@ -248,12 +256,13 @@ def word_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mixed(body ^ ((end - start).astype(np.uint64) << np.uint64(40)))
 
 
-def _text(points: np.ndarray, start: int, end: int) -> bytes:
-    return points[start:end].tobytes().decode("utf-32-le", "surrogatepass").encode()
+def _bytes_of(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+    """Words as strings with a character for each byte."""
+    return [points[a:b].tobytes().decode("utf-32-le").encode().decode("latin-1") for a, b in zip(start.tolist(), end.tolist())]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word binary, n): every distinct word with its count over all texts."""
+    """(word, n): every distinct word, a character for each byte, with its count over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,10 +270,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if not len(start):
                     continue
                 _, first, n = np.unique(word_hashes(points, start, end), return_index=True, return_counts=True)
-                words = [_text(points, a, b) for a, b in zip(start[first].tolist(), end[first].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n.astype(np.int64))], ["word", "n"])
+                words = _bytes_of(points, start[first], end[first])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    return docs.select(text_of().alias("text")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_of().alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Dictionary:
@@ -310,7 +319,7 @@ class Dictionary:
 def dictionary(docs: DataFrame, path: str = RANKS, common: int = COMMON) -> Dictionary:
     """The most frequent words of ``docs`` with their ids."""
     counted = materialize(word_counts(docs), "words")
-    short = counted.filter(F.octet_length("word") <= LONGEST)
+    short = counted.filter(F.length("word") <= LONGEST)
     # Groups of counts by their logarithm, a few thousand at most; as many from the top as fit.
     level = F.floor(F.log2("n") * 64).cast("int")
     room, least = common, None
@@ -320,22 +329,19 @@ def dictionary(docs: DataFrame, path: str = RANKS, common: int = COMMON) -> Dict
         room, least = room - row["count"], row.level
     if least is None:
         return Dictionary(np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32))
-    made = short.filter(level >= least).select("word", fold(F.col("word"), path).alias("ids"))
+    made = short.filter(level >= least).select(_word_hash("word").alias("h"), fold(F.col("word"), path).alias("ids"))
     table = materialize(made, "common").toArrow().combine_chunks()  # ``common`` rows at most
-    words, ids = table.column("word").combine_chunks(), table.column("ids").combine_chunks()
-    return Dictionary(_hashes(words), ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy().astype(np.int32))
+    hashes, ids = table.column("h").combine_chunks(), table.column("ids").combine_chunks()
+    return Dictionary(hashes.to_numpy().view(np.uint64), ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy().astype(np.int32))
 
 
-def _hashes(words: pa.Array) -> np.ndarray:
-    """The hash of each word of a binary column."""
-    out = [np.zeros(0, dtype=np.uint64)]
-    step = 1 << 16
-    for at in range(0, len(words), step):
-        some = [x.decode() for x in words.slice(at, step).to_pylist()]
-        points = np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32)
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int64)
-        out.append(word_hashes(points, bounds[:-1], bounds[1:]))
-    return np.concatenate(out)
+@F.arrow_udf(LongType())
+def _word_hash(words: pa.Array) -> pa.Array:
+    """The hash of each word, given with a character for each byte, as a signed number."""
+    some = [x.encode("latin-1").decode() for x in words.to_pylist()]
+    points = np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32)
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int64)
+    return pa.array(word_hashes(points, bounds[:-1], bounds[1:]).view(np.int64))
 
 
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -351,7 +357,7 @@ def encode(docs: DataFrame, path: str = RANKS, known: Dictionary | None = None)
     ship_package(spark)
     shared = spark.sparkContext.broadcast(known or dictionary(docs, path))
 
-    @F.arrow_udf("codes array<int>, rare array<binary>")
+    @F.arrow_udf("codes array<int>, rare array<string>")
     def split(texts: pa.Array) -> pa.Array:
         """Ids of common words; the k-th distinct other word of a text as -k, and these words."""
         table = shared.value
@@ -376,7 +382,7 @@ def encode(docs: DataFrame, path: str = RANKS, known: Dictionary | None = None)
             number = np.empty(len(order), dtype=np.int64)
             number[order] = group - before[t]
             lead = other[order][new]
-            rare += [_text(points, a, b) for a, b in zip(start[lead].tolist(), end[lead].tolist())]
+            rare += _bytes_of(points, start[lead], end[lead])
             rare_ends += (before[1:] + rare_ends[-1]).tolist()
             usual = np.flatnonzero(place >= 0)
             if len(usual):
@@ -388,7 +394,7 @@ def encode(docs: DataFrame, path: str = RANKS, known: Dictionary | None = None)
         lists = pa.ListArray.from_arrays(
             pa.array(np.concatenate(code_ends).astype(np.int32)), pa.array(np.concatenate(codes) if codes else np.zeros(0, dtype=np.int32))
         )
-        words = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.array(rare, pa.binary()))
+        words = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.array(rare, pa.string()))
         return pa.StructArray.from_arrays([lists, words], ["codes", "rare"])
 
     def fill(codes: pa.Array, folded: pa.Array) -> pa.Array:
