@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capweave.llm import ann, bpe, line_dedup, mixing, near_dup, pii, quality, toxicity, url_filter
+from capweave.llm import ann, bpe, html_text, line_dedup, mixing, near_dup, pii, quality, toxicity, url_filter
 from capweave.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op1_nearest_neighbours")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+@_query("op3_main_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
