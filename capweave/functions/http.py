@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 _TOKEN = r"[!#$%&'*+.^_`|~0-9A-Za-z-]+"
 _MEDIA_TYPE = (
     rf"^\s*{_TOKEN}/{_TOKEN}"
-    rf"(?:\s*;\s*{_TOKEN}=(?:{_TOKEN}|\"[^\"]*\")){{0,50}}\s*;?\s*$"
+    rf"(?:\s*+;\s*+{_TOKEN}=(?:{_TOKEN}|\"[^\"]*\"))*+\s*;?\s*$"  # possessive: walked in a loop
 )
 _PROTOCOLS = {
     "HTTP/0.9": "http/0.9",

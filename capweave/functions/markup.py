@@ -9,6 +9,7 @@ and links in comments or script text are not seen.
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,12 +19,10 @@ from capweave.functions.common import bind, code_point
 # The CSS url() pattern and the elements that carry links.
 CSS_URL = r"""url\((?!['"]?(?:data):)['"]?([^'"\)]*)['"]?\)"""
 LINK_ATTRIBUTES = {"a": "href", "link": "href", "img": "src", "script": "src"}
-_NAMED_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
 
-# Quoted values may hold ">".  The repeat is bounded because the Java engine
-# recurses per repeat, and possessive so that it never backtracks; tags beyond
-# it fall to the plain form after it.
-_ATTRS = r"""[\s/][^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+){0,200}+>"""
+# Quoted values may hold ">".  The repeat is possessive: the engine then walks it in
+# a loop, so a tag may have any number of attributes.
+_ATTRS = r"""[\s/][^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""
 _OPEN_SCRIPT = rf"script(?:{_ATTRS}|[\s/][^>]*>|>)"
 _OPEN_STYLE = rf"style(?:{_ATTRS}|[\s/][^>]*>|>)"
 # Every branch starts behind the same "<", which the engine finds quickly.
@@ -35,17 +34,21 @@ TOKEN = (
 )
 # The usual spelling of a tag: plain attributes in double quotes, no reference
 # in the value.  Anything else goes through ATTRIBUTE.
-_UP_TO = r"""(?:(?!{0}[\s=])[a-z-]++(?:="[^"]*+")?+\s++){{0,20}}+{0}"""
+_UP_TO = r"""(?:(?!{0}[\s=])[a-z-]++(?:="[^"]*+")?+\s++)*+{0}"""
 _PLAIN_TAG = (
     rf"(?i)^<(?:(?:a|link)\s++{_UP_TO.format('href')}|(?:img|script)\s++{_UP_TO.format('src')})"
     r"""="([^"&]++)\""""
 )
 ATTRIBUTE = r"""[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+# Names that may stand without a semicolon; in an attribute not before a letter, a digit or "=".
+_BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 _ENTITY = (
-    r"(?s)&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|&(?:"
-    + "|".join(_NAMED_ENTITIES)
-    + r");|&|[^&]+"
+    r"(?s)&#[0-9]++;?|&#[xX][0-9a-fA-F]++;?|&[A-Za-z][A-Za-z0-9]*+;|&(?:"
+    + "|".join(_BARE_NAMES)
+    + r")(?![A-Za-z0-9=])|&|[^&]++"
 )
+# Numbers that stand for the characters of an older code page.
+_OLD_CODES = {n: ord(bytes([n]).decode("cp1252")) for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 _ESCAPED_UNITS = r"(?s)(?:\\u[0-9a-fA-F]{4})+|\\.|[^\\]+|\\"
 
 LINK_TYPE = "array<struct<kind:string,raw:string>>"
@@ -58,21 +61,25 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
 def unescape_html(text: Column) -> Column:
     """Replace character references once."""
 
+    # Strings that the optimizer folds into array literals.
+    names = F.split(F.lit("\n".join(sorted(html5))), "\n")
+    values = F.split(F.lit("\n".join(html5[n].replace("\n", "\r") for n in sorted(html5))), "\n")
+    old = F.create_map(*[F.lit(x) for pair in _OLD_CODES.items() for x in pair])
+
+    def numbered(digits: Column, base: int) -> Column:
+        # Leading zeros say nothing; whatever is longer than the last code point is none.
+        plain = F.regexp_replace(digits, "^0+", "")
+        number = F.when(F.length(plain) > 8, F.lit(-1)).otherwise(F.coalesce(F.conv(plain, base, 10).try_cast("int"), F.lit(0)))
+        return bind(number, lambda n: code_point(F.coalesce(F.try_element_at(old, n), n)))
+
     def decode(piece: Column) -> Column:
-        out = (
-            F.when(~piece.startswith("&"), piece)
-            .when(
-                piece.rlike("^&#[0-9]"),
-                code_point(F.regexp_extract(piece, "[0-9]+", 0).cast("int")),
-            )
-            .when(
-                piece.rlike("^&#[xX]"),
-                code_point(F.conv(F.regexp_extract(piece, "[0-9a-fA-F]+", 0), 16, 10).cast("int")),
-            )
+        named = F.array_position(names, F.substr(piece, F.lit(2), F.length(piece))).cast("int")
+        return (
+            F.when(~piece.startswith("&") | (piece == "&"), piece)
+            .when(piece.rlike("^&#[0-9]"), numbered(F.regexp_extract(piece, "[0-9]+", 0), 10))
+            .when(piece.rlike("^&#[xX]"), numbered(F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]+)", 1), 16))
+            .otherwise(bind(named, lambda at: F.when(at > 0, F.replace(F.element_at(values, at), F.lit("\r"), F.lit("\n"))).otherwise(piece)))
         )
-        for name, char in _NAMED_ENTITIES.items():
-            out = out.when(piece == f"&{name};", F.lit(char))
-        return out.otherwise(piece)
 
     decoded = F.array_join(F.transform(find_all(text, _ENTITY), decode), "")
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)

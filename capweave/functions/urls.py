@@ -151,10 +151,10 @@ def resolve_url(base: Column, ref: Column) -> Column:
         )
 
     def drop_own_scheme(r: Column) -> Column:
-        # "http:page" under an http base is a relative reference.
+        # "http:page" and "http:/page" under an http base are relative references.
         own = F.concat(F.regexp_extract(base, "^https?", 0), F.lit(":"))
         return F.when(
-            r.rlike(r"(?i)^https?:(?![/\\])") & F.lower(r).startswith(own),
+            r.rlike(r"(?i)^https?:(?![/\\]{2})") & F.lower(r).startswith(own),
             F.regexp_replace(r, "^[^:]*:", ""),
         ).otherwise(r)
 

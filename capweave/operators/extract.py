@@ -99,6 +99,9 @@ def extract_links(
                 *SOURCE_COLUMNS, F.lit(rule.name).alias("rule"), "kind", "pos", "raw"
             )
         )
+    if not found:
+        none = captures.select(*SOURCE_COLUMNS).limit(0)
+        return none.selectExpr("*", "'' AS rule", "'' AS kind", "0 AS pos", "'' AS raw")
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
@@ -118,7 +121,8 @@ def resolve_links(links: DataFrame) -> DataFrame:
     """Canonical target, key and hop count of each link; unresolvable ones go."""
     return (
         links.withColumnsRenamed({"surt": "src_surt", "url": "src_url", "hops": "src_hops"})
-        .withColumn("url", resolve_url(F.col("src_url"), F.col("raw")))
+        # Through a generator, as a filter on a plain projection would evaluate the whole expression twice.
+        .withColumn("url", F.explode_outer(F.array(resolve_url(F.col("src_url"), F.col("raw")))))
         .filter(F.col("url").isNotNull())
         .withColumn("surt", surt(F.col("url")))
         .withColumn("cross_host", hop_cost(F.col("src_url"), F.col("url")) == 1)

@@ -1,7 +1,8 @@
 """Tables written to the shared folder to cut lineage.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-that is unset, as in unit tests, a temporary folder of this machine is used.
+The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a session whose
+executors are this process (a local master, as in unit tests) may go without: it gets a
+temporary folder of this machine.  Any other session without the setting is refused.
 A written table survives the loss of executors and, unlike an RDD checkpoint,
 keeps column pruning and filter push-down for its readers.
 """
@@ -16,9 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 _fallback: dict[str, str] = {}
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether the tasks run in the driver's own process."""
+    return spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+
+
 def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         root = _fallback.setdefault(app, tempfile.mkdtemp(prefix="capweave-"))
     return root.rstrip("/")

@@ -14,7 +14,6 @@ from capweave.functions.urls import surt
 from capweave.operators import archive as A
 from capweave.operators import audit, crawl, store
 from capweave.operators import extract as X
-from capweave.operators.html_exact import collect_links
 from capweave.operators.ordering import ordered, with_rank
 from capweave.operators.rules import Rule, dispatch, filter_by_rule
 from capweave.operators.scratch import materialize, scratch_path
@@ -59,17 +58,13 @@ extractor = "patterns"
 filter = { mime_types = ["text/html"] }
 extractor = "html"
 """
+# The sample site's own conventions: a list of parts after "@parts", and pictures after "@pic".
 PATTERNS = (
-    X.PatternSpec(
-        "asset",
-        r'\{([^{}]*)\}\[e\]\s*\+\s*"\.(css|js)"',
-        "/assets/{value}.{suffix}",
-        item=r':"([^"]*)"',
-    ),
-    X.PatternSpec("picture", r'"([^"]+\.(?:png|jpg|jpeg))"', "//img.example.com{value}"),
+    X.PatternSpec("part", r"@parts<([^<>]*)>as (css|js);", "/parts/{value}.{suffix}", item=r"([^|]+)"),
+    X.PatternSpec("picture", r"@pic\(([^()]*)\)", "//img.example.com{value}"),
 )
-TEMPLATES = ("/app/{id}", "/app/{id}/{release}/a.json", "/app/{id}/{release}/b.json")
-TEMPLATE_FIELDS = {"id": ("url", r"/(\d+)"), "release": ("text", r'release_key:"([^"]+)"')}
+TEMPLATES = ("/leaf/{page}", "/leaf/{page}/at-{edition}/text.json", "/leaf/{page}/at-{edition}/notes.json")
+TEMPLATE_FIELDS = {"page": ("url", r"/(\d+)"), "edition": ("text", r"@edition\(([^()]+)\)")}
 HTML_RULES = (Rule("scrape_html", "html", None, ("text/html",)), Rule("links", "css", None, ("text/css",)))
 
 
@@ -348,20 +343,6 @@ def html_links(spark, sf_dir):
     return found.filter(F.col("kind") != "style").select("url", "kind", "pos", "raw")
 
 
-@query
-def html_links_exact(spark, sf_dir):
-    def tokenize(header: dict, body: bytes):
-        return [f"{kind} {raw}" for kind, raw in collect_links(body.decode("utf-8", "replace"))]
-
-    found = X.run_python(_site(spark, sf_dir), tokenize)
-    return found.select(
-        "url",
-        F.split_part("raw", F.lit(" "), F.lit(1)).alias("kind"),
-        "pos",
-        F.regexp_replace("raw", "^[a-z]+ ", "").alias("raw"),
-    ).filter(F.col("kind") != "style")
-
-
 @query
 def style_links(spark, sf_dir):
     found = X.extract_column(_site(spark, sf_dir), M.html_links)
@@ -598,7 +579,7 @@ def stream_unseen(spark, sf_dir):
     narrow = S.captures(spark, sf_dir).select("capture_id", "surt")
     out = scratch_path(spark, "stream-unseen")
     _finished(jobs.store_unseen(_arrivals(spark, sf_dir, narrow), out, scratch_path(spark, "state")))
-    return jobs.read_store(spark, out, "surt string, batch long").select("surt")
+    return jobs.read_store(spark, out, "surt string, run string, batch long").select("surt")
 
 
 @query

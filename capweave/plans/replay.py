@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from capweave.operators import crawl, store
 from capweave.operators.extract import Extractors, extract_links, resolve_links
 from capweave.operators.scratch import materialize
+from capweave.operators.skew import skew_join
 from capweave.sources.config import CrawlConfig
 
 
@@ -47,7 +48,12 @@ def replay(
     links = resolve_links(extract_links(web, config.rules, extractors))
     edges = materialize(crawl.crawl_edges(links), "links")
     reached = crawl.reach(edges, seeds, config.max_hops, stored=known)
-    tree = crawl.discovery_tree(edges, reached, seeds).select(
+    # A stored capture was not opened, so nothing was found in it.
+    opened = edges
+    if known is not None:
+        closed = known.select(F.col("surt").alias("src_surt")).distinct()
+        opened = skew_join(edges, closed, "src_surt", "surt", "left_anti")
+    tree = crawl.discovery_tree(opened, reached, seeds).select(
         "surt", "hops", "discovered_in", F.col("url").alias("found_url")
     )
     held = store.scan_metadata(web).select("surt", "capture_id")
@@ -59,5 +65,5 @@ def replay(
         info=store.crawl_info(seeds, config.as_json),
         archived=tree.join(held, "surt"),
         missing=tree.join(held, "surt", "left_anti"),
-        failed=failed,
+        failed=failed.join(reached.select("surt"), "surt", "left_semi"),
     )

@@ -51,8 +51,7 @@ def _numbered(template: str) -> Column:
 HEAD = (
     '<link rel="stylesheet" href="/style/§.css"><script src="/js/§.js"></script>'
     "<style>.b§{background:url(/bg/§.png)}.i{background:url(data:image/gif;base64,R0lGOD)}</style>"
-    '<script>window.__STATE__={release_key:"r§",pics:["/app/p§.png","\\u002Fapp\\u002Fq§.jpg"]};'
-    'var u={"a":"x§","b":"y§","c":"x§"}[e]+".js"</script>'
+    "<script>/* @edition(r§) @pic(/leaf/p§.png) @pic(\\u002Fleaf\\u002Fq§.jpg) @parts<x§|y§|x§>as js; */</script>"
 )
 FOOT = (
     '<img alt="" src="img/../i/§.png?a=1&amp;b=2"><!-- <a href="/hidden/§">no</a> -->'

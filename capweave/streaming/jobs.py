@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from capweave.operators.audit import fetch_rate
 from capweave.operators.extract import Extractors, extract_links, resolve_links, within_hops
 from capweave.operators.rules import Rule
+from capweave.operators.scratch import materialize
 from capweave.operators.store import latest
 
 
@@ -58,28 +60,46 @@ def _each_batch(
     )
 
 
-def _batches(path: str, spark: SparkSession, schema, before: int | None = None) -> DataFrame:
-    """Rows written by batches, those before a given one only.  Leaning on the
-    batch number makes a repeated batch see what its first run saw."""
-    rows = spark.read.schema(schema).option("basePath", path).parquet(path)
-    return rows if before is None else rows.filter(F.col("batch") < before)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, on whatever file system Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
-def _write_batch(rows: DataFrame, path: str, number: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+def _batches(path: str, spark: SparkSession, schema) -> DataFrame:
+    """Rows written by batches of all runs."""
+    return spark.read.schema(schema).option("basePath", path).parquet(path)
+
+
+def _run_id(checkpoint: str) -> str:
+    """Names the batches of one checkpoint: another checkpoint counts its batches from 0 again."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
+def _write_batch(rows: DataFrame, path: str, run: str, number: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/run=r{run}/batch={number}")
+
+
+_SEEN_SCHEMA = "surt string, run string, batch long"
 
 
 def store_unseen(captures: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """Keep one key row per unseen key.  The seen set is a table, not state, so
-    it does not grow in executor memory."""
-    schema = "surt string, batch long"
+    it does not grow in executor memory.
+
+    What the store held before the stream began, from other checkpoints too, counts as seen.
+    """
+    run = _run_id(checkpoint)
 
     def write(batch: DataFrame, number: int) -> None:
         fresh = batch.select("surt").distinct()
-        if number:
-            known = _batches(store, batch.sparkSession, schema, number).select("surt")
-            fresh = fresh.join(known, "surt", "left_anti")
-        _write_batch(fresh, store, number)
+        spark = batch.sparkSession
+        if exists(spark, store):
+            known = _batches(store, spark, _SEEN_SCHEMA)
+            # A batch that is repeated sees what its first run saw.
+            known = known.filter((F.col("run") != f"r{run}") | (F.col("batch") < number))
+            fresh = materialize(fresh.join(known.select("surt"), "surt", "left_anti"), "unseen")
+        _write_batch(fresh, store, run, number)
 
     return _each_batch(captures.select("surt"), checkpoint, write)
 
@@ -90,7 +110,8 @@ def store_latest(captures: DataFrame, store: str, checkpoint: str) -> StreamingQ
     Writing a batch costs the batch, not the store; :func:`read_latest` settles
     which batch holds the current capture of a key.
     """
-    return _each_batch(captures, checkpoint, lambda batch, number: _write_batch(latest(batch), store, number))
+    run = _run_id(checkpoint)
+    return _each_batch(captures, checkpoint, lambda batch, number: _write_batch(latest(batch), store, run, number))
 
 
 def read_store(spark: SparkSession, store: str, schema) -> DataFrame:
@@ -101,7 +122,7 @@ def read_latest(spark: SparkSession, store: str, schema) -> DataFrame:
     return latest(read_store(spark, store, schema))
 
 
-_RATE_SCHEMA = "period_start string, captures long, over_quota boolean, over_burst boolean, batch long"
+_RATE_SCHEMA = "period_start string, captures long, over_quota boolean, over_burst boolean, run string, batch long"
 
 
 def store_rates(
@@ -109,11 +130,12 @@ def store_rates(
 ) -> StreamingQuery:
     """Write the periods each batch changed.  State for a period is dropped once
     the watermark passes it."""
+    run = _run_id(checkpoint)
     timed = captures.withColumn("at", F.col("fetched_at").cast("timestamp")).withWatermark("at", lateness)
     return (
         fetch_rate(timed, per, limit, F.col("at"))
         .writeStream.outputMode("update")
-        .foreachBatch(lambda batch, number: _write_batch(batch, store, number))
+        .foreachBatch(lambda batch, number: _write_batch(batch, store, run, number))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

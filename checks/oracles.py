@@ -344,7 +344,6 @@ WHERE strlen(body) > {C.BODY_LIMIT} GROUP BY ALL"""
 # Link extraction
 
 ORACLES["html_links"] = with_("html_found") + "SELECT url, kind, pos, raw FROM html_found WHERE kind <> 'style'"
-ORACLES["html_links_exact"] = ORACLES["html_links"]
 ORACLES["style_links"] = with_("html_found") + "SELECT url, pos, raw FROM html_found WHERE kind = 'style'"
 ORACLES["css_links"] = with_("css_found") + "SELECT url, pos, raw FROM css_found"
 
@@ -356,14 +355,14 @@ _UNITS = (
 
 def _patterns(source: str) -> str:
     return rf"""
-SELECT DISTINCT * EXCLUDE (v), '/assets/' || v || '.' || suffix AS raw, 'asset' AS kind FROM (
-  SELECT * EXCLUDE (m), unnest(regexp_extract_all(regexp_extract(m, '\{{([^{{}}]*)\}}', 1), ':"([^"]*)"', 1)) AS v,
-    regexp_extract(m, '\.(css|js)"$', 1) AS suffix
-  FROM (SELECT * EXCLUDE (text), unnest(regexp_extract_all(text, '\{{[^{{}}]*\}}\[e\]\s*\+\s*"\.(?:css|js)"')) AS m
+SELECT DISTINCT * EXCLUDE (v), '/parts/' || v || '.' || suffix AS raw, 'part' AS kind FROM (
+  SELECT * EXCLUDE (m), unnest(regexp_extract_all(regexp_extract(m, '<([^<>]*)>', 1), '[^|]+')) AS v,
+    regexp_extract(m, '(css|js);$', 1) AS suffix
+  FROM (SELECT * EXCLUDE (text), unnest(regexp_extract_all(text, '@parts<[^<>]*>as (?:css|js);')) AS m
         FROM {source}))
 UNION ALL BY NAME
 SELECT DISTINCT * EXCLUDE (v), '//img.example.com' || {_UNITS} AS raw, 'picture' AS kind, NULL AS suffix FROM (
-  SELECT * EXCLUDE (text), unnest(regexp_extract_all(text, '"([^"]+\.(?:png|jpg|jpeg))"', 1)) AS v FROM {source})"""
+  SELECT * EXCLUDE (text), unnest(regexp_extract_all(text, '@pic\(([^()]*)\)', 1)) AS v FROM {source})"""
 
 
 define("pattern_found", ["docs"], _patterns("(SELECT surt, url, text FROM docs)"))
@@ -373,10 +372,10 @@ _NEEDS |= {"p_r1": ["pattern_found"], "p_r2": ["p_r1"], "p_r3": ["p_r2"], "p_r4"
 ORACLES["pattern_links"] = with_("p_resolved") + "SELECT src_url, kind, url FROM p_resolved"
 ORACLES["template_links"] = with_("docs") + r"""
 SELECT url AS src_url, pos::INTEGER AS pos,
-  regexp_extract(url, '^https?://[^/?#]*') || '/app/' || id || CASE pos WHEN 0 THEN ''
-    WHEN 1 THEN '/' || release || '/a.json' ELSE '/' || release || '/b.json' END AS url
-FROM (SELECT url, regexp_extract(url, '/(\d+)', 1) AS id, regexp_extract(text, 'release_key:"([^"]+)"', 1) AS release
-      FROM docs), range(3) t(pos) WHERE id <> '' AND release <> ''"""
+  regexp_extract(url, '^https?://[^/?#]*') || '/leaf/' || page || CASE pos WHEN 0 THEN ''
+    WHEN 1 THEN '/at-' || edition || '/text.json' ELSE '/at-' || edition || '/notes.json' END AS url
+FROM (SELECT url, regexp_extract(url, '/(\d+)', 1) AS page, regexp_extract(text, '@edition\(([^()]+)\)', 1) AS edition
+      FROM docs), range(3) t(pos) WHERE page <> '' AND edition <> ''"""
 ORACLES["subresource_join"] = with_("resolved", "latest") + """
 SELECT r.src_url, r.kind, r.url, l.capture_id AS target_id, l.status AS target_status,
   strlen(l.body)::BIGINT AS target_bytes

@@ -63,3 +63,9 @@ def test_times(spark):
     ts = F.lit("2024-01-02 03:04:05.000007").cast("timestamp_ntz")
     assert one(spark, H.cdx_time(ts)) == "20240102030405"
     assert one(spark, H.rfc3339_time(ts)) == "2024-01-02T03:04:05.000007Z"
+
+
+def test_any_number_of_parameters(spark):
+    many = "text/html" + "".join(f"; p{k}=v" for k in range(5_000))
+    assert mime_of(spark, many) == "text/html"
+    assert mime_of(spark, many + "; broken") is None

@@ -65,3 +65,22 @@ def test_css(spark):
     css = "@import url(\"/b.css\");x{y:url('a.png')} z{w:url(c.png)} q{r:url(data:x)} s{t:url('data:y')} u{v:url()}"
     got = one(spark, css, M.css_url_links)
     assert [r["raw"] for r in got] == ["/b.css", "a.png", "c.png", ""]
+
+
+def test_any_number_of_attributes(spark):
+    for n in (201, 20_000):
+        many = " ".join(f'data-{k}="a>b"' for k in range(n))
+        got = one(spark, f'<a {many} href="/x">x</a>', M.html_links)
+        assert [(r["kind"], r["raw"]) for r in got] == [("a", "/x")]
+
+
+def test_character_references(spark):
+    cases = {
+        "&eacute;&copy;&NotEqualTilde;": "é©≂̸",
+        "&#00000065;&#x000041;&#0;&#x110000;&#99999999999;": "AA���",
+        "&#128;&#xD800;": "€�",
+        "?a=1&copy=2&amp;b&ampx&amp": "?a=1&copy=2&b&ampx&",
+        "&nosuch; & &;": "&nosuch; & &;",
+    }
+    for text, want in cases.items():
+        assert one(spark, text, M.unescape_html) == want, text

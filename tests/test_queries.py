@@ -1,22 +1,16 @@
-"""Registered queries against their SQL twins on the smallest tables.
+"""All registered queries against their SQL twins on the smallest tables.
 
-The default run takes one query per family; ``CAPWEAVE_ALL=1`` takes all, and
 ``python -m checks.compare`` does so at any scale.
 """
 
-import os
-
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from checks.compare import TABLES, rows_of
 
-FEW = (
-    "capture_scan body_lookup url_lookup surt_key resolve_links all_links subresource_join crawl_resume discovery_tree "
-    "warc_records warc_rotation_exact cdxj_lines zipnum_index pages_main stream_links stream_unseen stream_rate"
-).split()
-NAMES = list(entry.oracle_sql()) if os.environ.get("CAPWEAVE_ALL") else FEW
+# The text operators have their own tests.
+NAMES = [name for name in entry.oracle_sql() if name not in entry.TEXT_QUERIES]
 
 
 @pytest.fixture(scope="module")

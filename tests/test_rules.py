@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from capweave.functions.markup import html_links
 from capweave.operators import extract as X
-from capweave.operators.html_exact import collect_links
 from capweave.operators.rules import Rule, dispatch
 from capweave.plans.session import ship_package
 from capweave.sources import sample_site as S
@@ -98,10 +97,10 @@ def test_python_extractor_sees_header_and_bytes(spark):
 
 
 def test_patterns_merge_equal_links(spark):
-    text = '{a:"h1",b:"h2",c:"h1"}[e] + ".css" "\\u002Fp\\u002F1.png"'
+    text = "@parts<h1|h2|h1>as css; @pic(\\u002Fp\\u002F1.png)"
     specs = [
-        X.PatternSpec("asset", r'\{([^{}]*)\}\[e\]\s*\+\s*"\.(css|js)"', "/z/{value}.{suffix}", r':"([^"]*)"'),
-        X.PatternSpec("pic", r'"([^"]+\.png)"', "//i.com{value}"),
+        X.PatternSpec("asset", r"@parts<([^<>]*)>as (css|js);", "/z/{value}.{suffix}", r"([^|]+)"),
+        X.PatternSpec("pic", r"@pic\(([^()]*)\)", "//i.com{value}"),
     ]
     row = spark.createDataFrame([(text,)], "t string").select(X.pattern_extractor(specs)(F.col("t"))).first()[0]
     assert [(r["kind"], r["raw"]) for r in row] == [
@@ -109,12 +108,6 @@ def test_patterns_merge_equal_links(spark):
     ]
 
 
-def test_native_and_exact_extraction_agree_on_the_pages(spark, sf_dir):
-    pages = S.site(S.read_pages(spark, sf_dir)).filter(F.col("content_type").startswith("text/html"))
-    for row in pages.select("text", html_links(F.col("text")).alias("links")).collect():
-        assert [(r["kind"], r["raw"]) for r in row["links"]] == list(collect_links(row["text"]))
-
-
 def test_subresources_keep_missing(spark):
     links = spark.createDataFrame(
         [("1", "script", "k1"), ("1", "script", "gone"), ("2", "a", "k1")], "capture_id string, kind string, surt string"
@@ -123,3 +116,14 @@ def test_subresources_keep_missing(spark):
     for heavy in (1_000_000, 0):
         got = X.subresources(links, stored, ("script",), heavy_rows=heavy).collect()
         assert sorted((r["surt"], r["target_id"]) for r in got) == [("gone", None), ("k1", "t")]
+
+
+def test_no_rules_give_no_links(spark):
+    assert X.extract_links(frame(spark, ("1", "http://e.com/", "text/html", "<a href=x>")), []).count() == 0
+
+
+def test_a_target_is_resolved_once(spark):
+    links = X.extract_links(frame(spark, ("1", "http://e.com/", "text/html", "<a href=x>")), [Rule("r", "html", None, ("text/html",))])
+    plan = X.resolve_links(links)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("%2e%2e") == X.resolve_links(links).select("url")._jdf.queryExecution().optimizedPlan().toString().count("%2e%2e")
+    assert not [line for line in plan.splitlines() if "Filter" in line and "%2e%2e" in line]

@@ -15,9 +15,9 @@ def arrivals(spark, captures, files=6):
 def test_repeated_batch_changes_nothing(spark):
     out = scratch_path(spark, "store")
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "surt string, n int")
-    jobs._write_batch(rows, out, 0)
-    jobs._write_batch(rows, out, 0)
-    assert jobs.read_store(spark, out, "surt string, n int, batch long").count() == 2
+    jobs._write_batch(rows, out, "a", 0)
+    jobs._write_batch(rows, out, "a", 0)
+    assert jobs.read_store(spark, out, "surt string, n int, run string, batch long").count() == 2
 
 
 def test_store_goes_on_after_a_restart(spark, sf_dir):
@@ -38,10 +38,20 @@ def test_seen_set_equals_distinct_keys(spark, sf_dir):
     _, stream = arrivals(spark, captures)
     out = scratch_path(spark, "seen")
     jobs.store_unseen(stream, out, scratch_path(spark, "state")).awaitTermination()
-    seen = [r["surt"] for r in jobs.read_store(spark, out, "surt string, batch long").collect()]
+    seen = [r["surt"] for r in jobs.read_store(spark, out, "surt string, run string, batch long").collect()]
     assert len(seen) == len(set(seen)) and set(seen) == {r["surt"] for r in captures.distinct().collect()}
 
 
+def test_another_checkpoint_keeps_what_the_store_holds(spark):
+    out = scratch_path(spark, "seen")
+    for k, keys in enumerate((["a", "b"], ["b", "c"])):
+        rows = spark.createDataFrame([(f"{k}{x}", x) for x in keys], "capture_id string, surt string")
+        _, stream = arrivals(spark, rows, 1)
+        jobs.store_unseen(stream, out, scratch_path(spark, "state")).awaitTermination()
+    seen = sorted(r["surt"] for r in jobs.read_store(spark, out, "surt string, run string, batch long").collect())
+    assert seen == ["a", "b", "c"]
+
+
 def test_rates_equal_counts(spark, sf_dir):
     captures = S.captures(spark, sf_dir).select("capture_id", "fetched_at")
     _, stream = arrivals(spark, captures)
