@@ -41,7 +41,7 @@ from capweave.llm.tables import materialize, ship_package, text_of
 from capweave.llm.words import mixed
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-COMMON = 1 << 19
+COMMON = 1 << 20
 #: Longer words are left to the texts that hold them, so that the table is bounded in bytes.
 LONGEST = 64
 CHUNK_CHARS = 1 << 20
@@ -269,7 +269,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for _, _, points, start, end, _ in text_words(batch.column(0)):
                 if not len(start):
                     continue
-                _, first, n = np.unique(word_hashes(points, start, end), return_index=True, return_counts=True)
+                hashed = word_hashes(points, start, end)
+                order = np.argsort(hashed)
+                lead = np.flatnonzero(np.append(True, np.diff(hashed[order]) != 0))
+                first, n = order[lead], np.diff(np.append(lead, len(order)))
                 words = _bytes_of(points, start[first], end[first])
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n.astype(np.int64))], ["word", "n"])
 
@@ -281,10 +284,9 @@ class Dictionary:
 
     def __init__(self, hashes: np.ndarray, offsets: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes)
-        size = np.diff(offsets)[order]
         self.hashes = hashes[order]
-        self.starts = offsets[:-1][order]
-        self.sizes = size
+        self.starts = offsets[:-1][order].astype(np.int32)  # LONGEST * COMMON ids at most
+        self.sizes = np.diff(offsets)[order].astype(np.uint8)
         self.ids = ids
         self._first: np.ndarray | None = None
 
@@ -367,7 +369,8 @@ def encode(docs: DataFrame, path: str = RANKS, known: Dictionary | None = None)
             hashed = word_hashes(points, start, end)
             place = table.find(hashed)
             other = np.flatnonzero(place < 0)
-            begins, sizes = table.starts[place], table.sizes[place].copy() if len(table.sizes) else np.zeros(len(place), dtype=np.int64)
+            begins = table.starts[place] if len(table.starts) else np.zeros(len(place), dtype=np.int32)
+            sizes = table.sizes[place].astype(np.int64) if len(table.sizes) else np.zeros(len(place), dtype=np.int64)
             sizes[other] = 1
             ids = np.zeros(int(sizes.sum()), dtype=np.int32)
             ends = np.cumsum(sizes)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capweave.operators.scratch import materialize
-from capweave.plans.session import ship_package
+from capweave.plans import session
 
 #: A word: a longest run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +15,18 @@ _FIRST_ID = -(1 << 63)
 __all__ = ["WORD", "id_key", "materialize", "read", "ship_package", "text_of"]
 
 
+#: Rows of an Arrow batch: texts can be long, and a task holds several batches at a time.
+BATCH_ROWS = 1_000
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, and bound the Arrow batches of the session."""
+    session.ship_package(spark)
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
