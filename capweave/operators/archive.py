@@ -8,13 +8,10 @@ themselves move once, to the task that writes their file.
 from __future__ import annotations
 
 import gzip
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from capweave.functions.http import (
     cdx_time,
@@ -25,7 +22,7 @@ from capweave.functions.http import (
     warc_head,
     warc_record,
 )
-from capweave.operators.ordering import ordered, part_bases, with_rank, with_running_start
+from capweave.operators.ordering import ordered, with_rank, with_running_start
 from capweave.operators.scratch import materialize
 from capweave.operators.skew import key_join
 
@@ -40,6 +37,7 @@ EXTRA_PAGES = ("extra-pages", "crawled pages")
 
 ORDER = ("surt", "fetched_at", "capture_id")
 BLOCKS_PER_INDEX_FILE = 10_000
+PAGES_PER_FILE = 1_000_000
 _SORTABLE_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -54,6 +52,16 @@ def gzip_member(level: int):
     return compress
 
 
+def unpacked():
+    """Arrow function that gives the content of one gzip member per value."""
+
+    @F.pandas_udf("binary")
+    def decompress(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else gzip.decompress(v))
+
+    return decompress
+
+
 def records(captures: DataFrame) -> DataFrame:
     """Uncompressed archive record of each capture with the values the index needs."""
     return (
@@ -100,7 +108,13 @@ def file_name(number: Column) -> Column:
 
 def place_by_floor(index: DataFrame, size: str, threshold: int) -> DataFrame:
     """File and offset of each record: a record belongs to the file its global
-    start falls in.  Needs no sequential pass."""
+    start falls in.
+
+    This is the rule of rotation.  It looks at the running total of all records
+    before, so it gives the same files for any partitioning and needs no
+    sequential pass; a file ends with the first record that reaches a multiple
+    of the threshold.
+    """
     started = with_running_start(ordered(index, ORDER), size)
     numbered = started.withColumn("file_no", F.expr(f"start div {threshold}"))
     first = F.min("start").over(Window.partitionBy("file_no"))
@@ -109,56 +123,8 @@ def place_by_floor(index: DataFrame, size: str, threshold: int) -> DataFrame:
     )
 
 
-def _rotate(size: str, threshold: int):
-    """Walk a sorted part; after a record that ends past the threshold a new
-    file starts.  Keeps one running length between batches."""
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used, number = 0, 0
-        for batch in batches:
-            ends = np.cumsum(batch[size].to_numpy(dtype="int64"))
-            offset = np.empty(len(ends), dtype="int64")
-            file_no = np.empty(len(ends), dtype="int64")
-            row, base = 0, 0
-            while row < len(ends):
-                last = int(np.searchsorted(ends, threshold - used + base, side="right"))
-                stop = min(last + 1, len(ends))
-                begins = ends[row:stop] - batch[size].to_numpy()[row:stop]
-                offset[row:stop] = begins - base + used
-                file_no[row:stop] = number
-                if last < len(ends):
-                    used, number, base = 0, number + 1, int(ends[last])
-                else:
-                    used, base = used + int(ends[-1]) - base, int(ends[-1])
-                row = stop
-            yield batch.assign(offset=offset, file_no=file_no)
-
-    return walk
-
-
-def place_by_rotation(
-    index: DataFrame, size: str = "length", threshold: int = WARC_THRESHOLD, parts: int | None = None
-) -> DataFrame:
-    """File and offset of each record by exact rotation within each sorted part.
-
-    Files start anew at each part.  The number of parts follows the total size,
-    so a small archive is one part and rotates exactly as a single writer would.
-    """
-    if parts is None:
-        total = index.agg(F.sum(size)).collect()[0][0] or 0
-        parts = max(1, -(-total // (16 * threshold)))
-
-    def add_files(df: DataFrame) -> DataFrame:
-        schema = StructType([*df.schema.fields]).add("offset", "long").add("file_no", "long")
-        return df.mapInPandas(_rotate(size, threshold), schema)
-
-    placed = ordered(index, ORDER, parts, add_files)
-    number = part_bases(placed, F.max("file_no") + 1) + F.col("file_no")
-    return placed.withColumn("filename", file_name(number)).drop("file_no")
-
-
-# Parts beyond this number are found by a join instead of a search in the plan.
-MAX_SEARCHED_PARTS = 5_000
+# First keys of files that are searched at once.
+FILES_PER_GROUP = 512
 
 
 def order_text() -> Column:
@@ -171,39 +137,29 @@ def locate(packed: DataFrame, placed: DataFrame) -> DataFrame:
     """Add its archive file to each packed record.
 
     A file holds a contiguous range of the global order, so its name follows
-    from where the record sorts between the first records of the files.  The
-    wide rows are not shuffled for that: the first keys of the parts are a short
-    list in the plan, and the files of a part come from a table with one row per
-    part.  With too many parts for a list the names are joined on the record id.
+    from where the record sorts between the first records of the files.  These
+    are searched in two levels: the first keys of groups of files are a short
+    list in the plan, and the files of a group come from a table with one row
+    per group, so the wide rows are not shuffled for it.
     """
-    first = placed.filter(F.col("offset") == 0).select(
-        "part", F.struct(order_text().alias("key"), F.col("filename")).alias("file")
-    )
-    files = materialize(first.groupBy("part").agg(F.array_sort(F.collect_list("file")).alias("files")), "files")
-    starts = (
-        files.select("part", F.col("files")[0]["key"].alias("key"))
-        .orderBy("part")
-        .limit(MAX_SEARCHED_PARTS + 1)
-        .collect()
-    )
-    if len(starts) > MAX_SEARCHED_PARTS:
-        return packed.join(placed.select("capture_id", "filename"), "capture_id")
-    # Strings that the optimizer folds into array literals.
+    first = placed.filter(F.col("offset") == 0).select(order_text().alias("key"), "filename", "file_no")
+    grouped = with_rank(ordered(first, ["key"])).withColumn("group", F.expr(f"rank div {FILES_PER_GROUP}"))
+    file = F.struct("key", "filename", "file_no")
+    files = materialize(grouped.groupBy("group").agg(F.array_sort(F.collect_list(file)).alias("files")), "files")
+    starts = files.select("group", F.col("files")[0]["key"].alias("key")).orderBy("group").collect()
+    # A string that the optimizer folds into an array literal.
     keys = F.split(F.lit("\n".join(r["key"] for r in starts)), "\n")
-    parts = F.split(F.lit(",".join(str(r["part"]) for r in starts)), ",").cast("array<int>")
 
     def last_not_after(sorted_keys: Column, key: Column) -> Column:
         return F.size(F.filter(sorted_keys, lambda k: k <= key))
 
+    found = F.element_at("files", last_not_after(F.col("files")["key"], F.col("_key")))
     return (
         packed.withColumn("_key", order_text())
-        .withColumn("part", F.element_at(parts, last_not_after(keys, F.col("_key"))))
-        .join(files, "part")
-        .withColumn(
-            "filename",
-            F.element_at("files", last_not_after(F.col("files")["key"], F.col("_key")))["filename"],
-        )
-        .drop("_key", "part", "files")
+        .withColumn("group", (last_not_after(keys, F.col("_key")) - 1).cast("bigint"))
+        .join(files, "group")
+        .withColumn("_file", found)
+        .select(*packed.columns, "_file.filename", "_file.file_no")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from capweave.functions import http as H
@@ -469,7 +469,8 @@ def warc_records(spark, sf_dir):
 @query
 def warc_packed(spark, sf_dir):
     made = A.pack(store.latest(S.captures(spark, sf_dir)))
-    return made.select("capture_id", "digest", "length", F.sha2("record_gz", 256).alias("record_sha"))
+    record = A.unpacked()(F.col("record_gz"))
+    return made.select("capture_id", "digest", F.sha2(record, 256).alias("record_sha"))
 
 
 @query
@@ -478,12 +479,6 @@ def warc_rotation(spark, sf_dir):
     return placed.select("capture_id", "file_no", "filename")
 
 
-@query
-def warc_rotation_exact(spark, sf_dir):
-    placed = A.place_by_rotation(_index(spark, sf_dir), "raw_length", FILE_THRESHOLD, parts=1)
-    return placed.select("capture_id", "filename", "offset")
-
-
 @query
 def warc_offsets(spark, sf_dir):
     placed = A.place_by_floor(_index(spark, sf_dir), "raw_length", FILE_THRESHOLD)
@@ -518,8 +513,16 @@ def zipnum_index(spark, sf_dir):
 
 @query
 def zipnum_blocks(spark, sf_dir):
-    blocks = A.with_block_offsets(A.compressed_blocks(A.cdx_blocks(_lines(spark, sf_dir))))
-    return blocks.withColumn("filename", F.lit("index.cdx.gz")).select("block", A.index_line().alias("line"))
+    blocks = materialize(A.with_block_offsets(A.compressed_blocks(A.cdx_blocks(_lines(spark, sf_dir)))), "blocks")
+    text = A.unpacked()(F.col("payload"))
+    before = F.coalesce(F.sum("length").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return blocks.withColumn("text", text).select(
+        "block",
+        F.col("surt").alias("first_surt"),
+        F.regexp_count(F.decode("text", "UTF-8"), F.lit("\n")).cast("bigint").alias("lines"),
+        F.sha2("text", 256).alias("text_sha"),
+        (F.col("offset") == before).alias("in_place"),
+    )
 
 
 @query
@@ -544,6 +547,37 @@ def package_manifest(spark, sf_dir):
     return export_package(now, _entry_points(spark, sf_dir), scratch_path(spark, "package"), FILE_THRESHOLD)
 
 
+def package_contents(spark: SparkSession, root: str, entries: DataFrame) -> DataFrame:
+    """Every file of an export read back: its path, bytes, whether size and digest are those listed, and its content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    # A path below the root; attempt files and listings are no part of the package.
+    below = F.regexp_extract("path", r"/((?:archive|indexes|pages)/[^/]+)$", 1)
+    read = files.withColumn("path", below).filter("path <> ''").select("path", "content")
+    joined = entries.join(read, "path", "left")
+    sound = (F.octet_length("content") == F.col("bytes")) & (F.concat(F.lit("sha256:"), F.sha2("content", 256)) == F.col("hash"))
+    return joined.select("path", F.coalesce(sound, F.lit(False)).alias("sound"), "content")
+
+
+@query
+def package_check(spark, sf_dir):
+    """A package written twice into one folder and read back: items and whether all agrees, by kind of file."""
+    now = materialize(store.latest(S.captures(spark, sf_dir)), "captures")
+    root = scratch_path(spark, "package")
+    points = _entry_points(spark, sf_dir)
+    export_package(now, points, root, FILE_THRESHOLD // 4)
+    entries = materialize(export_package(now, points, root, FILE_THRESHOLD // 2), "entries")
+    files = package_contents(spark, root, entries)
+    kind = F.regexp_extract("path", r"([a-zA-Z]+)-?[0-9]*\.(warc\.gz|cdx\.gz|idx|jsonl)$", 1)
+    kind = F.when(F.col("path").endswith(".warc.gz"), "archive").when(F.col("path").endswith(".cdx.gz"), "lines").when(
+        F.col("path").endswith(".idx"), "blocks").otherwise(kind)
+    packed = F.col("path").endswith(".gz")
+    plain = F.when(packed, A.unpacked()(F.when(packed, F.col("content")))).otherwise(F.col("content"))
+    text = F.make_valid_utf8(plain.cast("string"))
+    items = F.when(kind == "archive", F.regexp_count(text, F.lit("(?m)^WARC-Record-ID: "))).otherwise(F.regexp_count(text, F.lit("\n")))
+    counted = files.select(kind.alias("kind"), items.alias("items"), "sound")
+    return counted.groupBy("kind").agg(F.sum("items").cast("bigint").alias("items"), F.bool_and("sound").alias("sound"))
+
+
 # Streaming
 
 

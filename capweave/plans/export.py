@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capweave.operators import archive as A
-from capweave.operators.ordering import ordered
+from capweave.operators.ordering import ordered, with_rank
 from capweave.operators.scratch import materialize
-from capweave.sources.files import listing, write_files
+from capweave.sources.files import listing, new_export, write_files
 
 # The package profile.
 PROFILE = "data-package"
@@ -18,19 +18,19 @@ PACKAGE_VERSION = "1.1.1"
 SOFTWARE = "capweave"
 
 
-def _sharded(stem: str, suffix: str, number: Column, several: bool) -> Column:
-    """``stem+suffix`` for a single file, numbered names for several."""
-    return F.format_string(f"{stem}-%05d{suffix}", number) if several else F.lit(stem + suffix)
-
-
 def _bytes(text: Column) -> Column:
     return F.encode(F.concat(text, F.lit("\n")), "UTF-8")
 
 
-def _file_rows(df: DataFrame, folder: str, name: Column, seq: Column, payload: Column) -> DataFrame:
-    """Rows for the file sink; ``seq`` is a number within the file."""
+def _numbered(stem: str, suffix: str, number: Column) -> Column:
+    return F.format_string(f"{stem}-%05d{suffix}", number)
+
+
+def _file_rows(df: DataFrame, folder: str, name: Column, slot: Column, seq: Column, payload: Column) -> DataFrame:
+    """Rows for the file sink; ``slot`` is a number of the file, ``seq`` one within it."""
     return df.select(
         F.concat(F.lit(f"{folder}/"), name).alias("name"),
+        slot.cast("bigint").alias("slot"),
         F.lpad(seq.cast("string"), 20, "0").alias("seq"),
         payload.alias("payload"),
     )
@@ -45,24 +45,26 @@ def export_package(
     """Write the package under ``root`` and return its file entries.
 
     ``captures`` should be current captures, see ``store.latest``; with a whole
-    history every capture is exported.  Large archives get numbered index and
-    page files in place of one file each.
+    history every capture is exported.  Files of every kind are numbered from 0,
+    whatever the size of the package; the manifest lists them.
     """
     # Offsets and bytes must come from one run, so records are written down first.
     packed = materialize(A.pack(captures), "packed")
-    placed = A.place_by_rotation(packed.drop("record_gz"), "length", threshold)
+    placed = materialize(with_rank(A.place_by_floor(packed.drop("record_gz"), "length", threshold)), "placed")
     rows = _archive_rows(packed, placed)
     for more in (*_index_rows(placed), *_page_rows(placed, entry_points)):
         rows = rows.unionByName(more)
-    write_files(rows, root, files=placed.filter(F.col("offset") == 0).count() + 4)
-    entries = listing(captures.sparkSession, root)
-    write_files(_manifest_rows(entries), root)
+    export = new_export()
+    write_files(rows, root, export, slots=placed.filter(F.col("offset") == 0).count() + 4)
+    entries = listing(captures.sparkSession, root, export)
+    write_files(_manifest_rows(entries), root, f"{export}-manifest")
     return entries
 
 
 def _archive_rows(packed: DataFrame, placed: DataFrame) -> DataFrame:
     return A.locate(packed.select(*A.ORDER, "record_gz"), placed).select(
         F.concat(F.lit("archive/"), "filename").alias("name"),
+        F.col("file_no").alias("slot"),
         A.order_text().alias("seq"),
         F.col("record_gz").alias("payload"),
     )
@@ -71,26 +73,24 @@ def _archive_rows(packed: DataFrame, placed: DataFrame) -> DataFrame:
 def _index_rows(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = placed.withColumn("line", A.cdx_line(F.col("filename"), F.col("offset"), F.col("length")))
     blocks = materialize(A.compressed_blocks(A.cdx_blocks(lines)), "blocks")
-    several = (blocks.agg(F.max("shard")).first()[0] or 0) > 0
-    name = _sharded("index", ".cdx.gz", F.col("shard"), several)
+    shard, name = F.col("shard"), _numbered("index", ".cdx.gz", F.col("shard"))
     located = A.with_block_offsets(blocks.drop("payload")).withColumn("filename", name)
     return (
-        _file_rows(blocks, "indexes", name, F.col("block"), F.col("payload")),
-        _file_rows(
-            located, "indexes", _sharded("index", ".idx", F.col("shard"), several), F.col("block"), _bytes(A.index_line())
-        ),
+        _file_rows(blocks, "indexes", name, shard, F.col("block"), F.col("payload")),
+        _file_rows(located, "indexes", _numbered("index", ".idx", shard), shard + 1, F.col("block"), _bytes(A.index_line())),
     )
 
 
 def _page_rows(placed: DataFrame, entry_points: DataFrame) -> list[DataFrame]:
+    """Page lists: a page stands in the list that its place in the global order gives, behind a head."""
     made = []
     spark = placed.sparkSession
     for main, rows in zip((True, False), A.split_pages(placed, entry_points)):
-        parts = [r[0] for r in rows.select("part").distinct().orderBy("part").collect()] or [0]
-        name = _sharded("pages" if main else "extraPages", ".jsonl", F.col("part"), len(parts) > 1)
-        heads = spark.createDataFrame([(p,) for p in parts], "part int")
-        made.append(_file_rows(heads, "pages", name, F.lit(0), _bytes(A.page_header(main))))
-        made.append(_file_rows(rows, "pages", name, F.col("place") + 1, _bytes(A.page_line())))
+        rows = rows.withColumn("list", F.expr(f"rank div {A.PAGES_PER_FILE}"))
+        name, slot = _numbered("pages" if main else "extraPages", ".jsonl", F.col("list")), F.col("list") + (2 if main else 3)
+        heads = rows.select("list").unionByName(spark.range(1).withColumnRenamed("id", "list")).distinct()
+        made.append(_file_rows(heads, "pages", name, slot, F.lit(0), _bytes(A.page_header(main))))
+        made.append(_file_rows(rows, "pages", name, slot, F.col("rank") + 1, _bytes(A.page_line())))
     return made
 
 
@@ -112,5 +112,5 @@ def _manifest_rows(entries: DataFrame) -> DataFrame:
     )
     ends = entries.sparkSession.createDataFrame([(-1, head), (1 << 62, "]}")], "seq long, text string")
     return body.unionByName(ends).select(
-        F.lit("datapackage.json").alias("name"), "seq", _bytes(F.col("text")).alias("payload")
+        F.lit("datapackage.json").alias("name"), F.lit(0).alias("slot"), "seq", _bytes(F.col("text")).alias("payload")
     )

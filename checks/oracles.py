@@ -461,17 +461,6 @@ ORACLES["warc_rotation"] = with_("placed") + "SELECT capture_id, file_no, filena
 ORACLES["warc_offsets"] = with_("placed") + 'SELECT capture_id, "offset", length FROM placed'
 ORACLES["warc_file_sizes"] = with_("placed") + """
 SELECT filename, sum(length)::BIGINT AS bytes, count(*) AS records FROM placed GROUP BY 1"""
-# Exact rotation, file by file: the next file begins after the first record that
-# ends past the threshold.
-define("file", ["started"], f"""!(no, base) AS (
-  SELECT 0::BIGINT, 0::BIGINT
-  UNION ALL
-  SELECT no + 1, nxt FROM (
-    SELECT no, (SELECT min(start + length) FROM started WHERE start + length > base + {C.FILE_THRESHOLD})::BIGINT AS nxt
-    FROM file) WHERE nxt IS NOT NULL AND nxt < (SELECT max(start + length) FROM started))""")
-ORACLES["warc_rotation_exact"] = with_("file", recursive=True) + """
-SELECT capture_id, format('{:05d}.warc.gz', no) AS filename, start - base AS "offset"
-FROM started ASOF JOIN file ON start >= base"""
 define("line", ["placed"], f"""
 SELECT *, surt || ' ' || {CDX_TIME} || ' ' || to_json({{'url': url, 'digest': digest, 'mime': mime,
   'filename': filename, 'offset': "offset", 'length': length, 'status': status}})::VARCHAR AS line FROM placed""")
@@ -480,6 +469,18 @@ ORACLES["cdx_blocks"] = with_("started") + "SELECT capture_id, rank, rank // 100
 ORACLES["zipnum_index"] = with_("line") + f"""
 SELECT rank // 1000 AS block, arg_min(surt, rank) AS first_surt, arg_min({CDX_TIME}, rank) AS first_time,
   count(*) AS lines, sum(strlen(line) + 1)::BIGINT AS bytes FROM line GROUP BY 1"""
+ORACLES["zipnum_blocks"] = with_("line") + """
+SELECT rank // 1000 AS block, arg_min(surt, rank) AS first_surt, count(*) AS lines,
+  sha256(string_agg(line || chr(10), '' ORDER BY rank)) AS text_sha, true AS in_place FROM line GROUP BY 1"""
+ORACLES["warc_packed"] = with_("rec", "latest") + """
+SELECT capture_id, digest, sha256(record) AS record_sha FROM rec WHERE capture_id IN (SELECT capture_id FROM latest)"""
+ORACLES["package_check"] = with_("latest", "seed") + """
+SELECT kind, items::BIGINT AS items, true AS sound FROM (
+  SELECT 'archive' AS kind, count(*) AS items FROM latest UNION ALL
+  SELECT 'lines', count(*) FROM latest UNION ALL
+  SELECT 'blocks', ceil(count(*) / 1000.0) FROM latest UNION ALL
+  SELECT 'pages', count(*) + 1 FROM latest WHERE surt IN (SELECT surt FROM seed) UNION ALL
+  SELECT 'extraPages', count(*) + 1 FROM latest WHERE surt NOT IN (SELECT surt FROM seed))"""
 for _main in (True, False):
     _head = "{" + ",".join(
         f'"{k}":"{v}"'

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import json
+import os
 import re
 
 import pytest
@@ -12,70 +13,45 @@ from capweave.operators.scratch import materialize, scratch_path
 from capweave.plans.catalogue import _entry_points
 from capweave.plans.export import export_package
 from capweave.plans.session import ship_package
+from capweave.sources import files
 from capweave.sources import sample_site as S
 
 
-def sequential(rows, threshold):
-    """(id, file, offset) by writing one record after the other."""
-    number, used, out = 0, 0, []
-    for ident, size in rows:
-        out.append((ident, number, used))
-        used += size
-        if used > threshold:
-            number, used = number + 1, 0
-    return out
-
-
-@pytest.mark.parametrize("threshold", [1, 50, 333, 10_000])
-def test_rotation_equals_one_writer(spark, threshold):
-    ship_package(spark)
-    rows = [(f"{i:05}", (i * 37) % 101 + (500 if i % 97 == 0 else 0)) for i in range(2500)]
-    df = spark.createDataFrame(rows, "capture_id string, length long").select(
+def sized(spark, n=2000):
+    rows = [(f"{i:05}", (i * 37) % 101 + (5000 if i % 97 == 0 else 1)) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "capture_id string, length long").select(
         F.col("capture_id").alias("surt"), F.lit(0).alias("fetched_at"), "capture_id", "length"
     )
-    placed = A.place_by_rotation(df, "length", threshold, parts=1)
-    got = sorted((r["capture_id"], int(r["filename"][:5].lstrip("0") or 0) if len(r["filename"]) == 13 else None, r["offset"]) for r in placed.collect())
-    assert got == sequential(rows, threshold)
 
 
-def test_rotation_by_parts_is_contiguous(spark):
-    ship_package(spark)
-    rows = [(f"{i:05}", (i * 37) % 101 + 1) for i in range(2000)]
-    df = spark.createDataFrame(rows, "capture_id string, length long").select(
-        F.col("capture_id").alias("surt"), F.lit(0).alias("fetched_at"), "capture_id", "length"
-    )
-    placed = A.place_by_rotation(df, "length", 5000, parts=4).collect()
-    assert len(placed) == 2000
-    files = {}
-    for r in sorted(placed, key=lambda r: r["capture_id"]):
-        files.setdefault(r["filename"], []).append((r["offset"], r["length"]))
-    assert sorted(files) == [f"{i:05}.warc.gz" for i in range(len(files))]
-    for spans in files.values():
-        end = 0
-        for offset, length in spans:
-            assert offset == end
-            end += length
-        assert end - spans[-1][1] <= 5000
-
-
-@pytest.mark.parametrize("searched", [0, 5000])
-def test_records_find_their_files(spark, monkeypatch, searched):
+@pytest.mark.parametrize("threshold", [1, 333, 100_000])
+def test_rotation_is_the_same_for_any_partitioning(spark, threshold):
+    rows, df = sized(spark)
+    start, first, want = 0, {}, []
+    for ident, size in rows:
+        number = start // threshold
+        want.append((ident, f"{number:05}.warc.gz", start - first.setdefault(number, start)))
+        start += size
+    for parts in (1, 4, 40):
+        placed = A.place_by_floor(df.repartition(parts), "length", threshold)
+        assert sorted((r["capture_id"], r["filename"], r["offset"]) for r in placed.collect()) == want
+
+
+@pytest.mark.parametrize("group", [1, 3, 512])
+def test_records_find_their_files(spark, monkeypatch, group):
     ship_package(spark)
-    monkeypatch.setattr(A, "MAX_SEARCHED_PARTS", searched)
+    monkeypatch.setattr(A, "FILES_PER_GROUP", group)
     rows = [(f"{i:05}", "hot" if i % 3 else f"k{i % 7}", (i * 37) % 101 + 1) for i in range(1500)]
     packed = spark.createDataFrame(rows, "capture_id string, surt string, length long").select(
         "capture_id", "surt", F.timestamp_seconds(F.col("length")).cast("timestamp_ntz").alias("fetched_at"), "length"
     )
-    placed = A.place_by_rotation(packed, "length", 3000, parts=4)
+    placed = materialize(A.place_by_floor(packed, "length", 3000), "placed")
     want = {r["capture_id"]: r["filename"] for r in placed.collect()}
     located = A.locate(packed, placed)
     assert {r["capture_id"]: r["filename"] for r in located.collect()} == want and len(want) == 1500
-    if searched:
-        # The wide side stays where it is: only the small table of files travels.
-        text = located._jdf.queryExecution().explainString(
-            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
-        )
-        assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+    # The wide side stays where it is: only the small table of files travels.
+    text = located._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
 
 
 @pytest.fixture(scope="module")
@@ -84,6 +60,7 @@ def package(spark, sf_dir):
     captures = materialize(store.latest(S.captures(spark, sf_dir)), "captures")
     points = _entry_points(spark, sf_dir)
     root = scratch_path(spark, "package")
+    export_package(captures, points, root, threshold=5_000)  # an earlier export into the same folder
     entries = export_package(captures, points, root, threshold=20_000).collect()
     return captures, points, root, entries
 
@@ -106,7 +83,7 @@ def test_manifest_matches_files(package):
 
 def test_index_points_at_records(package):
     captures, _, root, _ = package
-    index = read(root, "indexes/index.cdx.gz")
+    index = read(root, "indexes/index-00000.cdx.gz")
     lines = gzip.decompress(index).decode().splitlines()
     keys = [tuple(line.split(" ")[:2]) for line in lines]
     assert keys == sorted(keys) and len(lines) == captures.count()
@@ -128,8 +105,8 @@ def test_index_points_at_records(package):
 
 def test_block_index(package):
     _, _, root, _ = package
-    index = read(root, "indexes/index.cdx.gz")
-    for line in read(root, "indexes/index.idx").decode().splitlines():
+    index = read(root, "indexes/index-00000.cdx.gz")
+    for line in read(root, "indexes/index-00000.idx").decode().splitlines():
         key, time, block = line.split(" ", 2)
         block = json.loads(block)
         piece = index[block["offset"] : block["offset"] + block["length"]]
@@ -139,7 +116,7 @@ def test_block_index(package):
 
 def test_page_lists(package):
     captures, points, root, _ = package
-    main = [json.loads(x) for x in read(root, "pages/pages.jsonl").decode().splitlines()]
+    main = [json.loads(x) for x in read(root, "pages/pages-00000.jsonl").decode().splitlines()]
     extra = [json.loads(x) for n in sorted(e["path"] for e in package[3] if "extraPages" in e["path"])
              for x in read(root, n).decode().splitlines()]
     assert main[0] == {"format": "json-pages-1.0", "id": "entrypoint-pages", "title": "main pages!"}
@@ -149,3 +126,28 @@ def test_page_lists(package):
     got = {p["id"]: True for p in main[1:]} | {p["id"]: False for p in extra[1:]}
     assert got == want
     assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}Z", p["ts"]) for p in main[1:])
+
+
+def test_arrow_names_of_file_systems():
+    assert files.arrow_uri("s3a://bucket/x") == "s3://bucket/x"
+    assert files.arrow_uri("hdfs://host/x") == "hdfs://host/x"
+    assert files.arrow_uri("/x") == "/x"
+
+
+def test_a_folder_of_the_machine_is_refused_on_a_cluster(spark, monkeypatch):
+    monkeypatch.setattr(files, "is_local", lambda _: False)
+    rows = spark.createDataFrame([("a", 0, "0", b"x")], "name string, slot long, seq string, payload binary")
+    with pytest.raises(ValueError):
+        files.write_files(rows, "/tmp/x", files.new_export())
+
+
+def test_moving_again_changes_nothing(spark):
+    root = scratch_path(spark, "moves")
+    rows = spark.createDataFrame([(f"d/{i}", i, "0", bytes([i])) for i in range(20)], "name string, slot long, seq string, payload binary")
+    export = files.new_export()
+    files.write_files(rows, root, export, 7)
+    before = sorted(files.listing(spark, root, export).collect())
+    folder = next(p for p in os.listdir(f"{root}/{files.LISTING}/{export}") if not p.startswith("."))
+    files._move(spark, root, f"{files.LISTING}/{export}/{folder}")
+    assert sorted(files.listing(spark, root, export).collect()) == before and len(before) == 20
+    assert all(read(root, f"d/{i}") == bytes([i]) for i in range(20))
