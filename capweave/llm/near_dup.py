@@ -44,7 +44,9 @@ BANDS = 12
 ROWS = 4
 BUCKETS = 1 << 18
 DAMPING = 0.25
-PAIRED = 24
+PAIRED = 16
+#: Bits of the table that tells which texts pairs may need.
+FLAGS = 1 << 24
 #: Least share of samples in which a pair must agree to be verified: four and a half
 #: standard deviations below the threshold.
 AGREEMENT = 26
@@ -209,32 +211,53 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(verify, "a binary, b binary")
 
 
+def _marked(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (key, text) whose key may be among ``keys``; all that are stay.
+
+    A table of ``FLAGS`` bits by hash of the key, whatever the number of keys, so that most texts
+    that no pair needs are left out before they are shuffled.
+    """
+    at = F.pmod(F.xxhash64("key"), F.lit(FLAGS))
+    word = keys.select(at.alias("at")).groupBy(F.expr("at div 64").alias("w"))
+    found = word.agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("b")).toArrow()  # FLAGS / 64 rows at most
+    made = np.zeros(FLAGS // 64, dtype=np.int64)
+    made[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    flags = texts.sparkSession.sparkContext.broadcast(np.unpackbits(made.view(np.uint8), bitorder="little").view(bool))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["key", "text"]).filter(pa.array(flags.value[batch.column("at").to_numpy()]))
+
+    return texts.select("key", "text", at.alias("at")).mapInArrow(choose, "key binary, text string")
+
+
 def links(signed: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """Verified links (a, b) between distinct documents.
 
     ``signed`` has (rep, bands, sig) of one document for each content, ``texts`` (key, text) of all.
     """
     # A bucket is named by a hash of the bands that its documents share; band is the last of them.
-    member = signed.filter("sig IS NOT NULL").select("rep", "bands", "sig", F.posexplode("bands").alias("band", "bucket"))
+    signs = signed.filter("sig IS NOT NULL").select("rep", "bands", "sig")
+    member = signs.select("rep", F.posexplode("bands").alias("band", "bucket"))
     member = member.withColumn("bucket", F.xxhash64("band", "bucket"))
     found = seen = needed = None
     while True:
+        sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        inside = materialize(member.join(sizes, "bucket"), "members")
         # The pivot is the document that shares its buckets with most others: in a group of copies of one
         # text, with changes of their own, that is the one with the fewest changes.
-        sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        shared = member.join(sizes, "bucket")
-        crowd = shared.filter(F.col("n") > PAIRED).groupBy("rep").agg(F.sum("n").alias("crowd"))
-        central = F.max(F.struct("crowd", F.xxhash64("rep").alias("o"), "rep", "sig"))
-        pivots = shared.filter(F.col("n") > PAIRED).join(crowd, "rep").groupBy("bucket").agg(central.alias("p"))
-        sizes = materialize(sizes.join(pivots, "bucket", "left"), "buckets")
-        inside = member.join(sizes, "bucket").select(*member.columns, "n", F.col("p.rep").alias("pivot"), F.col("p.sig").alias("ps"))
-        inside = materialize(inside, "members")
-        small = inside.filter(F.col("n") <= PAIRED)
+        crowded = inside.filter(F.col("n") > PAIRED)
+        crowd = crowded.groupBy("rep").agg(F.sum("n").alias("crowd"))
+        central = F.max(F.struct("crowd", F.xxhash64("rep").alias("o"), "rep")).alias("p")
+        pivots = crowded.join(crowd, "rep").groupBy("bucket").agg(central).select("bucket", F.col("p.rep").alias("pivot"))
+        pivots = materialize(pivots.join(signs.select(F.col("rep").alias("pivot"), F.col("sig").alias("ps")), "pivot"), "pivots")
+        # Samples join the documents that share a bucket with another only.
+        small = inside.filter(F.col("n") <= PAIRED).join(signs.select("rep", "sig"), "rep")
         left = small.select("bucket", F.col("rep").alias("a"), F.col("sig").alias("sa"))
         right = small.select("bucket", F.col("rep").alias("b"), F.col("sig").alias("sb"))
         paired = left.join(right, "bucket").filter("a < b").select("a", "b", "sa", "sb")
-        large = inside.filter((F.col("n") > PAIRED) & (F.col("rep") != F.col("pivot")))
-        starred = large.select(
+        large = crowded.join(pivots, "bucket").filter("rep <> pivot")
+        starred = large.join(signs.select("rep", "sig"), "rep").select(
             F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), F.col("sig").alias("sa"), F.col("ps").alias("sb")
         )
         wanted = _agree(paired.unionByName(starred)).distinct()
@@ -243,22 +266,22 @@ def links(signed: DataFrame, texts: DataFrame, idf) -> DataFrame:
         wanted = materialize(wanted, "candidates")
         if needed is None:  # the texts of all that can be compared in this or a later round
             ends = wanted.select(F.explode(F.array("a", "b")).alias("key"))
-            ends = ends.unionByName(inside.filter(F.col("n") > PAIRED).select(F.col("rep").alias("key"))).distinct()
-            needed = materialize(texts.join(ends, "key", "left_semi").dropDuplicates(["key"]), "texts")
+            ends = materialize(ends.unionByName(crowded.select(F.col("rep").alias("key"))).distinct(), "needed")
+            needed = materialize(_marked(texts, ends).join(ends, "key", "left_semi").dropDuplicates(["key"]), "texts")
         good = materialize(_verified(wanted, needed, idf), "links")
         found = good if found is None else found.unionByName(good)
         seen = wanted if seen is None else seen.unionByName(wanted)
-        if not large.limit(1).count():
+        if not crowded.limit(1).count():
             return found
         # Whoever is not linked to the pivot goes on, once for each later band.
         tied = found.select(F.col("a").alias("rep"), F.col("b").alias("pivot"))
         tied = tied.unionByName(found.select(F.col("b").alias("rep"), F.col("a").alias("pivot")))
-        alone = large.join(tied, ["rep", "pivot"], "left_anti")
+        alone = large.select("rep", "pivot", "band", F.col("bucket").alias("old")).join(tied, ["rep", "pivot"], "left_anti")
         later = F.slice("bands", F.col("band") + 2, F.lit(BANDS))
-        onward = alone.select("rep", "bands", "sig", "band", F.col("bucket").alias("old"), F.posexplode(later).alias("step", "next"))
+        onward = alone.join(signs.select("rep", "bands"), "rep").select("rep", "band", "old", F.posexplode(later).alias("step", "next"))
         member = materialize(
             onward.select(
-                "rep", "bands", "sig", (F.col("band") + F.col("step") + 1).alias("band"), F.xxhash64("old", "band", "step", "next").alias("bucket")
+                "rep", (F.col("band") + F.col("step") + 1).alias("band"), F.xxhash64("old", "band", "step", "next").alias("bucket")
             ),
             "onward",
         )
