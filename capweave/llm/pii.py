@@ -144,7 +144,7 @@ def _place(data: np.ndarray, bounds: np.ndarray, spans: list[tuple[int, int, int
         hashes = term_hashes(plain, words.start, words.end).view(np.int64)
         lines = np.flatnonzero(plain == 0x0A)
         line_of = np.searchsorted(lines, words.start)
-        entity = span_hashes(data, np.array([s[1] for s in own]), np.array([s[3] for s in own]))
+        entity = span_hashes(data[low:high], np.array([s[1] - low for s in own]), np.array([s[3] - low for s in own]))
         entity = mixed(entity + np.array([s[2] + 1 for s in own], dtype=np.uint64)).view(np.int64)
         for (_, a, kind, b), e in zip(own, entity.tolist()):
             rows[text][0].append(kind)
