@@ -5,7 +5,8 @@ centroids.  Every vector of the table goes to its nearest list and, if it lies n
 to all of at most ``REPLICAS`` lists that are hardly farther (within ``REPLICATE``), as in SPANN (Chen and
 others, 2021).  Queries find their lists by a best-first search in a graph that joins each
 centroid with its neighbours and is held in memory; lists farther than the nearest by a ratio of
-``1 + PRUNE`` are pruned.  Within the lists distances are exact, in double precision.
+``1 + PRUNE`` are pruned, but for those that are needed to have as many candidates as are asked
+for.  Within the lists distances are exact, in double precision.
 
 Lists are shuffled in parts of about ``PART`` vectors and their queries in parts of about ``QUERIES``, so
 a vector that makes up a third of the table is no larger group than others.
@@ -16,7 +17,7 @@ through the driver.  All rows are indexed.
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors
 of another length than most (the longest of the most frequent lengths counts); rows with a null id are left out.  A row
 repeated with the same id and vector counts once.  Ties go to the smaller id.  With fewer
-candidates than asked for all found are returned; without any, and of an empty table, nothing is returned.
+candidates than asked for all are returned; without any, and of an empty table, nothing is returned.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def nearby_lists(queries: np.ndarray, centre: np.ndarray, links: np.ndarray, pru
     while True:
         best = away.min(1, keepdims=True)
         q, at = np.nonzero(open_ & ~done & (away <= best * (1 + prune)))
-        if not len(q):  # nothing near is left: at a local best, look around it once
+        if not len(q):
             break
         done[q, at] = True
         if links.shape[1]:
@@ -132,15 +133,27 @@ def _listed(vectors: DataFrame, shared) -> DataFrame:
                 first = np.argpartition(away, k - 1, axis=1)[:, :k]
                 near = np.take_along_axis(away, first, 1)
                 row, place = np.nonzero(near <= near.min(1, keepdims=True) * (1 + REPLICATE))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first[row, place].astype(np.int32)), *(some.column(c).take(pa.array(row)) for c in ("vec_id", "v"))],
-                    ["list", "vec_id", "v"],
-                )
+                lists = first[row, place]
+                own = lists == first[np.arange(len(first)), near.argmin(1)][row]  # the nearest list, once for each vector
+                columns = [pa.array(lists.astype(np.int32)), pa.array(own), *(some.column(c).take(pa.array(row)) for c in ("vec_id", "v"))]
+                yield pa.RecordBatch.from_arrays(columns, ["list", "own", "vec_id", "v"])
+
+    return vectors.select("vec_id", "v").mapInArrow(assign, "list int, own boolean, vec_id bigint, v array<double>")
+
 
-    return vectors.select("vec_id", "v").mapInArrow(assign, "list int, vec_id bigint, v array<double>")
+def enough_lists(queries: np.ndarray, centre: np.ndarray, row: np.ndarray, place: np.ndarray, size: np.ndarray, need: int):
+    """(query, list) with more lists, nearest first, for queries whose lists hold fewer than ``need`` vectors of their own."""
+    short = np.flatnonzero(np.bincount(row, size[place], len(queries)) < need)
+    if not len(short):
+        return row, place
+    order = np.argsort(_squared(queries[short], centre), axis=1, kind="stable")
+    held = np.cumsum(size[order], axis=1)
+    at, nth = np.nonzero(held - size[order] < need)  # up to the list that makes it enough
+    pairs = np.stack([np.concatenate([row, short[at]]), np.concatenate([place, order[at, nth]])])
+    return tuple(np.unique(pairs, axis=1))
 
 
-def _asked(queries: DataFrame, shared) -> DataFrame:
+def _asked(queries: DataFrame, shared, size: np.ndarray, need: int) -> DataFrame:
     """(list, query_id, v): each query with the lists it searches."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +161,8 @@ def _asked(queries: DataFrame, shared) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                row, place = nearby_lists(_matrix(some.column("v")), centre, links)
+                asked = _matrix(some.column("v"))
+                row, place = enough_lists(asked, centre, *nearby_lists(asked, centre, links), size, need)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(place.astype(np.int32)), some.column("vec_id").take(pa.array(row)), some.column("v").take(pa.array(row))],
                     ["list", "query_id", "v"],
@@ -177,10 +191,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, lists: int | None
     centre = fit(_matrix(chosen.column("v")), min(CENTROIDS, lists or max(4, round(n**0.5))))
     shared = spark.sparkContext.broadcast((centre, graph(centre)))
     posted = materialize(_listed(table, shared), "postings")
-    asked = materialize(_asked(table.filter(is_query), shared), "asked")
+    size = np.zeros(len(centre), dtype=np.int64)
+    for r in posted.filter("own").groupBy("list").count().collect():  # CENTROIDS rows at most
+        size[r.list] = r["count"]
+    # With its own row among them, k + 1 vectors leave k others.
+    asked = materialize(_asked(table.filter(is_query), shared, size, k + 1), "asked")
     parts, blocks = _parts_of(posted, PART), _parts_of(asked, QUERIES)
     # Every part of a list meets every block of its queries once.
-    left = posted.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    left = posted.drop("own").withColumn("part", F.pmod(F.xxhash64("vec_id"), parts)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks)).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     key = ["list", "part", "block"]
     left, right = (x.withColumns({"part": F.col("part").cast("int"), "block": F.col("block").cast("int")}) for x in (left, right))
