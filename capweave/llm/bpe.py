@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from capweave.llm.tables import materialize, ship_package, text_of
 from capweave.llm.words import mixed
@@ -44,7 +44,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 COMMON = 1 << 20
 #: Longer words are left to the texts that hold them, so that the table is bounded in bytes.
 LONGEST = 64
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 _NONE = (1 << 31) - 1
 _SHIFT = 20  # bits of a token id in a pair
 
@@ -353,8 +353,18 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def encode(docs: DataFrame, path: str = RANKS, known: Dictionary | None = None) -> DataFrame:
-    """``docs`` with ``ids`` array<int>, the tokens of the whole text."""
+#: Makes further columns from a batch and its ids, in the task that has them.
+Derive = Callable[[pa.RecordBatch, pa.Array], list[pa.Array]]
+
+
+def encode(
+    docs: DataFrame, path: str = RANKS, known: Dictionary | None = None, derive: Derive | None = None, derived: str = ""
+) -> DataFrame:
+    """``docs`` with ``ids`` array<int>, the tokens of the whole text.
+
+    With ``derive`` the columns that it makes (``derived``, as a schema) come in place of ``ids``, so a
+    caller that needs them only does not pass all ids on.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(known or dictionary(docs, path))
@@ -426,32 +436,46 @@ def encode(docs: DataFrame, path: str = RANKS, known: Dictionary | None = None)
     marked = docs.withColumn("_bpe", split(text_of()))
     folded = F.transform("_bpe.rare", lambda w: fold(w, path))
     kept = [c for c in docs.columns if c != "ids"]
-    ready = marked.select(*kept, F.col("_bpe.codes").alias("_codes"), folded.alias("_folded"))
+    schema = StructType(docs.select(*kept).schema.fields)
+    if derive:
+        made = StructType.fromDDL(derived)
+        kept = [c for c in kept if c not in made.names]
+        schema = StructType([f for f in schema if f.name in kept] + made.fields)
+    else:
+        schema.add("ids", ArrayType(IntegerType()))
+    asked = [*kept, *(["text"] if derive and "text" not in kept else [])]
+    ready = marked.select(*asked, F.col("_bpe.codes").alias("_codes"), folded.alias("_folded"))
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = fill(batch.column("_codes"), batch.column("_folded"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], ids], [*kept, "ids"])
+            new = derive(batch, ids) if derive else [ids]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], schema.names)
 
-    return ready.mapInArrow(filled, docs.select(*kept).schema.add("ids", ArrayType(IntegerType())))
+    return ready.mapInArrow(filled, schema)
 
 
-def decode(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """``docs`` with ``decoded``, the bytes of ``ids``: the pieces of the vocabulary one behind the other."""
-    ship_package(docs.sparkSession)
-    ranks = read_ranks(path)
-    size = max(ranks.values()) + 1
-    by_id = {rank: piece for piece, rank in ranks.items()}
-    pieces = [by_id.get(i, b"") for i in range(size)] + [b""]  # the last for ids that are none
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+class Decoder:
+    """The bytes of each id of a vocabulary."""
 
-    @F.arrow_udf("binary")
-    def join(ids: pa.Array) -> pa.Array:
-        table = pa.array(shared.value, pa.large_binary())
+    def __init__(self, path: str = RANKS):
+        ranks = read_ranks(path)
+        by_id = {rank: piece for piece, rank in ranks.items()}
+        self.pieces = [by_id.get(i, b"") for i in range(max(ranks.values()) + 1)] + [b""]  # the last for ids that are none
+        self._table: pa.Array | None = None
+
+    def __getstate__(self):
+        return {"pieces": self.pieces, "_table": None}
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """The pieces of each list one behind the other."""
+        if self._table is None:
+            self._table = pa.array(self.pieces, pa.large_binary())
+        none = len(self.pieces) - 1
         counts = pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
         flat = ids.flatten().fill_null(-1).to_numpy()
-        flat = np.where((flat < 0) | (flat >= size), size, flat)
-        taken = table.take(pa.array(flat))
+        flat = np.where((flat < 0) | (flat > none), none, flat)
+        taken = self._table.take(pa.array(flat))
         ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(flat) + 1]
         bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
         body = taken.buffers()[2]
@@ -459,12 +483,21 @@ def decode(docs: DataFrame, path: str = RANKS) -> DataFrame:
             pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(bounds)), body if body else pa.py_buffer(b"")]
         ).cast(pa.binary())
 
+
+def decode(docs: DataFrame, path: str = RANKS) -> DataFrame:
+    """``docs`` with ``decoded``, the bytes of ``ids``: the pieces of the vocabulary one behind the other."""
+    ship_package(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(Decoder(path))
+
+    @F.arrow_udf("binary")
+    def join(ids: pa.Array) -> pa.Array:
+        return shared.value.decode(ids)
+
     return docs.withColumn("decoded", join("ids"))
 
 
-@F.arrow_udf(StringType())
 def ids_sha256(ids: pa.Array) -> pa.Array:
-    """SHA-256 of the decimal ids joined by commas."""
+    """SHA-256 of the decimal ids of each list joined by commas."""
     flat = ids.flatten().to_numpy()
     top = int(flat.max()) + 1 if len(flat) else 0
     names = pa.array([f"{i}," for i in range(top)], pa.large_string())
@@ -474,3 +507,7 @@ def ids_sha256(ids: pa.Array) -> pa.Array:
     bounds = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
     body = memoryview(taken.buffers()[2]) if len(flat) else memoryview(b"")
     return pa.array([hashlib.sha256(body[a : max(a, b - 1)]).hexdigest() for a, b in zip(bounds, bounds[1:])])
+
+
+def sha256_of(values: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(v.as_buffer()).hexdigest() for v in values])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,19 +46,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(key(F.col("key")).alias("doc_id"), key(F.col("class")).alias("class_id"), F.col("links").alias("n_links"))
 
 
-def _digests(encoded: DataFrame) -> DataFrame:
-    done = bpe.decode(encoded)
-    return done.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        bpe.ids_sha256("ids").alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
-
-
 @_query("op2_byte_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digests(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    decoder = spark.sparkContext.broadcast(bpe.Decoder())
+
+    def digests(batch: pa.RecordBatch, ids: pa.Array) -> list[pa.Array]:
+        size = pc.list_value_length(ids).cast(pa.int64())
+        return [size, bpe.ids_sha256(ids), bpe.sha256_of(decoder.value.decode(ids))]
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    made = bpe.encode(docs, derive=digests, derived="n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return made.drop("text")
 
 
 @_query("op4_toxicity")

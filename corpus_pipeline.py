@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,15 +38,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, checked by decoding them."""
-    done = bpe.decode(bpe.encode(docs.select(*COLUMNS)))
-    return done.select(
-        "doc_id",
-        "lang",
-        "source",
-        "ids",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"),
-    )
+    decoder = spark.sparkContext.broadcast(bpe.Decoder())
+
+    def checked(batch: pa.RecordBatch, ids: pa.Array) -> list[pa.Array]:
+        text = batch.column("text").fill_null("").cast(pa.binary())
+        return [ids, pc.list_value_length(ids).cast(pa.int64()), pc.equal(decoder.value.decode(ids), text)]
+
+    made = "ids array<int>, n_tokens bigint, round_trip boolean"
+    return bpe.encode(docs.select(*COLUMNS), derive=checked, derived=made).drop("text", "n_chars")
 
 
 STAGES = [
