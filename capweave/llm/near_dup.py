@@ -260,10 +260,11 @@ def links(signed: DataFrame, texts: DataFrame, idf) -> DataFrame:
         starred = large.join(signs.select("rep", "sig"), "rep").select(
             F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), F.col("sig").alias("sa"), F.col("ps").alias("sb")
         )
-        wanted = _agree(paired.unionByName(starred)).distinct()
+        # Documents that meet in several buckets are compared once.
+        wanted = paired.unionByName(starred).dropDuplicates(["a", "b"])
         if seen is not None:
             wanted = wanted.join(seen, ["a", "b"], "left_anti")
-        wanted = materialize(wanted, "candidates")
+        wanted = materialize(_agree(wanted), "candidates")
         if needed is None:  # the texts of all that can be compared in this or a later round
             ends = wanted.select(F.explode(F.array("a", "b")).alias("key"))
             ends = materialize(ends.unionByName(crowded.select(F.col("rep").alias("key"))).distinct(), "needed")
