@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from capweave.functions.urls import host_of
 from capweave.operators.scratch import materialize
-from capweave.operators.skew import HEAVY_ROWS, all_salts, heavy_keys, salt_of, skew_join
+from capweave.operators.skew import HEAVY_ROWS, copy_rows, heavy_keys, skew_join, spread_rows
 
 _HOP = 1 << 32
 _MERGE_EVERY = 8  # written rounds between merges of the seen table
@@ -67,10 +67,10 @@ def reach(
         slim = skew_join(slim, closed, "src_surt", "surt", "left_anti", heavy_rows)
     spark = edges.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["src_surt", "salt"] if heavy else ["src_surt"]
+    keys = ["src_surt", "salt"] if heavy is not None else ["src_surt"]
     # Laid out once by the join key; every round then moves the frontier only.
     table = (
-        slim.withColumn("salt", salt_of(F.col("src_surt"), heavy, F.col("surt")))
+        spread_rows(slim, "src_surt", heavy, "surt", "salt")
         .select(*keys, "surt", "step")
         .repartition(parts, *keys)
         .persist(StorageLevel.MEMORY_AND_DISK)
@@ -79,7 +79,7 @@ def reach(
 
     def sources(state: DataFrame) -> DataFrame:
         moved = state.select(F.col("surt").alias("src_surt"), "dist")
-        return moved.withColumn("salt", F.explode(all_salts(F.col("src_surt"), heavy))) if heavy else moved
+        return moved if heavy is None else copy_rows(moved, "src_surt", heavy, "salt")
 
     def step(state: DataFrame) -> DataFrame:
         """Keys one link away."""
@@ -164,11 +164,8 @@ def discovery_tree(edges: DataFrame, reached: DataFrame, seeds: DataFrame) -> Da
     best = F.min(F.struct("src_url", "src_surt", "url")).alias("_best")
     heavy = heavy_keys(links, "src_surt")
     candidates = (
-        links.withColumn("_salt", salt_of(F.col("src_surt"), heavy, F.col("surt")))
-        .join(
-            source.withColumn("_salt", F.explode(all_salts(F.col("src_surt"), heavy))),
-            ["src_surt", "_salt"],
-        )
+        spread_rows(links, "src_surt", heavy, "surt")
+        .join(copy_rows(source, "src_surt", heavy), ["src_surt", "_salt"])
         .groupBy("surt", (F.col("_src_dist") + F.col("step")).alias("dist"))
         .agg(best)
     )

@@ -1,54 +1,49 @@
-"""Joins that hold up when one key owns a large share of the rows."""
+"""Joins that hold up when some keys own a large share of the rows.
+
+Heavy keys are a table, however many there are; it has one row per key with more
+than ``HEAVY_ROWS`` rows, and whether it is broadcast is left to the size checks of
+the planner.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is heavy above HEAVY_ROWS rows and gets one salt per HEAVY_ROWS.  At most
-# MAX_HEAVY keys are looked at, the heaviest first, so the list that goes into the
-# plan stays bounded; keys beyond it hold less than 1/MAX_HEAVY of the rows each
-# and join plainly.
+from capweave.operators.scratch import materialize
+
+# A key is heavy above HEAVY_ROWS rows and gets one salt per HEAVY_ROWS.
 HEAVY_ROWS = 1_000_000
-MAX_HEAVY = 64
-MAX_SALTS = 4_096
 
-# Key lists up to this many rows are broadcast, longer ones are joined by shuffle.
-MAX_BROADCAST_KEYS = 100_000
+# Key lists up to this many bytes are broadcast, longer ones are joined by shuffle.
+MAX_BROADCAST_BYTES = 8 << 20
 
-Heavy = dict[str, int]  # key -> number of salts
+Heavy = DataFrame | None  # key and number of salts; None if no key is heavy
 
 
 def heavy_keys(df: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS) -> Heavy:
     """The keys with more than ``heavy_rows`` rows, from a scan of the key alone."""
-    top = (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .count()
-        .filter(F.col("count") > heavy_rows)
-        .orderBy(F.desc("count"), key)
-        .limit(MAX_HEAVY)
-    )
-    return {row[0]: min(MAX_SALTS, row[1] // max(heavy_rows, 1) + 1) for row in top.collect()}
-
-
-def _salts(key: Column, heavy: Heavy) -> Column:
-    pairs = [F.lit(x) for pair in heavy.items() for x in pair]
-    return F.try_element_at(F.create_map(*pairs), key)
+    often = df.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > heavy_rows)
+    if not often.limit(1).count():
+        return None
+    salts = F.floor(F.col("count") / max(heavy_rows, 1)).cast("int") + 1
+    return materialize(often.select(key, salts.alias("_salts")), "heavy")
 
 
-def salt_of(key: Column, heavy: Heavy, spread: Column) -> Column:
-    """Salt of a row on the large side: spread for heavy keys, 0 for others."""
-    if not heavy:
-        return F.lit(0)
-    return F.coalesce(F.pmod(F.xxhash64(spread), _salts(key, heavy)).cast("int"), F.lit(0))
+def spread_rows(df: DataFrame, key: str, heavy: Heavy, spread: str, name: str = "_salt") -> DataFrame:
+    """Adds the salt of each row on the large side: by ``spread`` for heavy keys, 0 for others."""
+    if heavy is None:
+        return df.withColumn(name, F.lit(0))
+    salt = F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int")
+    return df.join(heavy, key, "left").withColumn(name, F.coalesce(salt, F.lit(0))).drop("_salts")
 
 
-def all_salts(key: Column, heavy: Heavy) -> Column:
-    """Salts a row on the small side must be copied to; one for ordinary keys."""
-    if not heavy:
-        return F.array(F.lit(0))
-    return F.sequence(F.lit(0), F.coalesce(_salts(key, heavy), F.lit(1)) - 1)
+def copy_rows(df: DataFrame, key: str, heavy: Heavy, name: str = "_salt") -> DataFrame:
+    """Copies each row on the small side to every salt of its key; one copy for ordinary keys."""
+    if heavy is None:
+        return df.withColumn(name, F.lit(0))
+    salts = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    return df.join(heavy, key, "left").withColumn(name, F.explode(salts)).drop("_salts")
 
 
 def skew_join(
@@ -67,20 +62,19 @@ def skew_join(
     than the end of a long computation.  Whether a side is broadcast is left to the size checks of the planner.
     """
     heavy = heavy_keys(left, key, heavy_rows)
-    if not heavy:
+    if heavy is None:
         return left.join(right, key, how)
-    salted = left.withColumn("_salt", salt_of(F.col(key), heavy, F.col(spread)))
-    copied = right.withColumn("_salt", F.explode(all_salts(F.col(key), heavy)))
-    return salted.join(copied, [key, "_salt"], how).drop("_salt")
+    return spread_rows(left, key, heavy, spread).join(copy_rows(right, key, heavy), [key, "_salt"], how).drop("_salt")
 
 
 def key_join(left: DataFrame, keys: DataFrame, key: str, spread: str, how: str) -> DataFrame:
     """Semi or anti join with a list of keys that is short as a rule.
 
-    Its length is checked: a short list is broadcast, which no hot key can
+    Its bytes are counted: a short list is broadcast, which no hot key can
     unbalance, and a long one goes through :func:`skew_join`.
     """
     keys = keys.select(key).distinct()
-    if keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
+    size = keys.agg(F.coalesce(F.sum(F.octet_length(key) + 16), F.lit(0))).first()[0]
+    if size <= MAX_BROADCAST_BYTES:
         return left.join(F.broadcast(keys), key, how)
     return skew_join(left, keys, key, spread, how)
