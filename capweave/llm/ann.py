@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capweave.llm.tables import materialize, ship_package
+from capweave.llm.tables import first_by_hash, materialize, ship_package
 
 SAMPLE = 30_000
 CENTROIDS = 2_048
@@ -187,7 +187,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, lists: int | None
     if not n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     order = F.xxhash64("vec_id", F.lit(3))
-    chosen = table.orderBy(order, "vec_id").limit(SAMPLE).select("v").toArrow()
+    chosen = first_by_hash(table, order, SAMPLE).select("v").toArrow()
     centre = fit(_matrix(chosen.column("v")), min(CENTROIDS, lists or max(4, round(n**0.5))))
     shared = spark.sparkContext.broadcast((centre, graph(centre)))
     posted = materialize(_listed(table, shared), "postings")

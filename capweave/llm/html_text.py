@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from capweave.llm.tables import ship_package
+from capweave.llm.tables import first_by_hash, ship_package
 from capweave.llm.words import chunks
 
 PAGES = 160
@@ -359,7 +359,7 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     ship_package(spark)
     order = F.xxhash64("page_id", "url", F.lit(5))
-    chosen = pages.select("html", order.alias("o")).filter("html IS NOT NULL").orderBy("o").limit(PAGES)
+    chosen = first_by_hash(pages.select("page_id", "url", "html").filter("html IS NOT NULL"), order, PAGES)
     shared = spark.sparkContext.broadcast(train([r.html for r in chosen.select("html").collect()]))
     kept = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
 

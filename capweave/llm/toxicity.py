@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capweave.llm.tables import materialize, ship_package
+from capweave.llm.tables import first_by_hash, materialize, ship_package
 from capweave.llm.words import chunks, mixed, span_hashes
 
 HASH_BITS = 44
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = texts.select("doc_id").join(marks.filter("toxic"), "doc_id").select("doc_id", F.lit(1).alias("side"))
     other = texts.select("doc_id").filter(~held_out()).join(labels.select("doc_id"), "doc_id", "left_anti")
     other = other.select("doc_id", F.lit(0).alias("side"))
-    some = [x.distinct().withColumn("o", order).orderBy("o", "doc_id").limit(k) for x, k in ((known, POSITIVES), (other, UNLABELLED * MEMBERS))]
+    some = [first_by_hash(x.distinct(), order, k) for x, k in ((known, POSITIVES), (other, UNLABELLED * MEMBERS))]
     chosen = materialize(some[0].unionByName(some[1]), "chosen")
     rows = texts.join(F.broadcast(chosen), "doc_id")  # POSITIVES + MEMBERS * UNLABELLED rows at most
 
