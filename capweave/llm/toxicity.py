@@ -138,6 +138,13 @@ def fit(positive: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndarr
     return used, w, bias
 
 
+def flags_of(hashes: np.ndarray) -> np.ndarray:
+    """Flags that rule out most other hashes."""
+    flags = np.zeros(1 << FLAG_BITS, dtype=bool)
+    flags[hashes & _FLAG] = True
+    return flags
+
+
 class Model:
     """Hashes in order with their weights, the bias, and flags that rule out most other hashes."""
 
@@ -146,9 +153,7 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = np.empty(len(texts))
-        flags = np.zeros(1 << FLAG_BITS, dtype=bool)
-        flags[self.hashes & _FLAG] = True
-        for at, n, text, h in features(texts, flags):
+        for at, n, text, h in features(texts, flags_of(self.hashes)):
             z = np.full(n, self.bias)
             if len(self.hashes):
                 place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -185,13 +190,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = texts.join(F.broadcast(chosen), "doc_id")  # POSITIVES + MEMBERS * UNLABELLED rows at most
 
     def learn(table: pa.Table) -> pa.Table:
-        sides = []
+        sides, known = [], None
         for side in (1, 0):
             part = table.filter(pc.equal(table.column("side"), side)).column("text")
-            found = [(t + at, f) for at, _, t, f in features(part)]
-            empty = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))]
-            text, feature = (np.concatenate(x) for x in zip(*(found or empty)))
-            sides.append((text, feature, len(part)))
+            texts, hashes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+            for at, _, t, h in features(part, None if known is None else flags_of(known)):
+                if known is not None and len(known):  # of the unlabelled, only what a weight can go to
+                    use = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                    t, h = t[use], h[use]
+                texts.append(t + at)
+                hashes.append(h)
+            sides.append((np.concatenate(texts), np.concatenate(hashes), len(part)))
+            if known is None:
+                known, support = np.unique(sides[0][1], return_counts=True)
+                known = known[support >= SUPPORT]
         made = [fit(*sides, prior)] if sides[0][2] and sides[1][2] else []
         return pa.table(
             {
