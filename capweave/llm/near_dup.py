@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capweave.llm.tables import id_key, materialize, ship_package, text_of
@@ -247,9 +247,9 @@ def links(signed: DataFrame, texts: DataFrame, idf) -> DataFrame:
         # The pivot is the document that shares its buckets with most others: in a group of copies of one
         # text, with changes of their own, that is the one with the fewest changes.
         crowded = inside.filter(F.col("n") > PAIRED)
-        crowd = crowded.groupBy("rep").agg(F.sum("n").alias("crowd"))
+        crowd = crowded.withColumn("crowd", F.sum("n").over(Window.partitionBy("rep")))  # a row for each bucket of a document
         central = F.max(F.struct("crowd", F.xxhash64("rep").alias("o"), "rep")).alias("p")
-        pivots = crowded.join(crowd, "rep").groupBy("bucket").agg(central).select("bucket", F.col("p.rep").alias("pivot"))
+        pivots = crowd.groupBy("bucket").agg(central).select("bucket", F.col("p.rep").alias("pivot"))
         pivots = materialize(pivots.join(signs.select(F.col("rep").alias("pivot"), F.col("sig").alias("ps")), "pivot"), "pivots")
         # Samples join the documents that share a bucket with another only.
         small = inside.filter(F.col("n") <= PAIRED).join(signs.select("rep", "sig"), "rep")
