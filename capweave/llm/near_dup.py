@@ -8,11 +8,14 @@ that agree in all rows of a band are candidates, those whose samples agree too
 rarely for the threshold are set aside, and the rest are verified on their whole
 texts.  Classes are the connected components of the verified links.
 
-Large buckets are never paired off in full.  In a bucket of more than
-``PAIRED`` documents all are verified against one pivot, the document that shares
-its buckets with most others; those that are not linked to it go on to narrower
-buckets, of two bands, then three and so on, until every bucket is small enough
-to be paired in full.
+Large buckets take two steps.  In a bucket of more than ``PAIRED`` documents all are
+verified against one pivot, the document that shares its buckets with most others.  A
+pair whose documents are in one component by then says nothing new.  Of the others none
+is left out: where a bucket still holds several components, each document outside the
+largest one is compared with all documents of other components, by their samples in
+blocks of ``BLOCK`` documents.  A round verifies the most alike ``FIRST_TAKEN`` partners of a
+document in each pair of blocks, the next round ``GROWTH`` times as many, with the
+components joined by then, until no document had more.
 
 Document frequencies are counted over all documents in ``BUCKETS`` hash buckets, less the mean
 load of a bucket, so the table that is broadcast has a fixed size.  The factor lies
@@ -45,6 +48,12 @@ ROWS = 4
 BUCKETS = 1 << 18
 DAMPING = 0.25
 PAIRED = 16
+#: Documents of a crowded bucket that are compared in one place with as many others.
+BLOCK = 512
+#: Partners that a document has verified in each pair of blocks in the first round, and by how much
+#: this grows from round to round.
+FIRST_TAKEN = 2
+GROWTH = 16
 #: Bits of the table that tells which texts pairs may need.
 FLAGS = 1 << 24
 #: Least share of samples in which a pair must agree to be verified: four and a half
@@ -231,61 +240,113 @@ def _marked(texts: DataFrame, keys: DataFrame) -> DataFrame:
     return texts.select("key", "text", at.alias("at")).mapInArrow(choose, "key binary, text string")
 
 
+def _blocks(crowded: DataFrame, root: DataFrame) -> DataFrame:
+    """(bucket, x, y, rep, comp, minor): documents of buckets with several components, dealt to pairs of blocks.
+
+    A document of block i is in the pairs (x, y) of i with every block; ``minor`` is whether it is outside
+    the bucket's largest component.
+    """
+    known = crowded.select("bucket", "rep", "n").join(root, crowded.rep == root.node, "left")
+    known = materialize(known.select("bucket", "rep", "n", F.coalesce("root", "rep").alias("comp")), "crowd")
+    parts = known.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+    main = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("size", "comp")).alias("m"))
+    main = main.filter("parts > 1").select("bucket", F.col("m.comp").alias("main"))
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    dealt = known.join(main, "bucket").select(
+        "bucket", "rep", "comp", (F.col("comp") != F.col("main")).alias("minor"), own.alias("own"),
+        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
+    )
+    return dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "comp", "minor")
+
+
+def _across(dealt: DataFrame, taken: int) -> DataFrame:
+    """Candidates (a, b, more) across components, ``taken`` a document and pair of blocks; ``more`` where it had others."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        own, first = table.column("own").to_numpy(), table.column("x")[0].as_py()
+        rep = table.column("rep").to_pylist()
+        comp = np.unique(np.array(table.column("comp").to_pylist(), dtype=object), return_inverse=True)[1]
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, _SAMPLES)
+        minor = table.column("minor").to_numpy()
+        same = first == table.column("y")[0].as_py()
+        made = ([], [], [])
+        for side in (True,) if same else (True, False):
+            left = np.flatnonzero(minor & ((own == first) == side))
+            right = np.flatnonzero((own == first) == (side == same))
+            if not len(left) or not len(right):
+                continue
+            for at in range(0, len(left), 64):
+                some = left[at : at + 64]
+                alike = np.zeros((len(some), len(right)), dtype=np.uint8)
+                for k in range(_SAMPLES):
+                    alike += sig[some, k, None] == sig[None, right, k]
+                alike[comp[some, None] == comp[None, right]] = 0
+                alike[alike < AGREEMENT] = 0
+                order = np.argsort(~alike, axis=1, kind="stable")[:, :taken]
+                number = (alike > 0).sum(axis=1)
+                for row, i in enumerate(some):
+                    for j in right[order[row, : min(taken, number[row])]]:
+                        made[0].append(min(rep[i], rep[j]))
+                        made[1].append(max(rep[i], rep[j]))
+                        made[2].append(bool(number[row] > taken))
+        return pa.table([pa.array(made[0], pa.binary()), pa.array(made[1], pa.binary()), pa.array(made[2], pa.bool_())], ["a", "b", "more"])
+
+    found = dealt.groupBy("bucket", "x", "y").applyInArrow(compare, "a binary, b binary, more boolean")
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
 def links(signed: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """Verified links (a, b) between distinct documents.
+    """Verified links (a, b) between distinct documents: all in small buckets, in others enough to join what is alike.
 
     ``signed`` has (rep, bands, sig) of one document for each content, ``texts`` (key, text) of all.
     """
-    # A bucket is named by a hash of the bands that its documents share; band is the last of them.
+    # A bucket is named by a hash of its band.
     signs = signed.filter("sig IS NOT NULL").select("rep", "bands", "sig")
     member = signs.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    member = member.withColumn("bucket", F.xxhash64("band", "bucket"))
-    found = seen = needed = None
-    while True:
-        sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        inside = materialize(member.join(sizes, "bucket"), "members")
-        # The pivot is the document that shares its buckets with most others: in a group of copies of one
-        # text, with changes of their own, that is the one with the fewest changes.
-        crowded = inside.filter(F.col("n") > PAIRED)
-        crowd = crowded.withColumn("crowd", F.sum("n").over(Window.partitionBy("rep")))  # a row for each bucket of a document
-        central = F.max(F.struct("crowd", F.xxhash64("rep").alias("o"), "rep")).alias("p")
-        pivots = crowd.groupBy("bucket").agg(central).select("bucket", F.col("p.rep").alias("pivot"))
-        pivots = materialize(pivots.join(signs.select(F.col("rep").alias("pivot"), F.col("sig").alias("ps")), "pivot"), "pivots")
-        # Samples join the documents that share a bucket with another only.
-        small = inside.filter(F.col("n") <= PAIRED).join(signs.select("rep", "sig"), "rep")
-        left = small.select("bucket", F.col("rep").alias("a"), F.col("sig").alias("sa"))
-        right = small.select("bucket", F.col("rep").alias("b"), F.col("sig").alias("sb"))
-        paired = left.join(right, "bucket").filter("a < b").select("a", "b", "sa", "sb")
-        large = crowded.join(pivots, "bucket").filter("rep <> pivot")
-        starred = large.join(signs.select("rep", "sig"), "rep").select(
-            F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), F.col("sig").alias("sa"), F.col("ps").alias("sb")
-        )
-        # Documents that meet in several buckets are compared once.
-        wanted = paired.unionByName(starred).dropDuplicates(["a", "b"])
-        if seen is not None:
-            wanted = wanted.join(seen, ["a", "b"], "left_anti")
-        wanted = materialize(_agree(wanted), "candidates")
-        if needed is None:  # the texts of all that can be compared in this or a later round
-            ends = wanted.select(F.explode(F.array("a", "b")).alias("key"))
-            ends = materialize(ends.unionByName(crowded.select(F.col("rep").alias("key"))).distinct(), "needed")
-            needed = materialize(_marked(texts, ends).join(ends, "key", "left_semi").dropDuplicates(["key"]), "texts")
-        good = materialize(_verified(wanted, needed, idf), "links")
-        found = good if found is None else found.unionByName(good)
-        seen = wanted if seen is None else seen.unionByName(wanted)
-        if not crowded.limit(1).count():
+    member = member.select("rep", F.xxhash64("band", "bucket").alias("bucket"))
+    sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    inside = materialize(member.join(sizes, "bucket"), "members")
+    # The pivot is the document that shares its buckets with most others: in a group of copies of one
+    # text, with changes of their own, that is the one with the fewest changes.
+    crowded = inside.filter(F.col("n") > PAIRED)
+    crowd = crowded.withColumn("crowd", F.sum("n").over(Window.partitionBy("rep")))  # a row for each bucket of a document
+    central = F.max(F.struct("crowd", F.xxhash64("rep").alias("o"), "rep")).alias("p")
+    pivots = crowd.groupBy("bucket").agg(central).select("bucket", F.col("p.rep").alias("pivot"))
+    pivots = materialize(pivots.join(signs.select(F.col("rep").alias("pivot"), F.col("sig").alias("ps")), "pivot"), "pivots")
+    # Samples join the documents that share a bucket with another only.
+    small = inside.filter(F.col("n") <= PAIRED).join(signs.select("rep", "sig"), "rep")
+    left = small.select("bucket", F.col("rep").alias("a"), F.col("sig").alias("sa"))
+    right = small.select("bucket", F.col("rep").alias("b"), F.col("sig").alias("sb"))
+    paired = left.join(right, "bucket").filter("a < b").select("a", "b", "sa", "sb")
+    # A document meets the same pivot in most of its buckets, and its samples join it once for each pivot.
+    large = crowded.join(pivots, "bucket").filter("rep <> pivot").select("rep", "pivot", "ps").dropDuplicates(["rep", "pivot"])
+    starred = large.join(signs.select("rep", "sig"), "rep").select(
+        F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), F.col("sig").alias("sa"), F.col("ps").alias("sb")
+    )
+    # Documents that meet in several buckets are compared once.
+    seen = materialize(_agree(paired.unionByName(starred).dropDuplicates(["a", "b"])), "candidates")
+    # The texts of all that can be compared in this or a later round.
+    ends = seen.select(F.explode(F.array("a", "b")).alias("key"))
+    ends = materialize(ends.unionByName(crowded.select(F.col("rep").alias("key"))).distinct(), "needed")
+    needed = materialize(_marked(texts, ends).join(ends, "key", "left_semi").dropDuplicates(["key"]), "texts")
+    found = materialize(_verified(seen, needed, idf), "links")
+    taken = FIRST_TAKEN
+    more = crowded.limit(1).count() > 0
+    while more:
+        dealt = materialize(_blocks(crowded, components(found)), "blocks")
+        if not dealt.limit(1).count():
             return found
-        # Whoever is not linked to the pivot goes on, once for each later band.
-        tied = found.select(F.col("a").alias("rep"), F.col("b").alias("pivot"))
-        tied = tied.unionByName(found.select(F.col("b").alias("rep"), F.col("a").alias("pivot")))
-        alone = large.select("rep", "pivot", "band", F.col("bucket").alias("old")).join(tied, ["rep", "pivot"], "left_anti")
-        later = F.slice("bands", F.col("band") + 2, F.lit(BANDS))
-        onward = alone.join(signs.select("rep", "bands"), "rep").select("rep", "band", "old", F.posexplode(later).alias("step", "next"))
-        member = materialize(
-            onward.select(
-                "rep", (F.col("band") + F.col("step") + 1).alias("band"), F.xxhash64("old", "band", "step", "next").alias("bucket")
-            ),
-            "onward",
-        )
+        # The samples of a document join it once, and go with it to its blocks.
+        cast = dealt.groupBy("rep").agg(F.collect_list(F.struct("bucket", "x", "y", "own", "comp", "minor")).alias("c"))
+        cast = cast.join(signs.select("rep", "sig"), "rep").select("rep", "sig", F.explode("c").alias("c")).select("rep", "sig", "c.*")
+        wanted = materialize(_across(cast, taken), "across")
+        more = wanted.filter("more").limit(1).count() > 0
+        fresh = materialize(wanted.select("a", "b").join(seen, ["a", "b"], "left_anti"), "candidates")
+        found = found.unionByName(materialize(_verified(fresh, needed, idf), "links"))
+        seen = seen.unionByName(fresh)
+        taken *= GROWTH
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -329,7 +390,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """(key, class, links) for each row of ``docs``.
 
     ``key`` is that of :func:`key_of`; ``class`` is the least key of the document's class and
-    ``links`` the number of documents with other words that it is linked to.
+    ``links`` the number of links to documents with other words that were verified.
     """
     spark = docs.sparkSession
     ship_package(spark)

@@ -88,3 +88,26 @@ def test_odd_rows(spark):
     assert kept.columns == frame.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "a b"), (1, ""), (4, "a"), (7, long), (9, "q"), (9, "r")]
     assert N.survivors(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [16, N.BLOCK])
+def test_a_chain_of_copies_of_copies_in_one_bucket_stays_in_one_class(spark, monkeypatch, block):
+    """Each document is like the next one only, and the last band alone brings them together."""
+    monkeypatch.setattr(N, "BLOCK", block)
+    draw = random.Random(8)
+    texts = [sentence(draw, 60, 50_000)]
+    while len(texts) < 200:
+        words = texts[-1].split()
+        words[(7 * len(texts)) % 50 + 5] = f"x{len(texts)}"
+        texts.append(" ".join(words))
+    texts += [sentence(draw, 60, 50_000) for _ in range(20)]
+    keys = [b"%04d" % i for i in draw.sample(range(10_000), len(texts))]
+    bands = [[*(i * N.BANDS + k for k in range(N.BANDS - 1)), -1] for i in range(len(texts))]
+    signed = spark.createDataFrame([(k, b, bytes(N._SAMPLES)) for k, b in zip(keys, bands)], "rep binary, bands array<bigint>, sig binary")
+    frame = spark.createDataFrame(list(zip(keys, texts)), "key binary, text string")
+    made = N.links(signed, frame, spark.sparkContext.broadcast(np.ones(N.BUCKETS, dtype=np.float32)))
+    got = [(keys.index(bytes(r.a)), keys.index(bytes(r.b))) for r in made.collect()]
+    near = {(a, b) for a, b in combinations(range(len(texts)), 2) if jaccard(texts[a], texts[b]) >= N.SIMILARITY}
+    assert {(min(p), max(p)) for p in got} <= near and len(got) == len(set(got))
+    assert roots(range(len(texts)), got) == roots(range(len(texts)), near)
+    assert near == {(i, i + 1) for i in range(199)}
