@@ -390,7 +390,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """(key, class, links) for each row of ``docs``.
 
     ``key`` is that of :func:`key_of`; ``class`` is the least key of the document's class and
-    ``links`` the number of links to documents with other words that were verified.
+    ``links`` the number of links to documents with other words that were verified: all in small
+    buckets, in crowded ones only as many as join the class.
     """
     spark = docs.sparkSession
     ship_package(spark)

@@ -43,7 +43,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
     key = near_dup.id_of
-    return found.select(key(F.col("key")).alias("doc_id"), key(F.col("class")).alias("class_id"), F.col("links").alias("n_links"))
+    return found.select(key(F.col("key")).alias("doc_id"), key(F.col("class")).alias("class_id"))
 
 
 @_query("op2_byte_bpe")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from capweave.llm import near_dup as N
+from capweave.llm.queries import QUERIES
 from tests.llm.helpers import docs, jaccard, sentence, with_odd_columns
 
 
@@ -111,3 +112,7 @@ def test_a_chain_of_copies_of_copies_in_one_bucket_stays_in_one_class(spark, mon
     assert {(min(p), max(p)) for p in got} <= near and len(got) == len(set(got))
     assert roots(range(len(texts)), got) == roots(range(len(texts)), near)
     assert near == {(i, i + 1) for i in range(199)}
+
+
+def test_the_query_gives_no_count_that_depends_on_the_bucket_size(spark, sf_dir):
+    assert QUERIES["op10_near_duplicates"](spark, sf_dir).columns == ["doc_id", "class_id"]
