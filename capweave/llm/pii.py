@@ -2,12 +2,14 @@
 
 Base findings are e-mail addresses, IP addresses, card and phone numbers, by fixed patterns.
 Terms near them can give them away as well: for each protected entity, which is a kind and a
-value, and each word within ``CONTEXT_WORDS`` words of it in its line, the corpus says in how
-many documents the two occur together and each alone.  The pointwise mutual information of
-term and entity over the information of the entity is the share of the entity that the
-term discloses (Sanchez and Batet, 2016).  Terms over ``DISCLOSURE`` in at least
-``SUPPORT`` documents are spans too.  ``sanitised`` replaces base spans by their kind and
-terms by a general word, or removes them.
+value, an e-mail domain or a kind alone, and each word within ``CONTEXT_WORDS`` words of it in its
+line, the corpus says in how many documents the two occur together and each alone.  The pointwise
+mutual information of term and entity over the information of the entity is the share of the
+entity that the term discloses (Sanchez and Batet, 2016).  A term over ``DISCLOSURE`` counts if
+chance would hardly bring the two together so often: the Chernoff bound of that, times the
+number of pairs, is at most ``2 ** -EVIDENCE_BITS``.  Every occurrence of the term in documents that hold
+the entity is a span too.  ``sanitised`` replaces base spans by their kind and terms by a
+general word, or removes them.
 
 Counts are over all documents; joins are on hashes of 64 bits.  Patterns run on the few stretches
 of a text that can match, which are found in numpy for whole batches.
@@ -40,9 +42,12 @@ CARD = re.compile(rb"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 
 CONTEXT_WORDS = 6
-SUPPORT = 3
+EVIDENCE_BITS = 10
 DISCLOSURE = 0.9
 GENERAL = "[TERM]"
+#: Hashes of the kinds, and what is added to those of domains.
+_GROUPS = mixed(np.arange(1, len(KINDS) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+_DOMAIN = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _set(chars: bytes) -> np.ndarray:
@@ -109,30 +114,32 @@ def base_spans(data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int
 def _found(docs: DataFrame) -> DataFrame:
     """``docs`` without text, with the base spans in code points and the terms near them.
 
-    ``_pii_near`` has, for each entity and term near it, hashes of both and the term's place.
+    ``_pii_near`` has hashes of each entity and term near it, ``_pii_words`` hash and place of each word of a text with spans.
     """
     kept = [c for c in docs.columns if c not in ("text", "kinds", "starts", "ends")]
-    near = StructType().add("e", LongType()).add("t", LongType()).add("s", IntegerType()).add("f", IntegerType())
+    near = StructType().add("e", LongType()).add("t", LongType())
+    word = StructType().add("t", LongType()).add("s", IntegerType()).add("f", IntegerType())
     schema = docs.select(*kept).schema
-    for name, kind in (("kinds", IntegerType()), ("starts", IntegerType()), ("ends", IntegerType()), ("_pii_near", near)):
+    for name, kind in (("kinds", IntegerType()), ("starts", IntegerType()), ("ends", IntegerType()), ("_pii_near", near), ("_pii_words", word)):
         schema = schema.add(name, ArrayType(kind))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, words in chunks(batch.column("text")):
                 spans = base_spans(words.data, words.bounds)
-                rows = [([], [], [], []) for _ in range(words.n)]
+                rows = [([], [], [], [], []) for _ in range(words.n)]
                 if spans:
                     _place(words.data, words.bounds, spans, rows)
                 old = [batch.column(c).slice(at, words.n) for c in kept]
                 new = [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(3)]
-                pairs = pa.array([r[3] for r in rows], pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("f", pa.int32())])))
-                yield pa.RecordBatch.from_arrays([*old, *new, pairs], schema.names)
+                pairs = pa.array([r[3] for r in rows], pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64())])))
+                each = pa.array([r[4] for r in rows], pa.list_(pa.struct([("t", pa.int64()), ("s", pa.int32()), ("f", pa.int32())])))
+                yield pa.RecordBatch.from_arrays([*old, *new, pairs, each], schema.names)
 
     return docs.select(*kept, "text").mapInArrow(search, schema)
 
 
-def _place(data: np.ndarray, bounds: np.ndarray, spans: list[tuple[int, int, int, int]], rows: list[tuple[list, list, list, list]]) -> None:
+def _place(data: np.ndarray, bounds: np.ndarray, spans: list[tuple[int, int, int, int]], rows: list[tuple[list, list, list, list, list]]) -> None:
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before a byte
     for text in sorted({s[0] for s in spans}):
         low, high = int(bounds[text]), int(bounds[text + 1])
@@ -146,15 +153,22 @@ def _place(data: np.ndarray, bounds: np.ndarray, spans: list[tuple[int, int, int
         line_of = np.searchsorted(lines, words.start)
         entity = span_hashes(data[low:high], np.array([s[1] - low for s in own]), np.array([s[3] - low for s in own]))
         entity = mixed(entity + np.array([s[2] + 1 for s in own], dtype=np.uint64)).view(np.int64)
+        places = (points[words.start + low] - points[low]).tolist(), (points[words.end + low] - points[low]).tolist()
+        rows[text][4].extend(zip(hashes.tolist(), *places))
+        near = set()
         for (_, a, kind, b), e in zip(own, entity.tolist()):
             rows[text][0].append(kind)
             rows[text][1].append(int(points[a] - points[low]))
             rows[text][2].append(int(points[b] - points[low]))
+            held = [e, int(_GROUPS[kind])]
+            if kind == 0:  # the domain
+                at = data[low:high].tobytes().index(b"@", a - low, b - low) + 1
+                held.append(int(mixed(span_hashes(data[low:high], np.array([at]), np.array([b - low])) + _DOMAIN).view(np.int64)[0]))
             middle, line = int(np.searchsorted(words.start, a - low)), int(np.searchsorted(lines, a - low))
             for w in range(max(0, middle - CONTEXT_WORDS), min(len(words.start), middle + CONTEXT_WORDS)):
                 if line_of[w] == line:
-                    s, f = int(words.start[w]) + low, int(words.end[w]) + low
-                    rows[text][3].append((e, int(hashes[w]), int(points[s] - points[low]), int(points[f] - points[low])))
+                    near.update((x, int(hashes[w])) for x in held)
+        rows[text][3].extend(near)
 
 
 def term_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -187,15 +201,20 @@ def disclosing(found: DataFrame, texts: DataFrame, n_docs: int) -> DataFrame:
     """(e, t): pairs of an entity and a term that discloses it."""
     seen = found.filter(F.size("_pii_near") > 0).select("_pii_id", "_pii_text", F.explode("_pii_near").alias("p"))
     seen = seen.select("_pii_id", "_pii_text", "p.e", "p.t").distinct()
-    joint = materialize(seen.groupBy("e", "t").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT), "joint")
-    # An entity with such a pair is in many documents; its own count takes all of them.
+    joint = materialize(seen.groupBy("e", "t").agg(F.count("*").alias("both")), "joint")
+    total = F.lit(float(max(n_docs, 1)))
+    least = EVIDENCE_BITS + np.log2(max(joint.count(), 1))
+    # No pair has more bits of evidence than one whose term is in a single document.
+    joint = joint.filter(F.col("both") * F.log2(total) >= least)
     alone = seen.select("_pii_id", "_pii_text", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
     terms = term_counts(texts).withColumnRenamed("n", "n_t")
     counted = joint.join(alone, "e").join(terms, "t")
-    total = F.lit(float(max(n_docs, 1)))
     information = F.log2(total / F.col("n_e"))
     mutual = F.log2(F.col("both") * total / (F.col("n_e") * F.col("n_t")))
-    return counted.filter((information > 0) & (mutual >= DISCLOSURE * information)).select("e", "t")
+    apart = F.col("n_e") - F.col("both")
+    without = F.when(apart > 0, apart * F.log2(apart / F.col("n_e") / (1 - F.col("n_t") / total))).otherwise(0.0)
+    evidence = F.col("both") * mutual + without
+    return counted.filter((information > 0) & (mutual >= DISCLOSURE * information) & (evidence >= float(least))).select("e", "t")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -205,11 +224,13 @@ def find(docs: DataFrame) -> DataFrame:
     keyed = docs.select(*named, text_of().alias("text"), id_key().alias("_pii_id"), F.xxhash64(text_of()).alias("_pii_text"))
     found = materialize(_found(keyed), "pii")
     pairs = disclosing(found, keyed, docs.count())
-    near = found.filter(F.size("_pii_near") > 0).select("_pii_id", "_pii_text", F.explode("_pii_near").alias("p")).distinct()
-    spans = near.select("_pii_id", "_pii_text", "p.*").join(materialize(pairs, "disclosing"), ["e", "t"])
-    spans = spans.groupBy("_pii_id", "_pii_text").agg(F.array_sort(F.collect_set(F.struct("s", "f"))).alias("terms"))
+    near = found.filter(F.size("_pii_near") > 0).select("_pii_id", "_pii_text", F.explode("_pii_near.e").alias("e")).distinct()
+    given = near.join(materialize(pairs, "disclosing"), "e").groupBy("_pii_id", "_pii_text").agg(F.collect_set("t").alias("_pii_terms"))
+    joined = found.join(given, ["_pii_id", "_pii_text"], "left")
+    every = F.filter("_pii_words", lambda x: F.array_contains("_pii_terms", x.t))
+    spans = F.array_sort(F.transform(every, lambda x: F.struct(x.s.alias("s"), x.f.alias("f"))))
     none = F.array().cast("array<struct<s:int,f:int>>")
-    joined = found.join(spans, ["_pii_id", "_pii_text"], "left").withColumn("terms", F.coalesce("terms", none))
+    joined = joined.withColumn("terms", F.coalesce(F.when(F.col("_pii_terms").isNotNull(), spans), none))
     out = [c for c in named if c not in ("kinds", "starts", "ends")]
     return joined.select(*out, "kinds", "starts", "ends", "terms", "_pii_id", "_pii_text")
 

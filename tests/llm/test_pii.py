@@ -69,3 +69,18 @@ def test_a_term_that_gives_an_entity_away_is_found_and_replaced(spark):
     # Too few documents say nothing about a term.
     few = {r.doc_id: r.every for r in base(P.find(frame.filter("doc_id <> 504 AND doc_id <> 503 AND doc_id <> 502"))).collect()}
     assert "term" not in few[500]
+
+
+def terms_of(r, text):
+    return [text[int(s) : int(e)] for k, s, e in (x.split(":") for x in r.every.split(",")) if k == "term"]
+
+
+def test_terms_are_found_in_the_whole_document_in_pairs_and_for_domains(spark):
+    draw = random.Random(3)
+    rows = [(i, sentence(draw, 20)) for i in range(20_000)]
+    rows += [(30_000 + i, f"Zanzibarist writes as zed@mail.test\n{sentence(draw, 5)}\nsaid Zanzibarist") for i in range(2)]
+    rows += [(40_000 + i, f"{sentence(draw, 3)} Quorvex u{i}@quorvex.test") for i in range(4)]
+    got = {r.doc_id: r for r in base(P.find(docs(spark, rows))).filter("doc_id >= 30000").collect()}
+    text = dict(rows)
+    assert all(terms_of(got[i], text[i]).count("Zanzibarist") == 2 for i in (30_000, 30_001))
+    assert all(terms_of(got[i], text[i]) == ["Quorvex"] for i in range(40_000, 40_004))
