@@ -3,7 +3,7 @@
 A document is its sequence of lines that hold a word.  A *gram* is the shortest
 run of lines from a given one on with at least ``GRAM_WORDS`` words.  Of the
 grams that start within ``WINDOW_WORDS`` words the one with the least hash is
-selected, so two documents that share a run of ``GRAM_WORDS + WINDOW_WORDS``
+selected, so two documents that share a run of whole lines of ``GRAM_WORDS + WINDOW_WORDS``
 words share a selected gram wherever the run lies, and a run of fewer than
 ``GRAM_WORDS`` words never matches (Schleimer, Wilkerson and Aiken, 2003, with
 words for the length of lines).  Every occurrence of a selected gram after the
