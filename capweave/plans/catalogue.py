@@ -624,12 +624,18 @@ def stream_latest(spark, sf_dir):
     return jobs.read_latest(spark, out, captures.schema).select("surt", "capture_id", "url", "status", "body_digest")
 
 
+def _span(captures) -> str:
+    """A lateness that allows for captures in any order of time."""
+    low, high = captures.agg(F.min("fetched_at"), F.max("fetched_at")).first()
+    return f"{int((high - low).total_seconds()) + 1 if low else 0} seconds"
+
+
 @query
 def stream_rate(spark, sf_dir):
     narrow = S.captures(spark, sf_dir).select("capture_id", "fetched_at")
     n, per = _config().quota
     out = scratch_path(spark, "stream-rate")
-    # The files arrive in no order of time, so the watermark allows for all of it.
+    # The files arrive in no order of time, so the watermark allows for the whole span.
     arrivals = _arrivals(spark, sf_dir, narrow)
-    _finished(jobs.store_rates(arrivals, per, n, "31 days", out, scratch_path(spark, "state")))
+    _finished(jobs.store_rates(arrivals, per, n, _span(narrow), out, scratch_path(spark, "state")))
     return jobs.read_rates(spark, out)

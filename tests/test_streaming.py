@@ -60,3 +60,12 @@ def test_rates_equal_counts(spark, sf_dir):
     got = {(r["period_start"], r["captures"], r["over_quota"], r["over_burst"]) for r in jobs.read_rates(spark, out).collect()}
     hours = captures.groupBy(F.date_format(F.date_trunc("hour", "fetched_at"), "yyyy-MM-dd HH:mm:ss")).count().collect()
     assert got == {(h, n, n > 3, n > 6) for h, n in hours}
+
+
+def test_the_rate_query_allows_for_the_whole_span_of_time(spark, sf_dir):
+    from capweave.plans import catalogue
+
+    late = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' AS fetched_at UNION ALL SELECT timestamp_ntz'2024-06-01 00:00:00'")
+    assert catalogue._span(late) == f"{152 * 86_400 + 1} seconds"
+    assert catalogue._span(late.limit(0)) == "0 seconds"
+    assert catalogue.stream_rate(spark, sf_dir).count() > 0
