@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capweave.llm import ann, bpe, html_text, line_dedup, lm_score, mixing, near_dup, pii, quality, toxicity, url_filter
+from capweave.llm import ann, bpe, html_text, line_dedup, lm_score, mixing, near_dup, pii, quality, runs, toxicity, url_filter
 from capweave.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_score.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(read(spark, sf_dir, "documents").select("doc_id", "text"))
