@@ -14,16 +14,21 @@ probability, with one more type for all words never seen.
 A text is scored by one left-to-right traversal: the state is the longest
 suffix of the history that is a state; a token with no arc from the state
 follows failure arcs (adding their log weights) until one has it, and the log10
-probabilities of all tokens add up.  The arcs and failure weights that a text
-needs are brought to its tokens by joins on the n-grams (hot n-grams are split
-by the adaptive skew join; no table of the model is broadcast, as it grows with
-the corpus); the traversal is a fold over the positions of each distinct text.
+probabilities of all tokens add up.  The state at a token is fixed by the
+``ORDER - 1`` tokens before it, so the walk's step is computed once for every
+distinct ``ORDER``-gram of the texts (joins with the arcs and states of each
+order); every token meets its step in one join, and the steps of a text add up
+by its row.  Tokens are shuffled once, by their ``ORDER``-gram; counting, the
+distinct n-grams and that join reuse the exchange.  No table of the model is
+broadcast, as it grows with the corpus; hot n-grams are spread by the adaptive
+skew join and by partial aggregation.
 
 Defined cases: a null text is empty and has one token, the end; repeated rows
 are scored alike and all count in training; a null ``doc_id`` trains (as for the
 toxicity split); an empty training part gives N = V = 0, every base and model
 term is log10(1) = 0.  The start of a text is a context of ``ORDER - 1`` start
-markers, which are never tokens.  Extra input columns are kept by :func:`score`.
+markers, which are never tokens.  Extra input columns but the text are kept by
+:func:`score` (leaving the text out spares a shuffle of all texts).
 """
 
 from __future__ import annotations
@@ -31,14 +36,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capweave.llm.tables import WORD, text_of
+from capweave.llm.tables import WORD
 
 ORDER = 3
 DISCOUNT = 0.75
 SMOOTH = 0.1
 HELD_OUT_MOD = 10
 #: Tokens that no word can be: a word holds no white space and is never empty.
-END = " "
+END = "\n"
 START = ""
 MADE = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,84 +61,89 @@ def tokens(text: Column) -> Column:
     return F.array_append(F.regexp_extract_all(lowered, F.lit(WORD), 0), F.lit(END))
 
 
-def _positions(texts: DataFrame) -> DataFrame:
-    """One row per token: ``_k`` text key, ``_i`` place, ``_w`` token, ``_h`` its ``ORDER - 1`` tokens before."""
-    pad = F.array_repeat(F.lit(START), ORDER - 1)
-    padded = texts.select("_k", F.concat(pad, F.col("_t")).alias("_p"))
-    exploded = padded.select("_k", "_p", F.posexplode(F.slice("_p", ORDER, 1 << 30)).alias("_i", "_w"))
-    return exploded.select("_k", "_i", "_w", F.slice("_p", F.col("_i") + 1, ORDER - 1).alias("_h"))
+def padded(text: Column) -> Column:
+    """``ORDER - 1`` start markers, then the tokens."""
+    return F.concat(F.array_repeat(F.lit(START), ORDER - 1), tokens(text))
 
 
-def _suffix(history: Column, n: int) -> Column:
-    """The last ``n`` tokens of a history of ``ORDER - 1``."""
-    return F.slice(history, ORDER - n, n) if n else F.array().cast("array<string>")
+def grams(padded_tokens: str) -> Column:
+    """The ``ORDER``-gram ending at every token of a column of :func:`padded` tokens, joined by one space.
 
+    The lambda reads the column, never the expression that makes it, so the text is cut once.
+    """
+    t = F.col(padded_tokens)
+    return F.transform(F.sequence(F.lit(1), F.size(t) - (ORDER - 1)), lambda i: F.concat_ws(" ", F.slice(t, i, ORDER)))
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds ``held_out, n_tokens, n_known, train_tokens, base_score, score`` to every row of ``docs``.
 
-    Input columns with these names or names that begin with ``_`` are left out.
+def _part(g: Column, first: int, n: int) -> Column:
+    """``n`` tokens of an ``ORDER``-gram from token ``first`` (1-based), joined by one space."""
+    return F.concat_ws(" ", F.slice(F.split(g, " ", -1), first, n)) if n else F.lit("")
+
+
+def steps(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The automaton's step for every ``ORDER``-gram ``g`` of ``wanted``: ``lp`` (log10 probability of its
+    last token after its context, failure arcs included), ``lp0`` (add-SMOOTH unigram), ``known``.
+
+    ``counts``: (``g``, ``c``) over the training tokens.  Lower orders are summed from it, as every
+    position has a whole, start-padded ``ORDER``-gram.
     """
-    docs = docs.drop(*[c for c in docs.columns if c in MADE or (c.startswith("_") and c not in (doc_id, text))])
-    keyed = docs.withColumn("_tk", F.sha2(text_of(text), 256)).withColumn("_ho", held_out(doc_id))
-    train = keyed.filter(~F.col("_ho")).select(tokens(F.col(text)).alias("_t"))
-    places = _positions(train.select(F.lit(0).alias("_k"), "_t"))
-    unigram = places.groupBy("_w").agg(F.count("*").alias("c"))
-    totals = unigram.agg(
+    sizes = {ORDER: counts}
+    for k in range(ORDER - 1, 0, -1):
+        sizes[k] = counts.groupBy(_part(F.col("g"), ORDER - k + 1, k).alias("g")).agg(F.sum("c").alias("c"))
+    totals = sizes[1].agg(
         F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("n_train"), F.count("*").cast("bigint").alias("v_train")
     )
-    texts = keyed.select("_tk", tokens(F.col(text)).alias("_t")).dropDuplicates(["_tk"])
-    walk = _positions(texts.withColumnRenamed("_tk", "_k"))
-    # the empty state: add-SMOOTH unigram, with one type for all unseen words
-    walk = walk.join(unigram, "_w", "left").crossJoin(F.broadcast(totals))  # totals: one row
     denominator = F.col("n_train") + SMOOTH * (F.col("v_train") + 1)
-    walk = walk.withColumn("_lp0", F.log10((F.coalesce(F.col("c"), F.lit(0)) + SMOOTH) / denominator))
-    walk = walk.withColumn("_known", F.col("c").isNotNull())
-    below = unigram.crossJoin(F.broadcast(totals)).select(
-        "_w", F.log10((F.col("c") + SMOOTH) / denominator).alias("_lp")
+    arcs = {1: sizes[1].crossJoin(F.broadcast(totals)).select("g", F.log10((F.col("c") + SMOOTH) / denominator).alias("lp"))}
+    states = {}
+    for k in range(2, ORDER + 1):
+        ctx = sizes[k].withColumn("ctx", _part(F.col("g"), 1, k - 1))
+        state = ctx.groupBy("ctx").agg(F.sum("c").alias("total"), F.count("*").alias("types"))
+        states[k] = state.select("ctx", "total", F.log10(DISCOUNT * F.col("types") / F.col("total")).alias("lb"))
+        lower = arcs[k - 1].select(F.col("g").alias("low"), F.col("lp").alias("lower"))
+        joined = ctx.join(states[k], "ctx").withColumn("low", _part(F.col("g"), 2, k - 1)).join(lower, "low")
+        lp = F.log10((F.col("c") - DISCOUNT) / F.col("total") + F.pow(F.lit(10.0), F.col("lb") + F.col("lower")))
+        arcs[k] = joined.select("g", lp.alias("lp"))
+    # the walk for each wanted ORDER-gram: from its longest context that is a state, over failure arcs
+    walk = wanted.select("g").withColumn("w", _part(F.col("g"), ORDER, 1))
+    walk = walk.join(arcs[1].select(F.col("g").alias("w"), F.col("lp").alias("lp1")), "w", "left").crossJoin(
+        F.broadcast(totals)  # one row
+    )
+    walk = walk.select(
+        "g", F.col("lp1").isNotNull().alias("known"),
+        F.coalesce("lp1", F.log10(F.lit(SMOOTH) / denominator)).alias("lp0"),
     )
-    for n in range(1, ORDER):
-        counted = places.groupBy(_suffix(F.col("_h"), n).alias("_c"), "_w").agg(F.count("*").alias("c"))
-        state = counted.groupBy("_c").agg(F.sum("c").alias("_total"), F.count("*").alias("_types"))
-        state = state.select("_c", "_total", F.log10(DISCOUNT * F.col("_types") / F.col("_total")).alias("_lb"))
-        arc = counted.join(state, "_c")
-        lower_context = F.slice("_c", 2, n - 1) if n > 1 else None
-        if lower_context is not None:
-            arc = arc.withColumn("_lc", lower_context).join(below.withColumnRenamed("_c", "_lc"), ["_lc", "_w"])
-        else:
-            arc = arc.join(below, "_w")
-        lp = F.log10((F.col("c") - DISCOUNT) / F.col("_total") + F.pow(F.lit(10.0), F.col("_lb") + F.col("_lp")))
-        below = arc.select("_c", "_w", lp.alias("_lp"))
-        # the text's context of n tokens: is it a state (failure weight), and its arc for the token
-        walk = walk.withColumn("_c", _suffix(F.col("_h"), n))
-        walk = walk.join(state.select("_c", F.col("_lb").alias(f"_lb{n}")), "_c", "left")
-        walk = walk.join(below.select("_c", "_w", F.col("_lp").alias(f"_lp{n}")), ["_c", "_w"], "left").drop("_c")
-    steps = F.sort_array(
-        F.collect_list(
-            F.struct(
-                F.col("_i"), F.col("_known"), F.col("_lp0"),
-                *[F.col(f"_lb{n}") for n in range(1, ORDER)], *[F.col(f"_lp{n}") for n in range(1, ORDER)],
-            )
-        )
+    logp = F.col("lp0")
+    for k in range(2, ORDER + 1):
+        key, ctx = _part(F.col("g"), ORDER - k + 1, k), _part(F.col("g"), ORDER - k + 1, k - 1)
+        walk = walk.withColumn("_key", key).join(arcs[k].select(F.col("g").alias("_key"), F.col("lp").alias(f"a{k}")), "_key", "left")
+        walk = walk.withColumn("ctx", ctx).join(states[k].select("ctx", F.col("lb").alias(f"b{k}")), "ctx", "left")
+        walk = walk.drop("_key", "ctx")
+        logp = F.when(F.col(f"a{k}").isNotNull(), F.col(f"a{k}")).when(F.col(f"b{k}").isNotNull(), F.col(f"b{k}") + logp).otherwise(logp)
+    return walk.select("g", logp.alias("lp"), "lp0", "known"), totals
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Adds ``held_out, n_tokens, n_known, train_tokens, base_score, score`` to every row of ``docs``.
+
+    Input columns with these names or names that begin with ``_`` are left out.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c in MADE or (c.startswith("_") and c not in (doc_id, text))])
+    keyed = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_ho", held_out(doc_id))
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # every token once, by its ORDER-gram: counting, the wanted steps and the join below share this exchange
+    cut = keyed.select("_row", "_ho", padded(F.col(text)).alias("_p"))
+    places = cut.select("_row", "_ho", F.explode(grams("_p")).alias("g")).repartition(parts, "g")
+    counts = places.filter(~F.col("_ho")).groupBy("g").agg(F.count("*").alias("c"))
+    table, totals = steps(counts, places.select("g").distinct())
+    scored = places.join(table, "g").groupBy("_row").agg(
+        F.count("*").cast("bigint").alias("n_tokens"),
+        F.count_if("known").cast("bigint").alias("n_known"),
+        F.sum("lp0").alias("base_score"),
+        F.sum("lp").alias("score"),
     )
-    per_text = walk.groupBy("_k").agg(steps.alias("_steps"))
-    per_text = per_text.select(
-        F.col("_k").alias("_tk"),
-        F.size("_steps").cast("bigint").alias("n_tokens"),
-        F.size(F.filter("_steps", lambda s: s["_known"])).cast("bigint").alias("n_known"),
-        F.aggregate("_steps", F.lit(0.0), lambda acc, s: acc + s["_lp0"]).alias("base_score"),
-        F.aggregate("_steps", F.lit(0.0), _traverse).alias("score"),
+    result = keyed.drop(text).join(scored, "_row", "left").crossJoin(
+        F.broadcast(totals.select(F.col("n_train").alias("train_tokens")))  # one row
     )
-    result = keyed.join(per_text, "_tk", "left").crossJoin(F.broadcast(totals.select(F.col("n_train").alias("train_tokens"))))
-    return result.withColumnRenamed("_ho", "held_out").drop("_tk")
-
-
-def _traverse(total: Column, step: Column) -> Column:
-    """One token: start at the longest context that is a state, fall back over failure arcs to an arc."""
-    # try contexts from the longest: an arc ends the search; a state without the arc adds its failure weight
-    logp = step["_lp0"]
-    for n in range(1, ORDER):
-        arc, failure = step[f"_lp{n}"], step[f"_lb{n}"]
-        # reached from a longer state: ``logp`` is what a shorter context gives; an arc here replaces it
-        logp = F.when(arc.isNotNull(), arc).when(failure.isNotNull(), failure + logp).otherwise(logp)
-    return total + logp
+    return result.withColumnRenamed("_ho", "held_out").drop("_row")

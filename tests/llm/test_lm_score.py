@@ -15,7 +15,7 @@ D, S, ORDER = lm_score.DISCOUNT, lm_score.SMOOTH, lm_score.ORDER
 
 def toks(text):
     low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    return words_of(low) + [" "]
+    return words_of(low) + ["\n"]
 
 
 def plain(rows):
@@ -55,8 +55,8 @@ def plain(rows):
 
 def run(spark, rows):
     df = lm_score.score(docs(spark, rows).select("doc_id", "text"))
-    got = df.select("doc_id", "text", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
-    return sorted(got, key=lambda r: (r.doc_id if r.doc_id is not None else -1, r.text or ""))
+    got = df.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
+    return sorted(got, key=lambda r: (r.doc_id if r.doc_id is not None else -1, r.n_tokens))
 
 
 def test_against_direct_model(spark):
