@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capweave.llm import ann, bpe, html_text, line_dedup, lm_score, mixing, near_dup, pii, quality, runs, toxicity, url_filter
+from capweave.llm import ann, bpe, convo_repair, html_text, line_dedup, lm_score, mixing, near_dup, pii, quality, runs, toxicity, url_filter
 from capweave.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op13_periodic_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convo_repair.repaired(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
