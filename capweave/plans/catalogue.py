@@ -21,7 +21,7 @@ from capweave.plans.export import export_package
 from capweave.plans.replay import replay
 from capweave.plans.session import ship_package
 from capweave.sources import sample_site as S
-from capweave.sources import store_files
+from capweave.sources import snapshots, store_files
 from capweave.sources.config import parse_config
 from capweave.streaming import jobs
 
@@ -181,6 +181,37 @@ def stored_captures(spark, sf_dir):
     return found.select("surt", "capture_id", "status", F.octet_length("body").cast("long").alias("body_bytes"))
 
 
+@query
+def store_snapshots(spark, sf_dir):
+    """Three snapshots of one store: seeds' captures, all captures with seeds replaced, failed keys deleted.
+
+    Every version is read back after the last commit, so each reader sees only its own snapshot.
+    """
+    captures = S.captures(spark, sf_dir)
+    root = scratch_path(spark, "versioned-store")
+    first = snapshots.write(captures.filter("hops <= 1"), root, crawl=_entry_points(spark, sf_dir))
+    second = snapshots.write(captures, root, mode="no_clobber", seeds=_seeds(spark, sf_dir))
+    third = snapshots.delete(spark, root, captures.filter("status <> 200").select("surt"))
+    read = [
+        snapshots.read_index(spark, root, v).select(F.lit(v).alias("version"), "surt", "capture_id", "status")
+        for v in (first, second, third)
+    ]
+    return read[0].unionByName(read[1]).unionByName(read[2])
+
+
+@query
+def store_crawl_info(spark, sf_dir):
+    """Crawl info written with the first snapshot and read back from the last."""
+    root = scratch_path(spark, "versioned-store")
+    snapshots.write(S.captures(spark, sf_dir).filter("hops = 0"), root, crawl=_entry_points(spark, sf_dir))
+    last = snapshots.delete(spark, root, _seeds(spark, sf_dir).select("surt"))
+    info = snapshots.read_crawl_info(spark, root, last)
+    return info.select(
+        "entry_point", F.get_json_object("config", "$.general.max_hops").cast("int").alias("max_hops"),
+        F.lit(last).alias("version"),
+    )
+
+
 @query
 def seed_invalidate(spark, sf_dir):
     kept = store.invalidate(store.scan_metadata(S.captures(spark, sf_dir)), _seeds(spark, sf_dir))

@@ -264,6 +264,19 @@ WHERE surt NOT IN (SELECT surt FROM captures WHERE hops < 2)"""
 ORACLES["stored_captures"] = with_("captures") + """
 SELECT surt, capture_id, status, strlen(body)::BIGINT AS body_bytes FROM captures
 QUALIFY row_number() OVER (PARTITION BY surt ORDER BY hops > 0, fetched_at DESC, capture_id DESC) = 1"""
+ORACLES["store_snapshots"] = with_("captures", "seed") + """,
+v1 AS (SELECT * FROM captures WHERE hops <= 1
+  QUALIFY row_number() OVER (PARTITION BY surt ORDER BY fetched_at DESC, capture_id DESC) = 1),
+kept AS (SELECT * FROM v1 WHERE surt NOT IN (SELECT surt FROM seed)),
+v2 AS (SELECT surt, capture_id, status FROM kept UNION ALL
+  SELECT surt, capture_id, status FROM (SELECT * FROM captures
+    QUALIFY row_number() OVER (PARTITION BY surt ORDER BY fetched_at DESC, capture_id DESC) = 1)
+  WHERE surt NOT IN (SELECT surt FROM kept))
+SELECT 1 AS version, surt, capture_id, status FROM v1
+UNION ALL SELECT 2, * FROM v2
+UNION ALL SELECT 3, * FROM v2 WHERE surt NOT IN (SELECT surt FROM captures WHERE status <> 200)"""
+ORACLES["store_crawl_info"] = with_("seed") + f"""
+SELECT DISTINCT surt AS entry_point, {C.MAX_HOPS}::INTEGER AS max_hops, 2 AS version FROM seed"""
 ORACLES["seed_invalidate"] = with_("captures", "seed") + """
 SELECT capture_id, surt FROM captures WHERE surt NOT IN (SELECT surt FROM seed)"""
 ORACLES["entry_points"] = with_("seed") + f"""
