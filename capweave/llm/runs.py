@@ -61,17 +61,19 @@ def damaged(words: list[str], doc_id: int | None) -> list[str]:
 
 
 def _doubling(s: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array of ``s`` (ending in a unique least symbol) and the ranks of all suffixes after each step."""
+    """Suffix array of ``s`` (dense symbols, ending in a unique least one) and the ranks of all suffixes
+    after each step."""
     n = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
+    rank = s.astype(np.int64)
     ranks, k = [rank], 1
     while rank.max() < n - 1:
-        after = np.full(n, -1, dtype=np.int64)
-        after[: n - k] = rank[k:]
-        order = np.lexsort((after, rank))
-        a, b = rank[order], after[order]
+        after = np.zeros(n, dtype=np.int64)
+        after[: n - k] = rank[k:] + 1
+        key = rank * (n + 1) + after
+        order = np.argsort(key, kind="stable")
+        sorted_key = key[order]
         rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        rank[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
         ranks.append(rank)
         k *= 2
     return np.argsort(rank), ranks
@@ -95,8 +97,9 @@ def _squares(sa: np.ndarray, isa: np.ndarray, lcp: np.ndarray) -> list[tuple[int
     n = len(sa)
     found: list[tuple[int, int]] = []
     stack: list[list] = [[0, 0, []]]  # depth, left bound, child intervals
+    sa, isa, lcp = sa.tolist(), isa.tolist(), lcp.tolist()
     for k in range(1, n + 1):
-        depth = int(lcp[k]) if k < n else 0
+        depth = lcp[k] if k < n else 0
         lb, last = k - 1, None
         while depth < stack[-1][0]:
             top = stack.pop()
@@ -110,8 +113,19 @@ def _squares(sa: np.ndarray, isa: np.ndarray, lcp: np.ndarray) -> list[tuple[int
     return found
 
 
-def _test(depth: int, lb: int, rb: int, inner: list[tuple[int, int]], sa, isa, found) -> None:
+def _test(depth: int, lb: int, rb: int, inner: list[tuple[int, int]], sa: list, isa: list, found: list) -> None:
     """The branching-tandem test in one interval: members of the smaller children look ``depth`` away."""
+    n = len(sa)
+    if not inner:  # children are single suffixes: the first counts as the largest
+        for k in range(lb + 1, rb + 1):
+            p = sa[k]
+            q = p + depth
+            if q < n and lb <= isa[q] <= rb and isa[q] != k:
+                found.append((p, depth))
+            r = p - depth
+            if r >= 0 and isa[r] == lb:
+                found.append((r, depth))
+        return
     children, at = [], lb
     for start, end in inner:  # in order of their left bounds
         children.extend((i, i) for i in range(at, start))
@@ -120,20 +134,19 @@ def _test(depth: int, lb: int, rb: int, inner: list[tuple[int, int]], sa, isa, f
     children.extend((i, i) for i in range(at, rb + 1))
     starts = [c[0] for c in children]
     largest = max(range(len(children)), key=lambda c: children[c][1] - children[c][0])
-    n = len(sa)
     for c, (start, end) in enumerate(children):
         if c == largest:
             continue
         for k in range(start, end + 1):
-            p = int(sa[k])
+            p = sa[k]
             q = p + depth
             if q < n:
-                iq = int(isa[q])
+                iq = isa[q]
                 if lb <= iq <= rb and bisect.bisect_right(starts, iq) - 1 != c:
                     found.append((p, depth))
             r = p - depth
             if r >= 0:
-                ir = int(isa[r])
+                ir = isa[r]
                 if lb <= ir <= rb and bisect.bisect_right(starts, ir) - 1 == largest:
                     found.append((r, depth))
 
@@ -156,9 +169,8 @@ def runs_of(words: list[str]) -> list[tuple[int, int, int]]:
     n = len(words)
     if n < 2:
         return []
-    ids = np.unique(np.array(words, dtype=object), return_inverse=True)[1].astype(np.int64) + 1
-    forward = np.append(ids, 0)
-    sa, ranks = _doubling(forward)
+    ids = pd.factorize(np.array(words, dtype=object))[0].astype(np.int64) + 1
+    sa, ranks = _doubling(np.append(ids, 0))
     isa = np.empty_like(sa)
     isa[sa] = np.arange(len(sa))
     neighbours = np.zeros(len(sa), dtype=np.int64)
@@ -166,16 +178,29 @@ def runs_of(words: list[str]) -> list[tuple[int, int, int]]:
     squares = _squares(sa, isa, neighbours)
     if not squares:
         return []
+    found = np.array(sorted(set(squares)), dtype=np.int64)
+    start, period = found[:, 0], found[:, 1]
+    # a root that repeats a shorter word (period L / r for a prime r): the run of that period is found by itself
+    which, shorter = [], []
+    for i, length in enumerate(period.tolist()):
+        for r in _prime_factors(length):
+            which.append(i)
+            shorter.append(length // r)
+    primitive = np.ones(len(found), dtype=bool)
+    if which:
+        which, shorter = np.array(which), np.array(shorter)
+        repeats = _lcp(ranks, start[which], start[which] + shorter) >= period[which] - shorter
+        primitive[which[repeats]] = False
+    start, period = start[primitive], period[primitive]
+    # rotate left as far as the words repeat: common suffix of the words before p and before p + L
     _, back = _doubling(np.append(ids[::-1], 0))
-    out = set()
-    for p, period in set(squares):
-        if any(_lcp(ranks, np.array([p]), np.array([p + period // r]))[0] >= period - period // r for r in _prime_factors(period)):
-            continue  # the root repeats a shorter word: the run of that period is found by itself
-        end = p + 2 * period
-        left = int(_lcp(back, np.array([n - p]), np.array([n - p - period]))[0]) if p > 0 else 0
-        start = p - min(left, p)
-        if end - start >= max(MIN_WORDS, MIN_EXPONENT * period):
-            out.add((start, end - start, period))
+    left = np.zeros(len(start), dtype=np.int64)
+    inside = start > 0
+    left[inside] = _lcp(back, n - start[inside], n - start[inside] - period[inside])
+    first = start - np.minimum(left, start)
+    length = start + 2 * period - first
+    keep = length >= np.maximum(MIN_WORDS, MIN_EXPONENT * period)
+    out = set(zip(first[keep].tolist(), length[keep].tolist(), period[keep].tolist()))
     return sorted(out, key=lambda r: (r[0], r[2]))
 
 
