@@ -8,6 +8,10 @@ centroid with its neighbours and is held in memory; lists farther than the neare
 ``1 + PRUNE`` are pruned, but for those that are needed to have as many candidates as are asked
 for.  Within the lists distances are exact, in double precision.
 
+How many lists that takes depends on the vectors: ``TRIALS`` of the queries are first compared with every row, and
+every query searches as many of its nearest lists, besides those of the walk, as hold ``RECALL`` of the true
+neighbours of these.
+
 Lists are shuffled in parts of about ``PART`` vectors and their queries in parts of about ``QUERIES``, so
 a vector that makes up a third of the table is no larger group than others.
 
@@ -40,6 +44,9 @@ PRUNE = 0.2
 NEIGHBOURS = 24
 PART = 2_048
 QUERIES = 512
+#: Queries whose true neighbours are sought, and the share of these neighbours that the lists searched must hold.
+TRIALS = 256
+RECALL = 0.98
 #: A list may hold so many times the mean of the sample before it is split.
 BALANCE = 2.0
 
@@ -120,6 +127,17 @@ def nearby_lists(queries: np.ndarray, centre: np.ndarray, links: np.ndarray, pru
     return np.nonzero(away <= away.min(1, keepdims=True) * (1 + prune))
 
 
+def lists_of(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vector, list, whether it is the nearest): the lists that hold each vector."""
+    away = np.sqrt(_squared(vectors, centre))
+    k = min(REPLICAS, len(centre))
+    first = np.argpartition(away, k - 1, axis=1)[:, :k]
+    near = np.take_along_axis(away, first, 1)
+    row, place = np.nonzero(near <= near.min(1, keepdims=True) * (1 + REPLICATE))
+    lists = first[row, place]
+    return row, lists, lists == first[np.arange(len(first)), near.argmin(1)][row]
+
+
 def _listed(vectors: DataFrame, shared) -> DataFrame:
     """(list, vec_id, v): each vector in its lists."""
 
@@ -128,13 +146,7 @@ def _listed(vectors: DataFrame, shared) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 some = batch.slice(at, 4096)
-                away = np.sqrt(_squared(_matrix(some.column("v")), centre))
-                k = min(REPLICAS, len(centre))
-                first = np.argpartition(away, k - 1, axis=1)[:, :k]
-                near = np.take_along_axis(away, first, 1)
-                row, place = np.nonzero(near <= near.min(1, keepdims=True) * (1 + REPLICATE))
-                lists = first[row, place]
-                own = lists == first[np.arange(len(first)), near.argmin(1)][row]  # the nearest list, once for each vector
+                row, lists, own = lists_of(_matrix(some.column("v")), centre)  # own: once for each vector
                 columns = [pa.array(lists.astype(np.int32)), pa.array(own), *(some.column(c).take(pa.array(row)) for c in ("vec_id", "v"))]
                 yield pa.RecordBatch.from_arrays(columns, ["list", "own", "vec_id", "v"])
 
@@ -153,7 +165,69 @@ def enough_lists(queries: np.ndarray, centre: np.ndarray, row: np.ndarray, place
     return tuple(np.unique(pairs, axis=1))
 
 
-def _asked(queries: DataFrame, shared, size: np.ndarray, need: int) -> DataFrame:
+def first_lists(queries: np.ndarray, centre: np.ndarray, row: np.ndarray, place: np.ndarray, least: int):
+    """(query, list) with the ``least`` nearest lists of every query among them."""
+    least = min(least, len(centre))
+    if not least:
+        return row, place
+    near = np.argpartition(_squared(queries, centre), least - 1, axis=1)[:, :least]
+    pairs = np.stack([np.concatenate([row, np.repeat(np.arange(len(queries)), least)]), np.concatenate([place, near.ravel()])])
+    return tuple(np.unique(pairs, axis=1))
+
+
+def _true_neighbours(table: DataFrame, asked: np.ndarray, own: np.ndarray, k: int) -> pa.Table:
+    """(trial, v) of the ``k`` nearest rows to each trial query, from a comparison with every row.
+
+    A task keeps the nearest of its own rows only, so it sends ``k`` rows for each query.
+    """
+    shared = table.sparkSession.sparkContext.broadcast((asked, own))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, own = shared.value
+        n, d = asked.shape
+        score, ids, held = np.zeros((n, 0)), np.zeros((n, 0), np.int64), np.zeros((n, 0, d))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                x, new = _matrix(some.column("v")), some.column("vec_id").to_numpy(zero_copy_only=False)
+                away = np.sqrt(_squared(asked, x))
+                away[own[:, None] == new[None]] = np.inf
+                both, had = np.concatenate([score, away], axis=1), score.shape[1]
+                keep = np.argpartition(both, k - 1, axis=1)[:, :k] if both.shape[1] > k else np.tile(np.arange(both.shape[1]), (n, 1))
+                old, rows = keep < had, np.arange(n)[:, None].repeat(keep.shape[1], 1)
+                kept = np.empty((*keep.shape, d))
+                kept[old] = held[rows[old], keep[old]]
+                kept[~old] = x[keep[~old] - had]
+                ids = np.take_along_axis(np.concatenate([ids, np.tile(new, (n, 1))], axis=1), keep, 1)
+                score, held = np.take_along_axis(both, keep, 1), kept
+        row, place = np.nonzero(np.isfinite(score))
+        if len(row):
+            flat = pa.array(held[row, place].ravel())
+            v = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * d), flat)
+            columns = [pa.array(row.astype(np.int32)), pa.array(ids[row, place]), pa.array(score[row, place]), v]
+            yield pa.RecordBatch.from_arrays(columns, ["trial", "vec_id", "score", "v"])
+
+    found = table.select("vec_id", "v").mapInArrow(nearest, "trial int, vec_id bigint, score double, v array<double>")
+    place = F.row_number().over(Window.partitionBy("trial").orderBy("score", "vec_id"))
+    return found.withColumn("place", place).filter(F.col("place") <= k).select("trial", "v").toArrow()
+
+
+def lists_needed(asked: np.ndarray, row: np.ndarray, place: np.ndarray, trial: np.ndarray, near: np.ndarray, centre: np.ndarray) -> int:
+    """How many of its nearest lists a query must search for ``RECALL`` of the true neighbours ``near`` of the queries ``trial``,
+    if the lists (``row``, ``place``) are searched in any case."""
+    if not len(near):
+        return 0
+    away = _squared(asked, centre)
+    order = np.empty(away.shape, dtype=np.int64)
+    np.put_along_axis(order, np.argsort(away, axis=1, kind="stable"), np.arange(1, len(centre) + 1)[None], 1)
+    order[row, place] = 0
+    vector, lists, _ = lists_of(near, centre)
+    least = np.full(len(near), len(centre))
+    np.minimum.at(least, vector, order[trial[vector], lists])
+    return int(np.sort(least)[int(np.ceil(RECALL * len(near))) - 1])
+
+
+def _asked(queries: DataFrame, shared, size: np.ndarray, need: int, least: int) -> DataFrame:
     """(list, query_id, v): each query with the lists it searches."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +237,7 @@ def _asked(queries: DataFrame, shared, size: np.ndarray, need: int) -> DataFrame
                 some = batch.slice(at, 256)
                 asked = _matrix(some.column("v"))
                 row, place = enough_lists(asked, centre, *nearby_lists(asked, centre, links), size, need)
+                row, place = first_lists(asked, centre, row, place, least)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(place.astype(np.int32)), some.column("vec_id").take(pa.array(row)), some.column("v").take(pa.array(row))],
                     ["list", "query_id", "v"],
@@ -194,8 +269,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, lists: int | None
     size = np.zeros(len(centre), dtype=np.int64)
     for r in posted.filter("own").groupBy("list").count().collect():  # CENTROIDS rows at most
         size[r.list] = r["count"]
-    # With its own row among them, k + 1 vectors leave k others.
-    asked = materialize(_asked(table.filter(is_query), shared, size, k + 1), "asked")
+    queries = table.filter(is_query)
+    some = first_by_hash(queries, order, TRIALS).select("vec_id", "v").toArrow()
+    least = 0
+    if some.num_rows:
+        trial, links = _matrix(some.column("v")), shared.value[1]
+        near = _true_neighbours(table, trial, some.column("vec_id").to_numpy(), k)
+        # With its own row among them, k + 1 vectors leave k others.
+        row, place = enough_lists(trial, centre, *nearby_lists(trial, centre, links), size, k + 1)
+        least = lists_needed(trial, row, place, near.column("trial").to_numpy(), _matrix(near.column("v")), centre)
+    asked = materialize(_asked(queries, shared, size, k + 1, least), "asked")
     parts, blocks = _parts_of(posted, PART), _parts_of(asked, QUERIES)
     # Every part of a list meets every block of its queries once.
     left = posted.drop("own").withColumn("part", F.pmod(F.xxhash64("vec_id"), parts)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))

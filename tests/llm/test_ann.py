@@ -53,6 +53,27 @@ def test_the_walk_finds_the_lists_that_a_scan_finds():
     assert len(got & want) / len(want) > 0.98 and len(got - want) <= 0.05 * len(want)
 
 
+def test_recall_without_clusters(spark):
+    draw = np.random.default_rng(5)
+    x = draw.standard_normal((4000, 16)).astype(np.float32)
+    got = ann.search(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("vec_id") % 40 == 0).collect()
+    wide, ids = x.astype(np.float64), np.arange(4000)
+    found = {(r.query_id, r.vec_id) for r in got}
+    want = {(int(q), v) for q in ids[::40] for v, _ in nearest(wide, ids, q)}
+    assert len(found) == len(want) == 1000 and len(found & want) >= 950
+
+
+def test_lists_needed_hold_the_neighbours(monkeypatch):
+    monkeypatch.setattr(ann, "REPLICAS", 1)
+    centre = np.array([[0.0], [10.0], [20.0], [30.0]])
+    asked, none = np.array([[1.0]]), np.zeros(0, dtype=int)
+    near = np.array([[0.5], [9.0], [21.0]])
+    trial = np.zeros(3, dtype=int)
+    assert ann.lists_needed(asked, none, none, trial, near, centre) == 3
+    assert ann.lists_needed(asked, np.array([0]), np.array([2]), trial, near, centre) == 2
+    assert ann.lists_needed(asked, none, none, trial[:0], near[:0], centre) == 0
+
+
 def test_lists_are_balanced():
     draw = np.random.default_rng(4)
     sample = np.concatenate([0.01 * draw.standard_normal((3000, 4)) + 5, draw.standard_normal((500, 4))])
