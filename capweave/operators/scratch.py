@@ -3,6 +3,8 @@
 The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a session whose
 executors are this process (a local master, as in unit tests) may go without: it gets a
 temporary folder of this machine.  Any other session without the setting is refused.
+A setting without a file system means the cluster's default one, which is then named:
+workers that write files themselves have no such default.
 A written table survives the loss of executors and, unlike an RDD checkpoint,
 keeps column pruning and filter push-down for its readers.
 """
@@ -29,7 +31,15 @@ def scratch_root(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         root = _fallback.setdefault(app, tempfile.mkdtemp(prefix="capweave-"))
-    return root.rstrip("/")
+    return root.rstrip("/") if is_local(spark) else qualified(spark, root.rstrip("/"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as in ``file:///x`` or ``hdfs://host/x``."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = named.getFileSystem(spark._jsc.hadoopConfiguration())
+    scheme, _, rest = named.makeQualified(system.getUri(), system.getWorkingDirectory()).toString().partition(":")
+    return f"{scheme}:{rest}" if rest.startswith("//") else f"{scheme}://{rest}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -44,14 +44,17 @@ class _Written(WriterCommitMessage):
 
 def arrow_uri(path: str) -> str:
     """The path as Arrow names it."""
-    scheme, mark, rest = path.partition("://")
-    return f"{_SCHEMES.get(scheme, scheme)}{mark}{rest}" if mark else path
+    scheme, mark, rest = path.partition(":/")
+    if not mark or "/" in scheme:
+        return path
+    # Hadoop writes file:/x where Arrow wants file:///x.
+    return f"{_SCHEMES.get(scheme, scheme)}:/{rest}" if rest.startswith("/") else f"{_SCHEMES.get(scheme, scheme)}:///{rest}"
 
 
 def _filesystem(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(arrow_uri(path)) if "://" in path else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(arrow_uri(path)) if "://" in arrow_uri(path) else (fs.LocalFileSystem(), path)
 
 
 class _FilesWriter(DataSourceWriter):
@@ -116,7 +119,7 @@ def write_files(rows: DataFrame, root: str, export: str, slots: int = 1) -> None
     consecutive numbers go to different tasks.
     """
     spark = rows.sparkSession
-    if "://" not in root and not is_local(spark):
+    if "://" not in arrow_uri(root) and not is_local(spark):
         raise ValueError(f"{root} is a folder of each machine's own; give it with its file system, such as s3a://")
     spark.dataSource.register(FilesDataSource)
     step = new_export()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from capweave.operators import archive as A
-from capweave.operators import store
+from capweave.operators import scratch, store
 from capweave.operators.scratch import materialize, scratch_path
 from capweave.plans.catalogue import _entry_points
 from capweave.plans.export import export_package
@@ -134,6 +134,17 @@ def test_arrow_names_of_file_systems():
     assert files.arrow_uri("/x") == "/x"
 
 
+def test_the_shared_folder_is_named_with_its_file_system(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(files, "is_local", lambda _: False)
+    for n, given in enumerate((f"{tmp_path}", f"file:{tmp_path}", f"file://{tmp_path}")):
+        root = scratch.qualified(spark, given)
+        assert root == f"file://{tmp_path}"
+        rows = spark.createDataFrame([(f"d/{n}", 0, "0", b"x")], "name string, slot long, seq string, payload binary")
+        files.write_files(rows, root, files.new_export())
+        assert read(root.removeprefix("file://"), f"d/{n}") == b"x"
+    assert files.arrow_uri("file:/x") == "file:///x" and files.arrow_uri("/x:/y") == "/x:/y"
+
+
 def test_a_folder_of_the_machine_is_refused_on_a_cluster(spark, monkeypatch):
     monkeypatch.setattr(files, "is_local", lambda _: False)
     rows = spark.createDataFrame([("a", 0, "0", b"x")], "name string, slot long, seq string, payload binary")
