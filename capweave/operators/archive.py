@@ -8,6 +8,7 @@ themselves move once, to the task that writes their file.
 from __future__ import annotations
 
 import gzip
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -42,12 +43,31 @@ _SORTABLE_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
+# Bytes of results that a Python worker holds before it hands them on.
+RESULT_BYTES = 8 << 20
+
+
+def in_slices(values: Iterable[bytes | None], make: Callable[[bytes], bytes]) -> Iterator[pd.Series]:
+    """``make`` of each value in pieces of about RESULT_BYTES: a batch of small members can hold very much text."""
+    made: list[bytes | None] = []
+    size = 0
+    for value in values:
+        made.append(None if value is None else make(value))
+        size += len(made[-1] or b"")
+        if size >= RESULT_BYTES:
+            yield pd.Series(made, dtype=object)
+            made, size = [], 0
+    if made:
+        yield pd.Series(made, dtype=object)
+
+
 def gzip_member(level: int):
     """Arrow function that makes one gzip member per value, the same on every run."""
 
     @F.pandas_udf("binary")
-    def compress(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: gzip.compress(v, level, mtime=0))
+    def compress(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in batches:
+            yield from in_slices(values, lambda v: gzip.compress(v, level, mtime=0))
 
     return compress
 
@@ -56,8 +76,9 @@ def unpacked():
     """Arrow function that gives the content of one gzip member per value."""
 
     @F.pandas_udf("binary")
-    def decompress(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else gzip.decompress(v))
+    def decompress(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in batches:
+            yield from in_slices(values, gzip.decompress)
 
     return decompress
 

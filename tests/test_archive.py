@@ -128,6 +128,18 @@ def test_page_lists(package):
     assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}Z", p["ts"]) for p in main[1:])
 
 
+def test_results_are_handed_on_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(A, "RESULT_BYTES", 1000)
+    packed = [gzip.compress(bytes(300)), None, *[gzip.compress(bytes([i]) * 600) for i in range(10)]]
+    slices = list(A.in_slices(packed, gzip.decompress))
+    assert max(sum(len(v or b"") for v in s) for s in slices) <= 1600 and len(slices) == 5
+    assert [v for s in slices for v in s] == [v if v is None else gzip.decompress(v) for v in packed]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(packed)], "i int, v binary").coalesce(1)
+    back = rows.select("i", A.unpacked()(F.col("v")).alias("v"), A.gzip_member(9)(F.encode(F.col("i").cast("string"), "UTF-8")).alias("z"))
+    for r in back.collect():
+        assert r.v == (None if packed[r.i] is None else gzip.decompress(packed[r.i])) and gzip.decompress(r.z) == str(r.i).encode()
+
+
 def test_arrow_names_of_file_systems():
     assert files.arrow_uri("s3a://bucket/x") == "s3://bucket/x"
     assert files.arrow_uri("hdfs://host/x") == "hdfs://host/x"
