@@ -130,8 +130,10 @@ def html_links(html: Column) -> Column:
 
     def unusual(token: Column, kind: Column) -> Column:
         tag = F.when(kind == "script", F.regexp_extract(token, f"(?is)^<{_OPEN_SCRIPT}", 0)).otherwise(token)
-        named = _lookup_attribute(kind)
-        target = attribute(tag, lambda a: F.lower(F.regexp_extract(a, r"^([^=\s]+)\s*=", 1)) == named)
+        target = bind(
+            _lookup_attribute(kind),
+            lambda named: attribute(tag, lambda a: F.lower(F.regexp_extract(a, r"^([^=\s]+)\s*=", 1)) == named),
+        )
         style = F.regexp_replace(token, f"(?is)^<{_OPEN_STYLE}|</style\\s*>$", "")
         return (
             F.when(kind == "", none)
@@ -144,7 +146,10 @@ def html_links(html: Column) -> Column:
         return F.when(token.startswith("<script>") | token.startswith("<!--"), none).otherwise(
             bind(
                 F.regexp_extract(token, _PLAIN_TAG, 1),
-                lambda plain: F.when(plain != "", F.array(link(kind, plain))).otherwise(unusual(token, kind)),
+                # Bound, as every mention of an expression is worked out again.
+                lambda plain: F.when(plain != "", F.array(link(kind, plain))).otherwise(
+                    bind(kind, lambda k: unusual(token, k))
+                ),
             )
         )
 

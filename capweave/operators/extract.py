@@ -52,9 +52,19 @@ class Extractors:
 
 def extract_column(captures: DataFrame, extractor: ColumnExtractor) -> DataFrame:
     """Apply one column extractor to every capture."""
-    return captures.select(*SOURCE_COLUMNS, extractor(text_of(F.col("body"))).alias("_links")).select(
-        *SOURCE_COLUMNS, F.posexplode("_links").alias("pos", "_link")
-    ).select(*SOURCE_COLUMNS, "_link.kind", "pos", "_link.raw")
+    staged = captures.select(*SOURCE_COLUMNS, text_of(F.col("body")).alias("_text"))
+    return _exploded(staged, extractor(F.col("_text")), "kind")
+
+
+def _exploded(staged: DataFrame, links: Column, *before: str) -> DataFrame:
+    """One row per link, with the fields ``before`` of the links before ``pos``.
+
+    The generator takes the expression itself.  From a column that holds the links the planner would infer a
+    filter for links that are not empty and push it below the projection, so all links would be found twice.
+    """
+    return staged.select(*SOURCE_COLUMNS, F.posexplode(links).alias("pos", "_link")).select(
+        *SOURCE_COLUMNS, *[f"_link.{name}" for name in before], "pos", "_link.raw"
+    )
 
 
 def extract_links(
@@ -85,13 +95,7 @@ def extract_links(
             )
             for r in native
         ]
-        found.append(
-            staged.select(
-                *SOURCE_COLUMNS, F.flatten(F.array_compact(F.array(*per_rule))).alias("_links")
-            )
-            .select(*SOURCE_COLUMNS, F.posexplode("_links").alias("pos", "_link"))
-            .select(*SOURCE_COLUMNS, "_link.rule", "_link.kind", "pos", "_link.raw")
-        )
+        found.append(_exploded(staged, F.flatten(F.array_compact(F.array(*per_rule))), "rule", "kind"))
     for rule in other:
         routed = dispatch(captures, [rule]).drop("rule")
         found.append(
