@@ -18,6 +18,10 @@ HEAVY_ROWS = 1_000_000
 # Key lists up to this many bytes are broadcast, longer ones are joined by shuffle.
 MAX_BROADCAST_BYTES = 8 << 20
 
+# Bits per wanted id in the map that thins out a wide table, and the most bits of a map (64 MB).
+BITS_PER_ID = 16
+MAX_BITS = 1 << 29
+
 Heavy = DataFrame | None  # key and number of salts; None if no key is heavy
 
 
@@ -67,6 +71,31 @@ def skew_join(
     return spread_rows(left, key, heavy, spread).join(copy_rows(right, key, heavy), [key, "_salt"], how).drop("_salt")
 
 
+def pick(wide: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Wide rows whose id is among the few that are wanted, as a semi join; ``wanted`` is written down first.
+
+    A shuffle of all wide rows would move every body for the few that stay.  So the hashes of the wanted ids are set
+    in a bit map, which is broadcast, and rows whose bit is not set are left out where they are read.  The join itself
+    decides on the rest, so the map only has to be small, not exact: beyond MAX_BITS it lets more rows through.
+    """
+    # An inner join with distinct ids, as a semi join would be pushed below the join with the map.
+    ids = materialize(wanted.select(key).distinct(), "wanted")
+    bits = min(MAX_BITS, max(1 << 15, 1 << (ids.count() * BITS_PER_ID - 1).bit_length()))
+    bit = F.pmod(F.xxhash64(key), F.lit(bits))
+    maps = ids.groupBy(bit.bitwiseAND(F.lit(~0x7FFF)).alias("_map")).agg(
+        F.bitmap_construct_agg(bit.bitwiseAND(F.lit(0x7FFF))).alias("_bits")
+    )
+    at = bit.bitwiseAND(F.lit(0x7FFF)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    thinned = (
+        wide.withColumn("_map", bit.bitwiseAND(F.lit(~0x7FFF)))
+        .join(F.broadcast(maps), "_map")
+        .filter(F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1)
+        .select(*wide.columns)
+    )
+    return thinned.join(ids, key).select(*wide.columns)
+
+
 def key_join(left: DataFrame, keys: DataFrame, key: str, spread: str, how: str) -> DataFrame:
     """Semi or anti join with a list of keys that is short as a rule.
 

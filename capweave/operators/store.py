@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from capweave.functions.urls import normalize_url, surt
 from capweave.operators.ordering import ordered, with_rank
-from capweave.operators.skew import HEAVY_ROWS, key_join, skew_join
+from capweave.operators.scratch import materialize
+from capweave.operators.skew import HEAVY_ROWS, key_join, pick, skew_join
 
 METADATA_COLUMNS = (
     "capture_id",
@@ -42,9 +43,10 @@ def latest(captures: DataFrame) -> DataFrame:
     """Keep the newest capture of each key, bodies included.
 
     Winners are found from three narrow columns; the wide rows are then joined
-    on the capture id, which is unique, so no key is hot.
+    on the capture id, which is unique, so no key is hot.  Rows that are no winners
+    are left out before the shuffle.
     """
-    return captures.join(latest_keys(captures).select("capture_id"), "capture_id", "left_semi")
+    return pick(captures, latest_keys(captures).select("capture_id"), "capture_id")
 
 
 def versions(captures: DataFrame, keep: int | None = None) -> DataFrame:
@@ -72,7 +74,7 @@ def append_new(store: DataFrame, incoming: DataFrame) -> DataFrame:
     unique keys on its large side.
     """
     fresh = latest_keys(incoming).join(store.select("surt"), "surt", "left_anti")
-    return incoming.join(fresh.select("capture_id"), "capture_id", "left_semi")
+    return pick(incoming, fresh.select("capture_id"), "capture_id")
 
 
 def seed_urls(raw: DataFrame, column: str = "raw_url") -> DataFrame:
@@ -114,11 +116,16 @@ def lookup(
     return skew_join(keyed, captures, "surt", "request_id", "left", heavy_rows)
 
 
-def distinct_bodies(captures: DataFrame) -> DataFrame:
+def distinct_bodies(captures: DataFrame, digests: DataFrame | None = None) -> DataFrame:
     """One row per content address.  Which capture donates the body is fixed by
-    the least id, so bodies themselves are not compared or aggregated."""
-    donors = captures.groupBy("body_digest").agg(F.min("capture_id").alias("capture_id"))
-    return captures.select("capture_id", "body").join(donors, "capture_id").select("body_digest", "body")
+    the least id, so bodies themselves are not compared or aggregated.
+
+    ``digests`` may give capture_id and body_digest of the same captures where they are written down already.
+    """
+    donors = (captures if digests is None else digests).groupBy("body_digest").agg(F.min("capture_id").alias("capture_id"))
+    donors = materialize(donors, "donors")
+    bodies = pick(captures.select("capture_id", "body"), donors, "capture_id")
+    return bodies.join(donors, "capture_id").select("body_digest", "body")
 
 
 def attach_bodies(

@@ -145,8 +145,11 @@ def body_dedup(spark, sf_dir):
 def body_lookup(spark, sf_dir):
     captures = S.captures(spark, sf_dir)
     # The bodies of failed fetches are not kept, so those captures find none.
-    bodies = store.distinct_bodies(captures.filter(F.col("status") == 200))
-    found = store.attach_bodies(captures.drop("body"), bodies)
+    # Written down, as the addresses are read several times and each reading would hash every body.
+    narrow = materialize(captures.select("capture_id", "status", "body_digest"), "addresses")
+    kept = F.col("status") == 200
+    bodies = store.distinct_bodies(captures.filter(kept), narrow.filter(kept))
+    found = store.attach_bodies(narrow, bodies)
     return found.select("capture_id", F.octet_length("body").cast("long").alias("body_bytes"))
 
 
@@ -613,10 +616,15 @@ def package_check(spark, sf_dir):
 
 
 def _arrivals(spark, sf_dir, captures: DataFrame) -> DataFrame:
-    """The captures as a folder of files that a stream picks up a few at a time."""
+    """The captures as a folder of files that a stream picks up a few at a time.
+
+    Eight files at least where there are as many rows, written where the rows are: no body is shuffled for it.
+    """
     path = scratch_path(spark, "arrivals")
-    captures.repartition(8, "capture_id").write.parquet(path)
-    return jobs.read_captures(spark, path, captures.schema, files_per_trigger=3)
+    rows = max(1, -(-captures.count() // 8))
+    captures.write.option("maxRecordsPerFile", rows).parquet(path)
+    files = len(spark.read.schema(captures.schema).parquet(path).inputFiles())
+    return jobs.read_captures(spark, path, captures.schema, files_per_trigger=max(1, -(-files // 3)))
 
 
 def _finished(stream) -> None:

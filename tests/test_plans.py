@@ -11,6 +11,7 @@ from capweave.operators.extract import extract_links, resolve_links
 from capweave.operators.ordering import ordered, with_rank
 from capweave.operators.rules import dispatch
 from capweave.operators.scratch import materialize
+from capweave.operators.skew import pick
 from capweave.plans import catalogue as C
 from capweave.sources import sample_site as S
 
@@ -77,3 +78,21 @@ def test_no_query_pairs_everything_with_everything(spark, sf_dir):
 def test_host_edges_shuffle_once(captures):
     edges = crawl.crawl_edges(resolve_links(extract_links(captures, C.HTML_RULES)))
     assert len(re.findall(r"^\(\d+\) Exchange$", plan(crawl.host_edges(edges)), re.M)) == 1
+
+
+def test_rows_that_are_not_wanted_are_not_shuffled(captures):
+    ids = captures.select("capture_id").limit(3)
+    picked = pick(captures, ids, "capture_id")
+    assert picked.columns == captures.columns and picked.count() == 3
+    joins = re.findall("Join .*", picked.select("capture_id", "body")._jdf.queryExecution().optimizedPlan().toString())
+    assert ["getbit" in j for j in joins] == [False, True]  # the map comes before the join with the ids
+    ids = captures.select("capture_id").filter("capture_id < '8'")
+    assert sorted(pick(captures, ids, "capture_id").select("capture_id").collect()) == sorted(ids.collect())
+    assert pick(captures, ids.limit(0), "capture_id").count() == 0
+    assert "getbit" in plan(store.latest(captures)) and "getbit" in plan(store.distinct_bodies(captures))
+    assert "getbit" in plan(store.append_new(captures.limit(5), captures))
+
+
+def test_links_are_found_once_in_the_plan(spark, sf_dir):
+    text = plan(C.CATALOGUE["all_links"](spark, sf_dir))
+    assert text.count("<(?:!--") == 1
