@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from capweave.operators.scratch import materialize
 from capweave.operators.store import METADATA_COLUMNS, append_new, distinct_bodies, latest
 
 TABLES = ("index", "bodies", "removed", "crawl")
@@ -166,7 +167,8 @@ def write(
     parent = snapshot(spark, root)
     added = {}
     if mode == "overwrite" or parent is None:
-        current = latest(captures)
+        # Written down: bodies and index both read it, and each reading would look for the winners anew.
+        current = materialize(latest(captures), "current")
         bodies = distinct_bodies(current)
     else:
         stored = read_index(spark, root, parent["version"])
@@ -175,7 +177,7 @@ def write(
             added["removed"] = _piece(replaced, root, "removed")
             removed_now = spark.read.parquet(added["removed"][0])
             stored = stored.join(removed_now, "surt", "left_anti")
-        current = append_new(stored, captures)
+        current = materialize(append_new(stored, captures), "current")
         known = read_bodies(spark, root, parent["version"]).select("body_digest")
         bodies = distinct_bodies(current).join(known, "body_digest", "left_anti")
     # bodies first: an index row never points at a body that is not written
