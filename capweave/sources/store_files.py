@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from capweave.operators.scratch import materialize
 from capweave.operators.store import METADATA_COLUMNS, append_new, distinct_bodies, latest
 
 _INDEX, _BODIES = "index", "bodies"
@@ -25,14 +26,15 @@ def _write(captures: DataFrame, bodies: DataFrame, root: str, mode: str) -> None
 
 def write_store(captures: DataFrame, root: str) -> None:
     """Start the store anew with the current capture of each key."""
-    current = latest(captures)
+    # Written down: bodies and index both read it, and each reading would look for the winners anew.
+    current = materialize(latest(captures), "current")
     _write(current, distinct_bodies(current), root, "overwrite")
 
 
 def append_store(captures: DataFrame, root: str) -> None:
     """Add captures of keys that are not stored; stored ones are kept."""
     spark = captures.sparkSession
-    fresh = append_new(read_index(spark, root), captures)
+    fresh = materialize(append_new(read_index(spark, root), captures), "fresh")
     known = read_bodies(spark, root).select("body_digest")
     _write(fresh, distinct_bodies(fresh).join(known, "body_digest", "left_anti"), root, "append")
 
