@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from capweave.operators import store
 from capweave.operators.scratch import materialize, scratch_path
+from capweave.plans import catalogue as C
 from capweave.sources import sample_site as S
 from capweave.streaming import jobs
 
@@ -69,3 +70,14 @@ def test_the_rate_query_allows_for_the_whole_span_of_time(spark, sf_dir):
     assert catalogue._span(late) == f"{152 * 86_400 + 1} seconds"
     assert catalogue._span(late.limit(0)) == "0 seconds"
     assert catalogue.stream_rate(spark, sf_dir).count() > 0
+
+
+def test_arrivals_stay_where_they_are(spark, sf_dir):
+    captures = S.captures(spark, sf_dir).select("capture_id", "surt")
+    for parts, most in ((1, 3), (24, 8)):  # eight files at least; a third of the files at a time, so no few tasks read all
+        seen = []
+        stream = C._arrivals(spark, sf_dir, captures.repartition(parts))
+        run = stream.select("capture_id", F.input_file_name().alias("file")).writeStream.trigger(availableNow=True)
+        run = run.foreachBatch(lambda b, n: seen.append((b.count(), b.select("file").distinct().count())))
+        run.option("checkpointLocation", scratch_path(spark, "state")).start().awaitTermination()
+        assert len(seen) == 3 and sum(n for n, _ in seen) == captures.count() and max(f for _, f in seen) == most
