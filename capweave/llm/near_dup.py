@@ -12,10 +12,10 @@ Large buckets take two steps.  In a bucket of more than ``PAIRED`` documents all
 verified against one pivot, the document that shares its buckets with most others.  A
 pair whose documents are in one component by then says nothing new.  Of the others none
 is left out: where a bucket still holds several components, each document outside the
-largest one is compared with all documents of other components, by their samples in
-blocks of ``BLOCK`` documents.  A round verifies the most alike ``FIRST_TAKEN`` partners of a
-document in each pair of blocks, the next round ``GROWTH`` times as many, with the
-components joined by then, until no document had more.
+largest one meets all documents of other components, in blocks of ``BLOCK`` documents.
+Texts go to the blocks once, and a pair of blocks compares its documents by their samples and
+those that agree often enough by their whole texts.  It hands on one link for each two
+components it joins, so no table has a row for each pair.
 
 Document frequencies are counted over all documents in ``BUCKETS`` hash buckets, less the mean
 load of a bucket, so the table that is broadcast has a fixed size.  The factor lies
@@ -50,10 +50,6 @@ DAMPING = 0.25
 PAIRED = 16
 #: Documents of a crowded bucket that are compared in one place with as many others.
 BLOCK = 512
-#: Partners that a document has verified in each pair of blocks in the first round, and by how much
-#: this grows from round to round.
-FIRST_TAKEN = 2
-GROWTH = 16
 #: Bits of the table that tells which texts pairs may need.
 FLAGS = 1 << 24
 #: Least share of samples in which a pair must agree to be verified: four and a half
@@ -241,59 +237,82 @@ def _marked(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _blocks(crowded: DataFrame, root: DataFrame) -> DataFrame:
-    """(bucket, x, y, rep, comp, minor): documents of buckets with several components, dealt to pairs of blocks.
+    """(bucket, x, y, own, rep, comp): documents of buckets with several components, dealt to pairs of blocks.
 
-    A document of block i is in the pairs (x, y) of i with every block; ``minor`` is whether it is outside
-    the bucket's largest component.
+    Documents outside the bucket's largest component have blocks of their own, which come first.  These
+    meet every block, the others only them: x is always one of the first.
     """
     known = crowded.select("bucket", "rep", "n").join(root, crowded.rep == root.node, "left")
     known = materialize(known.select("bucket", "rep", "n", F.coalesce("root", "rep").alias("comp")), "crowd")
     parts = known.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     main = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("size", "comp")).alias("m"))
-    main = main.filter("parts > 1").select("bucket", F.col("m.comp").alias("main"))
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = known.join(main, "bucket").select(
-        "bucket", "rep", "comp", (F.col("comp") != F.col("main")).alias("minor"), own.alias("own"),
-        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
-    )
-    return dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "comp", "minor")
+    main = main.filter("parts > 1").select("bucket", F.col("m.comp").alias("main"), F.col("m.size").alias("size"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    placed = known.join(main, "bucket").withColumn("minor", F.col("comp") != F.col("main"))
+    placed = placed.withColumn("minors", blocks(F.col("n") - F.col("size"))).withColumn("majors", blocks(F.col("size")))
+    spread = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    own = F.when(F.col("minor"), spread(F.col("minors"))).otherwise(F.col("minors") + spread(F.col("majors")))
+    last = F.when(F.col("minor"), F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1
+    dealt = placed.select("bucket", "rep", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "comp")
 
 
-def _across(dealt: DataFrame, taken: int) -> DataFrame:
-    """Candidates (a, b, more) across components, ``taken`` a document and pair of blocks; ``more`` where it had others."""
+def _alike(left: tuple, right: tuple, idf: np.ndarray, n: int) -> np.ndarray:
+    """Weighted Jaccard similarity of one text with ``n`` others.
+
+    ``left``: its shingles, their counts and its weight; ``right``: shingles in order, with text and count, and weights.
+    """
+    key, count, size = left
+    keys, text, counts, sizes = right
+    low = np.searchsorted(keys, key)
+    many = np.searchsorted(keys, key, side="right") - low
+    at = np.arange(many.sum()) + np.repeat(low - np.cumsum(many) + many, many)
+    common = np.minimum(np.repeat(count, many), counts[at]) * np.repeat(idf[key % BUCKETS], many)
+    shared = np.bincount(text[at], common, n) if len(at) else np.zeros(n)
+    total = size + sizes
+    return np.divide(shared, total - shared, out=np.zeros(n), where=total > shared)
+
+
+def _across(dealt: DataFrame, idf) -> DataFrame:
+    """Verified links (a, b) across components, as many as join the components that a pair of blocks joins."""
 
     def compare(table: pa.Table) -> pa.Table:
-        own, first = table.column("own").to_numpy(), table.column("x")[0].as_py()
+        own, first, other = table.column("own").to_numpy(), table.column("x")[0].as_py(), table.column("y")[0].as_py()
         rep = table.column("rep").to_pylist()
         comp = np.unique(np.array(table.column("comp").to_pylist(), dtype=object), return_inverse=True)[1]
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, _SAMPLES)
-        minor = table.column("minor").to_numpy()
-        same = first == table.column("y")[0].as_py()
-        made = ([], [], [])
-        for side in (True,) if same else (True, False):
-            left = np.flatnonzero(minor & ((own == first) == side))
-            right = np.flatnonzero((own == first) == (side == same))
-            if not len(left) or not len(right):
-                continue
-            for at in range(0, len(left), 64):
-                some = left[at : at + 64]
-                alike = np.zeros((len(some), len(right)), dtype=np.uint8)
-                for k in range(_SAMPLES):
-                    alike += sig[some, k, None] == sig[None, right, k]
-                alike[comp[some, None] == comp[None, right]] = 0
-                alike[alike < AGREEMENT] = 0
-                order = np.argsort(~alike, axis=1, kind="stable")[:, :taken]
-                number = (alike > 0).sum(axis=1)
-                for row, i in enumerate(some):
-                    for j in right[order[row, : min(taken, number[row])]]:
-                        made[0].append(min(rep[i], rep[j]))
-                        made[1].append(max(rep[i], rep[j]))
-                        made[2].append(bool(number[row] > taken))
-        return pa.table([pa.array(made[0], pa.binary()), pa.array(made[1], pa.binary()), pa.array(made[2], pa.bool_())], ["a", "b", "more"])
-
-    found = dealt.groupBy("bucket", "x", "y").applyInArrow(compare, "a binary, b binary, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+        texts = table.column("text").combine_chunks()
+        left, right = np.flatnonzero(own == first), np.flatnonzero(own == other)
+        weight = idf.value
+        mine = {}
+        for at, words in chunks(texts.take(pa.array(left))):
+            text, key, count = shingles(words)
+            bounds = np.searchsorted(text, np.arange(words.n + 1))
+            size = np.bincount(text, count * weight[key % BUCKETS], words.n)
+            for k in range(words.n):
+                mine[int(left[at + k])] = key[bounds[k] : bounds[k + 1]], count[bounds[k] : bounds[k + 1]], size[k]
+        joined = comp.copy()  # the component of each document, with what this pair of blocks has joined
+        a, b = [], []
+        for at, words in chunks(texts.take(pa.array(right))):
+            some = right[at : at + words.n]
+            text, key, count = shingles(words)
+            size = np.bincount(text, count * weight[key % BUCKETS], words.n)
+            order = np.argsort(key, kind="stable")
+            theirs = key[order], text[order], count[order], size
+            for i in left:
+                apart = np.flatnonzero(joined[some] != joined[i])
+                apart = apart[(sig[some[apart]] == sig[i]).sum(axis=1) >= AGREEMENT]
+                if not len(apart):
+                    continue
+                near = apart[_alike(mine[int(i)], theirs, weight, words.n)[apart] >= SIMILARITY]
+                for j in some[near]:
+                    if joined[j] != joined[i]:
+                        a.append(min(rep[i], rep[j]))
+                        b.append(max(rep[i], rep[j]))
+                        joined[joined == joined[j]] = joined[i]
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return dealt.groupBy("bucket", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def links(signed: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -326,27 +345,21 @@ def links(signed: DataFrame, texts: DataFrame, idf) -> DataFrame:
     )
     # Documents that meet in several buckets are compared once.
     seen = materialize(_agree(paired.unionByName(starred).dropDuplicates(["a", "b"])), "candidates")
-    # The texts of all that can be compared in this or a later round.
+    # The texts of all that are compared here or in blocks.
     ends = seen.select(F.explode(F.array("a", "b")).alias("key"))
     ends = materialize(ends.unionByName(crowded.select(F.col("rep").alias("key"))).distinct(), "needed")
     needed = materialize(_marked(texts, ends).join(ends, "key", "left_semi").dropDuplicates(["key"]), "texts")
     found = materialize(_verified(seen, needed, idf), "links")
-    taken = FIRST_TAKEN
-    more = crowded.limit(1).count() > 0
-    while more:
-        dealt = materialize(_blocks(crowded, components(found)), "blocks")
-        if not dealt.limit(1).count():
-            return found
-        # The samples of a document join it once, and go with it to its blocks.
-        cast = dealt.groupBy("rep").agg(F.collect_list(F.struct("bucket", "x", "y", "own", "comp", "minor")).alias("c"))
-        cast = cast.join(signs.select("rep", "sig"), "rep").select("rep", "sig", F.explode("c").alias("c")).select("rep", "sig", "c.*")
-        wanted = materialize(_across(cast, taken), "across")
-        more = wanted.filter("more").limit(1).count() > 0
-        fresh = materialize(wanted.select("a", "b").join(seen, ["a", "b"], "left_anti"), "candidates")
-        found = found.unionByName(materialize(_verified(fresh, needed, idf), "links"))
-        seen = seen.unionByName(fresh)
-        taken *= GROWTH
-    return found
+    if not crowded.limit(1).count():
+        return found
+    dealt = materialize(_blocks(crowded, components(found)), "blocks")
+    if not dealt.limit(1).count():
+        return found
+    # The samples and the text of a document join it once, and go with it to its blocks.
+    cast = dealt.groupBy("rep").agg(F.collect_list(F.struct("bucket", "x", "y", "own", "comp")).alias("c"))
+    cast = cast.join(signs.select("rep", "sig"), "rep").join(needed.select(F.col("key").alias("rep"), "text"), "rep")
+    cast = cast.select("rep", "sig", "text", F.explode("c").alias("c")).select("rep", "sig", "text", "c.*")
+    return found.unionByName(materialize(_across(cast, idf), "across"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -116,3 +116,28 @@ def test_a_chain_of_copies_of_copies_in_one_bucket_stays_in_one_class(spark, mon
 
 def test_the_query_gives_no_count_that_depends_on_the_bucket_size(spark, sf_dir):
     assert QUERIES["op10_near_duplicates"](spark, sf_dir).columns == ["doc_id", "class_id"]
+
+
+def test_a_crowded_bucket_hands_on_no_more_links_than_join_it(spark, monkeypatch):
+    """Copies with many changes of their own agree in most samples but are unlike: no row is made for each pair."""
+    monkeypatch.setattr(N, "BLOCK", 32)
+    draw = random.Random(5)
+    base = sentence(draw, 150, 50_000).split()
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for k in draw.sample(range(150), 1 + i % 14):
+            words[k] = f"x{i}-{k}"
+        texts.append(" ".join(words))
+    keys = [b"%04d" % i for i in draw.sample(range(10_000), len(texts))]
+    signed = spark.createDataFrame([(k, [*(i * N.BANDS + b for b in range(N.BANDS - 1)), -1], bytes(N._SAMPLES)) for i, k in enumerate(keys)], "rep binary, bands array<bigint>, sig binary")
+    frame = spark.createDataFrame(list(zip(keys, texts)), "key binary, text string")
+    verified = []
+    check = N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, *rest: verified.append(pairs.count()) or check(pairs, *rest))
+    made = N.links(signed, frame, spark.sparkContext.broadcast(np.ones(N.BUCKETS, dtype=np.float32)))
+    got = [(keys.index(bytes(r.a)), keys.index(bytes(r.b))) for r in made.collect()]
+    near = {(a, b) for a, b in combinations(range(len(texts)), 2) if jaccard(texts[a], texts[b]) >= N.SIMILARITY}
+    assert sum(verified) < len(texts)
+    assert {(min(p), max(p)) for p in got} <= near
+    assert roots(range(len(texts)), got) == roots(range(len(texts)), near)
