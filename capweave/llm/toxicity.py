@@ -42,6 +42,8 @@ PREFIXES = (4, 5, 6)
 MEMBERS = 3
 POSITIVES = 3000
 UNLABELLED = 6000
+#: Texts of the training sample whose features are taken at a time.
+PIECE = 500
 #: A feature gets a weight if so many toxic documents of the sample have it, if it is so many times as
 #: frequent among them as among the unlabelled, and if that is so many standard deviations from chance.
 SUPPORT = 4
@@ -193,17 +195,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         sides, known = [], None
         for side in (1, 0):
             part = table.filter(pc.equal(table.column("side"), side)).column("text")
-            texts, hashes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
-            for at, _, t, h in features(part, None if known is None else flags_of(known)):
-                if known is not None and len(known):  # of the unlabelled, only what a weight can go to
-                    use = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                    t, h = t[use], h[use]
-                texts.append(t + at)
-                hashes.append(h)
-            sides.append((np.concatenate(texts), np.concatenate(hashes), len(part)))
+            texts, hashes = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.uint64)]
+            flags = None if known is None else flags_of(known)
+            for begin in range(0, len(part), PIECE):  # only a piece of the texts is held in lower case
+                for at, _, t, h in features(part.slice(begin, PIECE), flags):
+                    if known is not None and len(known):  # of the unlabelled, only what a weight can go to
+                        use = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                        t, h = t[use], h[use]
+                    texts.append((t + (begin + at)).astype(np.int32))
+                    hashes.append(h)
+            texts, hashes = np.concatenate(texts), np.concatenate(hashes)
             if known is None:
-                known, support = np.unique(sides[0][1], return_counts=True)
+                known, support = np.unique(hashes, return_counts=True)
                 known = known[support >= SUPPORT]
+                if len(known):  # nor can a weight go to what few toxic texts have
+                    use = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+                    texts, hashes = texts[use], hashes[use]
+            sides.append((texts, hashes, len(part)))
         made = [fit(*sides, prior)] if sides[0][2] and sides[1][2] else []
         return pa.table(
             {

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+#: Numbers of 8 bytes are made for every byte of a chunk, several at a time: some 60 MB at the peak.
+CHUNK_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 
 _SPACE = np.zeros(256, dtype=bool)

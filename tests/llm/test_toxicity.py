@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from capweave.llm import toxicity as T
@@ -69,3 +70,18 @@ def test_odd_rows(spark):
     for none in (labels.limit(0), labels.filter("toxic = 0")):
         assert {r.predicted for r in T.toxicity(frame, none).collect()} == {0}
     assert T.toxicity(frame.limit(0), labels).count() == 0
+
+
+def test_features_hold_little_memory_at_a_time():
+    """Workers of several operators live side by side in an executor, so each may only hold a chunk's numbers."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([sentence(random.Random(3), 2000, 5000)] * 600)
+    assert texts.nbytes > 6 << 20
+    tracemalloc.start()
+    found = sum(n for _, n, _, _ in T.features(texts, T.flags_of(np.zeros(0, dtype=np.uint64))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 600 and peak < 100e6, peak
