@@ -53,6 +53,10 @@ def reach(
     is how a resumed crawl treats them.  Each round joins only the keys that
     improved in the round before.  Runs at most ``max_rounds`` rounds and raises
     rather than return part of the answer.
+
+    Most links lead to keys without links of their own, which lead nowhere.  So
+    the rounds follow only links between keys that have some, each pair once,
+    and one pass over all links afterwards gives the other keys their distance.
     """
     slim = edges.select(
         "src_surt", "surt", (F.col("cost").cast("long") * _HOP + 1).alias("step")
@@ -64,15 +68,19 @@ def reach(
     if stored is not None:
         closed = stored.select("surt").distinct().join(start, "surt", "left_anti")
         closed = closed.withColumnRenamed("surt", "src_surt")
-        slim = skew_join(slim, closed, "src_surt", "surt", "left_anti", heavy_rows)
+        slim = materialize(skew_join(slim, closed, "src_surt", "surt", "left_anti", heavy_rows), "edges")
+    onward = slim.select(F.col("src_surt").alias("surt")).distinct()
+    inner = skew_join(slim, onward, "surt", "src_surt", "left_semi", heavy_rows)
     spark = edges.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["src_surt", "salt"] if heavy is not None else ["src_surt"]
     # Laid out once by the join key; every round then moves the frontier only.
     table = (
-        spread_rows(slim, "src_surt", heavy, "surt", "salt")
+        spread_rows(inner, "src_surt", heavy, "surt", "salt")
         .select(*keys, "surt", "step")
         .repartition(parts, *keys)
+        .groupBy(*keys, "surt")
+        .agg(F.min("step").alias("step"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     limit = (max_hops + 1) * _HOP
@@ -123,7 +131,12 @@ def reach(
             recent.append(frontier)
             if len(recent) == _MERGE_EVERY:
                 merged, recent = materialize(_least([merged, *recent]), "reach"), []
-        best = materialize(_least([merged, *recent]), "reach")
+        nearest = materialize(_least([merged, *recent]), "reach")
+        last = spread_rows(slim, "src_surt", heavy, "surt", "salt").join(sources(nearest), keys).select(
+            "surt", (F.col("dist") + F.col("step")).alias("dist")
+        )
+        last = last.filter(F.col("surt").isNotNull() & (F.col("dist") < limit))
+        best = materialize(_least([nearest, last]), "reach")
     finally:
         table.unpersist()
     return best.select(

@@ -97,3 +97,14 @@ def test_reach_of_the_sample_site(spark, sf_dir):
     counts = [crawl.reach(edges, start, hops).count() for hops in range(4)]
     assert counts == [1, 8, 21, 28]
     assert pages.select(surt(F.col("url"))).distinct().count() == 49
+
+
+def test_rounds_leave_out_keys_that_lead_nowhere(spark, monkeypatch):
+    """Such keys are most of a site: each gets its distance in one pass after the rounds."""
+    edges = [(f"n{i}", f"n{i + 1}", 0) for i in range(4)] + [(f"n{i}", f"leaf{i}-{k}", k % 2) for i in range(4) for k in range(30)]
+    edges += edges[:3]
+    moved, write = [], crawl._written
+    monkeypatch.setattr(crawl, "_written", lambda df, label: (lambda made: moved.append(made[1]) or made)(write(df, label)))
+    got = reached(crawl.reach(frame(spark, edges), seeds(spark, "n0", "leaf3-1"), 1))
+    assert got == shortest(edges, ["n0", "leaf3-1"], 1)
+    assert len(got) == 4 + 1 + 4 * 30 and sum(moved) <= 6
