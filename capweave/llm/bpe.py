@@ -9,7 +9,7 @@ slots whatever the size of the vocabulary.
 
 Distinct words are folded, not occurrences.  Words are counted over all texts; the most frequent,
 at most ``COMMON`` of them, are folded once, and their ids go to the tasks as a table of bounded
-size.  Other words are folded by the same expression, once for each text that holds them.
+size, in parts by ranges of hashes: the driver has one part at a time.  Other words are folded by the same expression, once for each text that holds them.
 Where the bound falls changes the speed, never a result.
 
 Words of a whole Arrow batch are found in numpy, from the class of each code point, and looked up by
@@ -33,6 +33,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
@@ -44,6 +45,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 COMMON = 1 << 20
 #: Longer words are left to the texts that hold them, so that the table is bounded in bytes.
 LONGEST = 64
+#: Words in a part of the table, about.
+PART_WORDS = 1 << 16
 CHUNK_CHARS = 1 << 19
 _NONE = (1 << 31) - 1
 _SHIFT = 20  # bits of a token id in a pair
@@ -279,15 +282,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(text_of().alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Dictionary:
-    """Ids of common words by hash, with a direct table in front of the search."""
+class Part:
+    """Ids of common words by hash, with a direct table in front of the search; all hashes begin with the same ``skip`` bits."""
 
-    def __init__(self, hashes: np.ndarray, offsets: np.ndarray, ids: np.ndarray):
+    def __init__(self, hashes: np.ndarray, offsets: np.ndarray, ids: np.ndarray, skip: int):
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.starts = offsets[:-1][order].astype(np.int32)  # LONGEST * COMMON ids at most
         self.sizes = np.diff(offsets)[order].astype(np.uint8)
         self.ids = ids
+        self._skip = np.uint64(skip)
         self._first: np.ndarray | None = None
 
     def __getstate__(self):
@@ -300,9 +304,9 @@ class Dictionary:
         if self._first is None:
             bits = max(8, len(self.hashes).bit_length() + 1)
             self._shift = np.uint64(64 - bits)
-            self._first = np.searchsorted(self.hashes >> self._shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+            self._first = np.searchsorted((self.hashes << self._skip) >> self._shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
             self._deep = int(np.diff(self._first).max())
-        cell = (hashes >> self._shift).astype(np.int64)
+        cell = ((hashes << self._skip) >> self._shift).astype(np.int64)
         at, stop = self._first[cell], self._first[cell + 1]
         found = np.full(len(hashes), -1, dtype=np.int32)
         todo = np.arange(len(hashes))
@@ -318,6 +322,25 @@ class Dictionary:
         return found
 
 
+class Dictionary:
+    """Broadcast parts, each of an equal range of hashes as signed numbers; their number is a power of two."""
+
+    def __init__(self, parts: list[Broadcast]):
+        self.parts = parts
+
+    def find(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, Part, np.ndarray]]:
+        """(words that are there, their part, their places in it), part by part."""
+        bits = len(self.parts).bit_length() - 1
+        signed = hashes.view(np.int64)
+        whose = (signed >> (64 - bits)) + (len(self.parts) >> 1) if bits else np.zeros(len(hashes), dtype=np.int64)
+        for i, shared in enumerate(self.parts):
+            at = np.flatnonzero(whose == i)
+            if len(at):
+                place = shared.value.find(hashes[at])
+                there = place >= 0
+                yield at[there], shared.value, place[there]
+
+
 def dictionary(docs: DataFrame, path: str = RANKS, common: int = COMMON) -> Dictionary:
     """The most frequent words of ``docs`` with their ids."""
     counted = materialize(word_counts(docs), "words")
@@ -330,11 +353,20 @@ def dictionary(docs: DataFrame, path: str = RANKS, common: int = COMMON) -> Dict
             break
         room, least = room - row["count"], row.level
     if least is None:
-        return Dictionary(np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32))
+        return Dictionary([])
     made = short.filter(level >= least).select(_word_hash("word").alias("h"), fold(F.col("word"), path).alias("ids"))
-    table = materialize(made, "common").toArrow().combine_chunks()  # ``common`` rows at most
-    hashes, ids = table.column("h").combine_chunks(), table.column("ids").combine_chunks()
-    return Dictionary(hashes.to_numpy().view(np.uint64), ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy().astype(np.int32))
+    bits = ((common - room - 1) // PART_WORDS).bit_length()
+    width = 1 << (64 - bits)
+    if bits:  # dealt by part and in order, so that a part's reader skips the others
+        made = made.repartition(1 << bits, F.shiftright("h", 64 - bits)).sortWithinPartitions("h")
+    table = materialize(made, "common")
+    shared = []
+    for low in range(-(1 << 63), 1 << 63, width):
+        some = (table.filter(F.col("h").between(low, low + width - 1)) if bits else table).toArrow().combine_chunks()
+        hashes, ids = (some.column(c).combine_chunks() for c in ("h", "ids"))
+        part = Part(hashes.to_numpy().view(np.uint64), ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy().astype(np.int32), bits)
+        shared.append(docs.sparkSession.sparkContext.broadcast(part))
+    return Dictionary(shared)
 
 
 @F.arrow_udf(LongType())
@@ -367,20 +399,20 @@ def encode(
     """
     spark = docs.sparkSession
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(known or dictionary(docs, path))
+    table = known or dictionary(docs, path)
 
     @F.arrow_udf("codes array<int>, rare array<string>")
     def split(texts: pa.Array) -> pa.Array:
         """Ids of common words; the k-th distinct other word of a text as -k, and these words."""
-        table = shared.value
         codes, code_ends, rare, rare_ends = [], [np.zeros(1, dtype=np.int64)], [], [0]
         total = 0
         for _, n, points, start, end, first in text_words(texts):
             hashed = word_hashes(points, start, end)
-            place = table.find(hashed)
-            other = np.flatnonzero(place < 0)
-            begins = table.starts[place] if len(table.starts) else np.zeros(len(place), dtype=np.int32)
-            sizes = table.sizes[place].astype(np.int64) if len(table.sizes) else np.zeros(len(place), dtype=np.int64)
+            found = list(table.find(hashed))
+            sizes = np.zeros(len(hashed), dtype=np.int64)
+            for usual, part, place in found:
+                sizes[usual] = part.sizes[place]
+            other = np.flatnonzero(sizes == 0)
             sizes[other] = 1
             ids = np.zeros(int(sizes.sum()), dtype=np.int32)
             ends = np.cumsum(sizes)
@@ -397,9 +429,8 @@ def encode(
             lead = other[order][new]
             rare += _bytes_of(points, start[lead], end[lead])
             rare_ends += (before[1:] + rare_ends[-1]).tolist()
-            usual = np.flatnonzero(place >= 0)
-            if len(usual):
-                ids[_ragged((ends - sizes)[usual], sizes[usual])] = table.ids[_ragged(begins[usual], sizes[usual])]
+            for usual, part, place in found:
+                ids[_ragged((ends - sizes)[usual], sizes[usual])] = part.ids[_ragged(part.starts[place], sizes[usual])]
             ids[(ends - sizes)[other]] = -number
             codes.append(ids)
             code_ends.append(np.concatenate([[0], ends])[first[1:]] + total)

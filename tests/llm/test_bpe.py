@@ -50,6 +50,27 @@ def test_ids_are_those_of_the_library(spark, plain, common):
         assert bpe.ids_sha256(pa.array([ids, []], pa.list_(pa.int32()))).to_pylist() == [sha, hashlib.sha256(b"").hexdigest()]
 
 
+def test_the_table_of_common_words_is_gathered_in_parts(spark, plain, monkeypatch):
+    """The driver never has all common words at once, and every part is found again."""
+    gathered = []
+    monkeypatch.setattr(bpe, "PART_WORDS", 16, raising=False)
+    real = type(spark.range(0)).toArrow
+
+    def to_arrow(self):
+        gathered.append(real(self))
+        return gathered[-1]
+
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", to_arrow)
+    draw = random.Random(3)
+    texts = [" ".join(f"w{draw.randrange(300)}" for _ in range(200)) for _ in range(20)]
+    frame = docs(spark, [*enumerate(texts), *enumerate(SAMPLES)])
+    known = bpe.dictionary(frame)
+    total = sum(t.num_rows for t in gathered)
+    assert total > 300 and max(t.num_rows for t in gathered) < total / 4
+    for r in bpe.encode(frame, known=known).select("text", "ids").collect():
+        assert r.ids == plain.encode_ordinary(r.text or "")
+
+
 def test_empty_table_and_unknown_ids(spark):
     frame = docs(spark, [(1, "x")])
     assert bpe.encode(frame.limit(0)).count() == 0
