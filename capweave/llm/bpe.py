@@ -3,12 +3,12 @@
 A text is split by the tokenizer's pattern, and each piece, called a word here, is merged
 by rank.  The merges are a fold of Spark higher-order functions over the bytes of a word, each
 byte as its token id: in each step the adjacent pair whose joined bytes have the least rank
-becomes one.  The rank map is a literal of the plan, keyed by pairs of ids.  It is a table of
+becomes one.  The rank map is a scalar subquery, keyed by pairs of ids.  It is a table of
 slots, each pair in one of two places given by its remainders, so one look-up reads two
 slots whatever the size of the vocabulary.
 
 Distinct words are folded, not occurrences.  Words are counted over all texts; the most frequent,
-at most ``COMMON`` of them, are folded once, and their ids go to the tasks as a table of bounded
+at most ``COMMON`` of those that occur twice, are folded once, and their ids go to the tasks as a table of bounded
 size, in parts by ranges of hashes: the driver has one part at a time.  Other words are folded by the same expression, once for each text that holds them.
 Where the bound falls changes the speed, never a result.
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
@@ -48,8 +48,11 @@ LONGEST = 64
 #: Words in a part of the table, about.
 PART_WORDS = 1 << 16
 CHUNK_CHARS = 1 << 19
-_NONE = (1 << 31) - 1
-_SHIFT = 20  # bits of a token id in a pair
+_SHIFT = 18  # bits of a token id
+_NONE = (1 << _SHIFT) - 1  # no token
+_RANK = 63 - _SHIFT  # where the rank begins in an entry of the fold; the place in the word lies between it and the id
+_LAST = 256  # behind the bytes of a word
+_SLOTS = 256 * (_LAST + 1)
 
 
 @cache
@@ -58,7 +61,7 @@ def read_ranks(path: str = RANKS) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
 
 
-# The rank map as a literal.
+# The rank map.
 
 
 def _primes(above: int) -> tuple[int, int]:
@@ -72,9 +75,15 @@ def _primes(above: int) -> tuple[int, int]:
 
 
 @cache
-def _pair_table(path: str) -> tuple[int, int, str, str]:
-    """(two moduli, keys by slot, ranks by slot): each pair of ids that joins to a token lies in a slot of its own."""
+def _pair_table(path: str) -> tuple[int, int, np.ndarray]:
+    """(two moduli, table): the begin of a word by two bytes, then a slot for each pair of ids that joins to a token.
+
+    The first ``256 * 257`` entries have the id of a byte and the rank that it has with the next, ``_LAST`` if there
+    is none, as an entry of the fold has them. A slot has the pair above its rank.
+    """
     ranks = read_ranks(path)
+    if max(ranks.values()) >= _NONE:
+        raise ValueError(f"ids of {path} take more than {_SHIFT} bits")
     pairs = {}
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
@@ -95,9 +104,22 @@ def _pair_table(path: str) -> tuple[int, int, str, str]:
             if key is not None:
                 break
         else:
-            order = [slot.get(i) for i in range(q)]
-            return p, q, ",".join("-1" if k is None else str(k) for k in order), ",".join("-1" if k is None else str(pairs[k]) for k in order)
+            break
         room = room * 3 // 2
+    table = np.full(_SLOTS + q, -1, dtype=np.int64)
+    for a in range(256):
+        for b in range(_LAST + 1):
+            rank = ranks.get(bytes([a, b]), _NONE) if b < _LAST else _NONE
+            table[a * (_LAST + 1) + b] = rank << _RANK | ranks[bytes([a])]
+    for at, key in slot.items():
+        table[_SLOTS + at] = key << _SHIFT | pairs[key]
+    return p, q, table
+
+
+def rank_table(spark: SparkSession, path: str = RANKS) -> Column:
+    """The table as a scalar subquery: a plan with the numbers themselves is described in millions of characters."""
+    made = spark.createDataFrame(pa.table({"t": pa.array([_pair_table(path)[2]])}))
+    return materialize(made, "ranks").scalar()
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -105,59 +127,54 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold(word: Column, path: str = RANKS) -> Column:
-    """Ids of a word given as a string with a character for each byte: a fold of ranked merges.
+def fold(word: Column, table: Column, path: str = RANKS) -> Column:
+    """Ids of a word given as its bytes and ``_LAST`` behind them: a fold of ranked merges.
 
-    The state is the ids so far and the rank of each adjacent pair, so a step looks up two pairs only.
+    ``table`` is the column of :func:`rank_table`, as the variable of a lambda. The state has a number for each
+    token: the rank that it has with the next token, its place in the word, and its id. So the least number is the
+    leftmost pair of the least rank. Entries before and behind the word join with nothing.
     """
-    p, q, keys, ranks = _pair_table(path)
-    single = read_ranks(path)
-    # Strings that the optimizer folds into array literals.
-    literal = F.struct(
-        F.split(F.lit(keys), ",").cast("array<bigint>").alias("keys"),
-        F.split(F.lit(ranks), ",").cast("array<int>").alias("ranks"),
-        F.split(F.lit(",".join(str(single[bytes([i])]) for i in range(256))), ",").cast("array<int>").alias("single"),
-    )
-    none = F.array().cast("array<int>")
+    p, q, _ = _pair_table(path)
+    low, none = F.lit((1 << _RANK) - 1), F.lit(_NONE << _RANK)
+    edge = F.array(F.lit((_NONE << _RANK) | ((1 << _RANK) - 1)))
 
-    def merged(t: Column) -> Column:
-        def rank(a: Column, b: Column) -> Column:
-            return _let(F.shiftleft(a.cast("bigint"), _SHIFT).bitwiseOR(b.cast("bigint")), slot)
+    def id_of(entry: Column) -> Column:
+        return entry.bitwiseAND(F.lit(_NONE))
 
-        def slot(key: Column) -> Column:
-            one, two = (key % F.lit(p)).cast("int"), (key % F.lit(q)).cast("int")
+    def with_rank(entry: Column, after: Column) -> Column:
+        """An entry that has no rank yet, with the one that it has with the id behind it."""
+
+        def rank(key: Column) -> Column:
+            one, two = (F.get(table, (key % F.lit(m)).cast("int") + F.lit(_SLOTS)) for m in (p, q))
             return (
-                F.when(F.get(t["keys"], one) == key, F.get(t["ranks"], one))
-                .when(F.get(t["keys"], two) == key, F.get(t["ranks"], two))
-                .otherwise(F.lit(_NONE))
+                F.when(F.shiftright(one, _SHIFT) == key, id_of(one))
+                .when(F.shiftright(two, _SHIFT) == key, id_of(two))
+                .otherwise(F.lit(_NONE).cast("bigint"))
             )
 
-        def step(state: Column, _: Column) -> Column:
-            ids, pairs = state["ids"], state["pairs"]
-
-            def join(best: Column) -> Column:
-                return F.when(best == _NONE, state).otherwise(_let((F.array_position(pairs, best) - 1).cast("int"), lambda i: joined(best, i)))
+        return F.shiftleft(_let(F.shiftleft(id_of(entry), _SHIFT).bitwiseOR(after), rank), _RANK).bitwiseOR(entry)
 
-            def joined(best: Column, i: Column) -> Column:
-                left = F.when(i > 0, F.array(rank(F.get(ids, i - 1), best))).otherwise(none)
-                right = F.when(i + 2 < F.size(ids), F.array(rank(best, F.get(ids, i + 2)))).otherwise(none)
-                before, behind = F.slice(pairs, F.lit(1), F.greatest(i - 1, F.lit(0))), F.slice(pairs, i + 3, F.size(pairs))
-                return F.struct(
-                    F.concat(F.slice(ids, F.lit(1), i), F.array(best), F.slice(ids, i + 3, F.size(ids))).alias("ids"),
-                    F.concat(before, left, right, behind).alias("pairs"),
-                )
-
-            return _let(F.coalesce(F.array_min(pairs), F.lit(_NONE)), join)
-
-        def begin(ids: Column) -> Column:
-            pairs = F.transform(F.slice(ids, F.lit(2), n), lambda x, i: rank(F.get(ids, i), x))
-            return F.aggregate(F.sequence(F.lit(2), n), F.struct(ids.alias("ids"), pairs.alias("pairs")), step)["ids"]
+    def step(state: Column, _: Column) -> Column:
+        def joined(i: Column) -> Column:
+            best = F.get(state, i - 1)
+            made = F.shiftright(best, _RANK)
+            place = best.bitwiseAND(F.lit(((1 << _RANK) - 1) & ~_NONE))
+            pair = F.array(
+                with_rank(F.get(state, i - 2).bitwiseAND(low), made),
+                with_rank(place.bitwiseOR(made), id_of(F.get(state, i + 1))),
+            )
+            rest = F.flatten(F.array(F.slice(state, F.lit(1), i - 2), pair, F.slice(state, i + 2, F.size(state))))
+            return F.when(best >= none, state).otherwise(rest)
 
-        start = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(t["single"], F.ascii(F.substring(word, i, F.lit(1)))))
-        return F.when(n < 2, start).otherwise(_let(start, begin))
+        return _let(F.array_position(state, F.array_min(state)).cast("int"), joined)
 
-    n = F.length(word)
-    return F.when(n > 0, _let(literal, merged)).otherwise(none)
+    n = F.size(word) - 1
+    first = F.transform(
+        F.slice(word, F.lit(2), n),
+        lambda x, i: F.get(table, F.get(word, i) * F.lit(_LAST + 1) + x).bitwiseOR(F.shiftleft(i.cast("bigint"), _SHIFT)),
+    )
+    last = F.aggregate(F.sequence(F.lit(2), n), F.flatten(F.array(edge, first, edge)), step)
+    return F.transform(F.slice(last, F.lit(2), F.size(last) - 2), lambda entry: id_of(entry).cast("int"))
 
 
 # Words of whole columns.
@@ -259,13 +276,23 @@ def word_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mixed(body ^ ((end - start).astype(np.uint64) << np.uint64(40)))
 
 
-def _bytes_of(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
-    """Words as strings with a character for each byte."""
-    return [points[a:b].tobytes().decode("utf-32-le").encode().decode("latin-1") for a, b in zip(start.tolist(), end.tolist())]
+def _bytes_of(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the words' bytes one behind the other, where each word begins and ends in them)."""
+    flat = np.frombuffer(points.tobytes().decode("utf-32-le").encode(), dtype=np.uint8)
+    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    at = np.concatenate([[0], np.cumsum(width)])
+    sizes = at[end] - at[start]
+    return flat[_ragged(at[start], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _codes_of(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same as :func:`fold` takes them: ``_LAST`` behind each word."""
+    ends = bounds[1:]
+    return np.insert(body.astype(np.int32), ends, _LAST), bounds + np.arange(len(bounds))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): every distinct word, a character for each byte, with its count over all texts."""
+    """(word, n): every distinct word with its count over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,8 +303,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 order = np.argsort(hashed)
                 lead = np.flatnonzero(np.append(True, np.diff(hashed[order]) != 0))
                 first, n = order[lead], np.diff(np.append(lead, len(order)))
-                words = _bytes_of(points, start[first], end[first])
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n.astype(np.int64))], ["word", "n"])
+                body, bounds = _bytes_of(points, start[first], end[first])
+                words = pa.StringArray.from_buffers(len(first), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(body))
+                yield pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64))], ["word", "n"])
 
     return docs.select(text_of().alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -344,7 +372,8 @@ class Dictionary:
 def dictionary(docs: DataFrame, path: str = RANKS, common: int = COMMON) -> Dictionary:
     """The most frequent words of ``docs`` with their ids."""
     counted = materialize(word_counts(docs), "words")
-    short = counted.filter(F.length("word") <= LONGEST)
+    # A word that occurs once is folded once in its text too.
+    short = counted.filter((F.octet_length("word") <= LONGEST) & (F.col("n") > 1))
     # Groups of counts by their logarithm, a few thousand at most; as many from the top as fit.
     level = F.floor(F.log2("n") * 64).cast("int")
     room, least = common, None
@@ -354,7 +383,9 @@ def dictionary(docs: DataFrame, path: str = RANKS, common: int = COMMON) -> Dict
         room, least = room - row["count"], row.level
     if least is None:
         return Dictionary([])
-    made = short.filter(level >= least).select(_word_hash("word").alias("h"), fold(F.col("word"), path).alias("ids"))
+    made = short.filter(level >= least).select(_hashed("word").alias("w"))
+    made = made.select(F.col("w.h").alias("h"), F.col("w.codes").alias("codes"), rank_table(docs.sparkSession, path).alias("_t"))
+    made = made.select("h", _let(F.col("_t"), lambda t: fold(F.col("codes"), t, path)).alias("ids"))
     bits = ((common - room - 1) // PART_WORDS).bit_length()
     width = 1 << (64 - bits)
     if bits:  # dealt by part and in order, so that a part's reader skips the others
@@ -369,13 +400,15 @@ def dictionary(docs: DataFrame, path: str = RANKS, common: int = COMMON) -> Dict
     return Dictionary(shared)
 
 
-@F.arrow_udf(LongType())
-def _word_hash(words: pa.Array) -> pa.Array:
-    """The hash of each word, given with a character for each byte, as a signed number."""
-    some = [x.encode("latin-1").decode() for x in words.to_pylist()]
+@F.arrow_udf(StructType().add("h", LongType()).add("codes", ArrayType(IntegerType())))
+def _hashed(words: pa.Array) -> pa.Array:
+    """The hash of each word as a signed number, and the word as :func:`fold` takes it."""
+    some = words.to_pylist()
     points = np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32)
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int64)
-    return pa.array(word_hashes(points, bounds[:-1], bounds[1:]).view(np.int64))
+    codes, ends = _codes_of(*_bytes_of(points, bounds[:-1], bounds[1:]))
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(codes))
+    return pa.StructArray.from_arrays([pa.array(word_hashes(points, bounds[:-1], bounds[1:]).view(np.int64)), lists], ["h", "codes"])
 
 
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -401,11 +434,11 @@ def encode(
     ship_package(spark)
     table = known or dictionary(docs, path)
 
-    @F.arrow_udf("codes array<int>, rare array<string>")
+    @F.arrow_udf("codes array<int>, rare array<array<int>>")
     def split(texts: pa.Array) -> pa.Array:
         """Ids of common words; the k-th distinct other word of a text as -k, and these words."""
-        codes, code_ends, rare, rare_ends = [], [np.zeros(1, dtype=np.int64)], [], [0]
-        total = 0
+        codes, code_ends, rare, word_ends, rare_ends = [], [np.zeros(1, dtype=np.int64)], [], [np.zeros(1, dtype=np.int64)], [0]
+        total = letters = 0
         for _, n, points, start, end, first in text_words(texts):
             hashed = word_hashes(points, start, end)
             found = list(table.find(hashed))
@@ -427,7 +460,10 @@ def encode(
             number = np.empty(len(order), dtype=np.int64)
             number[order] = group - before[t]
             lead = other[order][new]
-            rare += _bytes_of(points, start[lead], end[lead])
+            body, bounds = _codes_of(*_bytes_of(points, start[lead], end[lead]))
+            rare.append(body)
+            word_ends.append(bounds[1:] + letters)
+            letters += len(body)
             rare_ends += (before[1:] + rare_ends[-1]).tolist()
             for usual, part, place in found:
                 ids[_ragged((ends - sizes)[usual], sizes[usual])] = part.ids[_ragged(part.starts[place], sizes[usual])]
@@ -438,7 +474,10 @@ def encode(
         lists = pa.ListArray.from_arrays(
             pa.array(np.concatenate(code_ends).astype(np.int32)), pa.array(np.concatenate(codes) if codes else np.zeros(0, dtype=np.int32))
         )
-        words = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.array(rare, pa.string()))
+        inner = pa.ListArray.from_arrays(
+            pa.array(np.concatenate(word_ends).astype(np.int32)), pa.array(np.concatenate(rare) if rare else np.zeros(0, dtype=np.int32))
+        )
+        words = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), inner)
         return pa.StructArray.from_arrays([lists, words], ["codes", "rare"])
 
     def fill(codes: pa.Array, folded: pa.Array) -> pa.Array:
@@ -465,7 +504,7 @@ def encode(
         return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(out))
 
     marked = docs.withColumn("_bpe", split(text_of()))
-    folded = F.transform("_bpe.rare", lambda w: fold(w, path))
+    folded = _let(F.col("_t"), lambda t: F.transform("_rare", lambda w: fold(w, t, path)))
     kept = [c for c in docs.columns if c != "ids"]
     schema = StructType(docs.select(*kept).schema.fields)
     if derive:
@@ -475,7 +514,9 @@ def encode(
     else:
         schema.add("ids", ArrayType(IntegerType()))
     asked = [*kept, *(["text"] if derive and "text" not in kept else [])]
-    ready = marked.select(*asked, F.col("_bpe.codes").alias("_codes"), folded.alias("_folded"))
+    # Three selections: the optimizer joins the last two, so no row holds the table, and does not repeat the split.
+    ready = marked.select(*asked, F.col("_bpe.codes").alias("_codes"), F.col("_bpe.rare").alias("_rare"), rank_table(spark, path).alias("_t"))
+    ready = ready.select(*asked, "_codes", folded.alias("_folded"))
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -80,3 +80,27 @@ def test_empty_table_and_unknown_ids(spark):
 
 def bpe_piece(rank):
     return next(piece for piece, r in bpe.read_ranks().items() if r == rank)
+
+
+def test_plans_hold_neither_the_rank_map_nor_a_row_with_it(spark):
+    """The driver keeps the description of every plan; with the map as a literal one had millions of characters."""
+    made = bpe.encode(docs(spark, [*enumerate(SAMPLES)]), known=bpe.Dictionary([]))
+    plan = made._jdf.queryExecution().toString()
+    assert len(plan) < 200_000
+    assert "transform(array(Subquery" in plan[plan.index("Physical Plan") :] or "transform(array(scalar-subquery" in plan
+
+
+def test_words_that_occur_once_are_left_to_their_text(spark, plain):
+    frame = docs(spark, [(1, "once upon a time"), (2, " upon a midnight dreary"), (3, "Straße Straße")])
+    known = bpe.dictionary(frame)
+    assert sum(len(part.value.hashes) for part in known.parts) == 2  # " upon" and " a"
+    for r in bpe.encode(frame, known=known).select("text", "ids").collect():
+        assert r.ids == plain.encode_ordinary(r.text)
+
+
+def test_the_leftmost_of_pairs_with_one_rank_goes_first(spark, plain):
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randrange(2, 40))) for letters in ("ab", "a", "sest", "日本", "é!=") for _ in range(60)]
+    frame = docs(spark, list(enumerate(texts)))
+    for r in bpe.encode(frame, known=bpe.Dictionary([])).select("text", "ids").collect():
+        assert r.ids == plain.encode_ordinary(r.text)
