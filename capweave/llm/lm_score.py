@@ -47,6 +47,7 @@ markers, which are never tokens.  Extra input columns but the text are kept by
 
 from __future__ import annotations
 
+import ctypes
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -67,7 +68,7 @@ DISCOUNT = 0.75
 SMOOTH = 0.1
 HELD_OUT_MOD = 10
 MADE = ("held_out", "n_tokens", "n_known", "base_score", "score", "train_tokens")
-#: Tokens of a block, and a chunk of texts more: arrays of 8 bytes a token, some ten at the peak.
+#: Tokens of a block, and a chunk of texts more: arrays of 8 bytes a token, some six at the peak.
 BLOCK_TOKENS = 3 << 20
 #: Bytes of text that a bucket counts the n-grams of, and the least number of buckets.
 BUCKET_BYTES = 8 << 20
@@ -95,6 +96,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(hashed, F.lit(False))
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that: a worker lives on, and others need the memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays of whole numbers from 0 as bytes: equal places of the numbers lie together.
 
@@ -151,22 +160,32 @@ def _slices(n: int) -> Iterator[slice]:
     return (slice(at, min(at + SLICE, n)) for at in range(0, n, SLICE))
 
 
+def _edges(buckets: int) -> np.ndarray:
+    """The least key of every bucket but the first."""
+    return np.array([(i << 63) // buckets for i in range(1, buckets)], dtype=np.uint64)
+
+
 @dataclass
 class Grams:
     """Distinct n-grams of one order in a block, sorted by hash."""
 
-    key: np.ndarray  # 63-bit hash
-    count: np.ndarray  # times in training texts
+    cut: np.ndarray  # where those of each bucket begin, and the end of the last
+    key: np.ndarray | None = None  # 63-bit hash
+    count: np.ndarray | None = None  # times in training texts
     place: np.ndarray | None = None  # of one occurrence
     index: np.ndarray | None = None  # for every place, that of its n-gram here
 
 
-def distinct(flagged: np.ndarray, places: bool) -> Grams:
-    """N-grams from their hashes, whose lowest bit says that the text is held out; by ranges of hashes, to hold less at a time."""
-    parts: list[list[np.ndarray]] = [[], [], []]
-    index = np.empty(len(flagged), dtype=np.int32) if places else None
-    found = 0
-    ranges = -(-len(flagged) // SORTED)
+def distinct(flagged: np.ndarray, buckets: int, keys: bool = False, places: bool = False) -> Grams:
+    """N-grams from their hashes, whose lowest bit says that the text is held out; by ranges of hashes, to hold less at a time.
+
+    ``keys``: with keys and counts.  ``places``: with places and index.
+    """
+    found, edges = Grams(np.zeros(buckets + 1, dtype=np.int64)), _edges(buckets)
+    if places:
+        found.index = np.empty(len(flagged), dtype=np.int32)
+    key, count, place = [], [], []
+    ranges = max(1, -(-len(flagged) // SORTED))
     for r in range(ranges):
         inside = flagged >= np.uint64((r << 64) // ranges)
         if r + 1 < ranges:
@@ -184,14 +203,22 @@ def distinct(flagged: np.ndarray, places: bool) -> Grams:
         new = np.ones(len(ordered), dtype=bool)
         new[1:] = ordered[1:] != ordered[:-1]
         start = np.flatnonzero(new)
-        parts[0].append(ordered[start])
-        parts[1].append(np.add.reduceat(trained, start).astype(np.uint32) if len(start) else np.zeros(0, dtype=np.uint32))
         if places:
-            parts[2].append(at[start])
-            index[at] = np.cumsum(new, dtype=np.int32) + np.int32(found - 1)
-        found += len(start)
-    key, count = np.concatenate(parts[0]), np.concatenate(parts[1])
-    return Grams(key, count, np.concatenate(parts[2]) if places else None, index)
+            place.append(at[start])
+            found.index[at] = np.cumsum(new, dtype=np.int32) + np.int32(found.cut[-1] - 1)
+        if keys:
+            count.append(np.add.reduceat(trained, start).astype(np.uint32) if len(start) else np.zeros(0, dtype=np.uint32))
+        ordered = ordered[start]
+        found.cut += np.append(np.concatenate([[0], np.searchsorted(ordered, edges)]), len(ordered))
+        if keys:
+            key.append(ordered)
+    if keys:
+        found.key = np.concatenate(key)
+        del key, ordered
+        found.count = np.concatenate(count)
+    if places:
+        found.place = np.concatenate(place)
+    return found
 
 
 @dataclass
@@ -209,7 +236,7 @@ class Block:
         self.first = np.cumsum(size) - size
         self.last = self.first + size - 1
 
-    def grams(self, places: bool = False) -> Iterator[Grams]:
+    def grams(self, buckets: int, keys: bool = False, places: bool = False) -> Iterator[Grams]:
         """The distinct n-grams of orders 1 to ``ORDER``; below ``ORDER`` the start markers are among them."""
         token = np.empty(self.n + len(self.first), dtype=np.uint64)
         inside = np.ones(self.n, dtype=bool)
@@ -227,15 +254,16 @@ class Block:
                 token[self.first] = _START
             for own in _slices(len(token)):
                 total[own] += token[own] * _PLACE[k]
+            flagged = total if k == ORDER - 1 else np.empty_like(total)
+            for own in _slices(len(flagged)):
+                flagged[own] = mixed(total[own]) & ~_HELD | held[own]
             if k == ORDER - 1:
-                del token
-                total, held = total[: self.n], held[: self.n]
-            key = _flagged(total, held)
-            if k == ORDER - 1:
-                del total
-            found = distinct(key, places)
-            del key
+                del token, total
+                flagged = flagged[: self.n]
+            found = distinct(flagged, buckets, keys, places)
+            del flagged
             yield found
+            del found
 
     def before(self) -> np.ndarray:
         """For the place of each token the place before it: that of its context."""
@@ -244,26 +272,9 @@ class Block:
         return to
 
 
-def _flagged(total: np.ndarray, held: np.ndarray) -> np.ndarray:
-    key = np.empty_like(total)
-    for own in _slices(len(key)):
-        key[own] = mixed(total[own]) & ~_HELD | held[own]
-    return key
-
-
 _START_KEY = (mixed(np.array([_START]) * _PLACE[0]) >> np.uint64(1))[0]
 
 
-def _edges(buckets: int) -> np.ndarray:
-    """The least key of every bucket but the first."""
-    return np.array([(i << 63) // buckets for i in range(1, buckets)], dtype=np.uint64)
-
-
-def _cut(key: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the sorted keys of each bucket begin, and the end of the last."""
-    return np.concatenate([[0], np.searchsorted(key, _edges(buckets)), [len(key)]])
-
-
 def _messages(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
     """Rows of ``_MESSAGE`` in batches of bounded size."""
     held, size = [], 0
@@ -299,7 +310,7 @@ def _asked(block: int, it: Block, rest: bytes, buckets: int) -> Iterator[tuple[i
     numbers = packed(it.names, it.words, it.length, it.held)
     yield _home(block), block, struct.pack("<q", len(numbers)) + numbers + rest
     del numbers, rest
-    orders = [(grams.key, grams.count, _cut(grams.key, buckets)) for grams in it.grams()]
+    orders = [(grams.key, grams.count, grams.cut) for grams in it.grams(buckets, keys=True)]
     for q in range(buckets):
         own = [(key[cut[q] : cut[q + 1]], count[cut[q] : cut[q + 1]]) for key, count, cut in orders]
         steps = np.concatenate([np.diff(key, prepend=np.uint64(0)) for key, _ in own])  # steps have fewer bytes than keys
@@ -334,7 +345,7 @@ class _Gathered:
         self._rest.close()
         hashed = np.concatenate(self._hashes)
         self._hashes.clear()
-        words = distinct(hashed, places=True) if len(hashed) else Grams(hashed, hashed, hashed, np.zeros(0, dtype=np.int32))
+        words = distinct(hashed, 1, keys=True, places=True)
         del hashed
         common = np.argsort(words.count)[::-1]  # the first numbers for common words, so that high bytes are mostly 0
         number = np.empty(len(common), dtype=np.uint32)
@@ -355,8 +366,10 @@ def _asking(text: str, flag: str, buckets: int):
                 if gathered.size >= BLOCK_TOKENS:
                     yield from _messages(_asked(block, *gathered.block(), buckets))
                     block, gathered = block + 1, None
+                    _give_back()
         if gathered:
             yield from _messages(_asked(block, *gathered.block(), buckets))
+            _give_back()
 
     return ask
 
@@ -378,6 +391,7 @@ def _holders(key: tuple[pa.Scalar], asked: pa.Table) -> pa.Table:
     bucket = key[0].as_py()
     if bucket < 0:
         return _SENT.empty_table()
+    _give_back()
     senders, bodies = _received(asked)
     flags: list[list[np.ndarray]] = [[] for _ in senders]
     for lists in _questions(bodies)[1:]:
@@ -396,23 +410,23 @@ def _followers(key: tuple[pa.Scalar], state: pa.Table, holders: pa.Table) -> pa.
     """Round 2, in a block: how many followers of each of its contexts it was named for, to their buckets."""
     if key[0].as_py() >= 0:
         return _SENT.empty_table()
+    _give_back()
     (block,), (body,) = _received(state)
     it, _ = _restored(body)
     buckets, bodies = _received(holders)
     flags = Lists([np.unpackbits(unpacked(x.as_buffer())[0]) for x in bodies])
     parts: list[list[np.ndarray]] = [[] for _ in buckets]
     context, above, before = None, None, it.before()
-    for k, grams in enumerate(it.grams(places=True), 1):
-        cut = _cut(grams.key, len(buckets))
+    for k, grams in enumerate(it.grams(len(buckets), places=True), 1):
         if k > 1:
-            place = grams.place[flags.next(cut).view(bool)]
+            place = grams.place[flags.next(grams.cut).view(bool)]
             place = place[place < it.n]  # start markers follow nothing
             n = np.zeros(above[-1], dtype=np.uint32)
             for own in _slices(len(place)):
                 np.add.at(n, context[before[place[own]]], np.uint32(1))
             for q, part in enumerate(parts):
                 part.append(n[above[q] : above[q + 1]])
-        context, above = grams.index, cut
+        context, above = grams.index, grams.cut
         del grams
     return _table((q, block, packed(np.concatenate(part))) for q, part in zip(buckets, parts))
 
@@ -422,6 +436,7 @@ def _totals(key: tuple[pa.Scalar], asked: pa.Table, followers: pa.Table) -> pa.T
     bucket = key[0].as_py()
     if bucket < 0:
         return _SENT.empty_table()
+    _give_back()
     senders, bodies = _received(asked)
     same, named = _received(followers)
     if senders != same:
@@ -457,9 +472,8 @@ def walked(it: Block, n_train: int, v_train: int, counts: Lists, followers: List
     before, summed = it.before(), {}
     context = lp = count = follow = None
     add = lambda x: np.add.reduceat(x[: it.n], it.first)
-    for k, grams in enumerate(it.grams(places=True), 1):
-        cut = _cut(grams.key, buckets)
-        lower, above, count = lp, count, counts.next(cut)
+    for k, grams in enumerate(it.grams(buckets, places=True), 1):
+        lower, above, count = lp, count, counts.next(grams.cut)
         lp = np.empty(len(count))
         for own in _slices(len(lp)):
             c = count[own].astype(np.float64)
@@ -477,7 +491,7 @@ def walked(it: Block, n_train: int, v_train: int, counts: Lists, followers: List
         if k == 1:
             summed["n_known"] = add((count > 0)[grams.index].astype(np.int64))
             summed["base_score"] = add(lp[grams.index])
-        follow = followers.next(cut) if k < ORDER else None
+        follow = followers.next(grams.cut) if k < ORDER else None
         context = grams.index
         del grams
     summed["score"] = add(lp[context])
@@ -491,6 +505,7 @@ def _scoring(schema: StructType):
         result = to_arrow_schema(schema)
         if key[0].as_py() >= 0:
             return result.empty_table()
+        _give_back()
         it, rest = _restored(_received(state)[1][0])
         sums, counts, followers = zip(*(unpacked(body.as_buffer()) for body in _received(answers)[1]))  # by bucket, so by key
         n_train, v_train = (sum(int(x[i]) for x in sums) for i in (0, 1))
